@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytable.llm import fingerprint, quality
+from keytable.llm import decontam, fingerprint, quality
 from keytable.llm.storage import table
 
 
@@ -23,6 +23,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = decontam.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        decontam.items_digest(F.col("items")).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -30,6 +44,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": op3_quality,
+        "op5_decontaminate": op5_decontaminate,
         "op6_fingerprint": op6_fingerprint,
     }
 
