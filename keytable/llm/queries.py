@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytable.llm import decontam, fingerprint, quality
+from keytable.llm import decontam, fingerprint, quality, warc
 from keytable.llm.storage import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels)
@@ -43,6 +48,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
         "op3_quality": op3_quality,
         "op5_decontaminate": op5_decontaminate,
         "op6_fingerprint": op6_fingerprint,
