@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytable.llm import decontam, fingerprint, quality, warc
+from keytable.llm import decontam, fingerprint, ngram_join, quality, warc
 from keytable.llm.storage import table
 
 
@@ -46,12 +46,17 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
         "op3_quality": op3_quality,
         "op5_decontaminate": op5_decontaminate,
         "op6_fingerprint": op6_fingerprint,
+        "op7_ngram_join": op7_ngram_join,
     }
 
 
