@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytable.llm import decontam, fingerprint, ngram_join, quality, warc
+from keytable.llm import decontam, fingerprint, mixing, ngram_join, quality, warc
 from keytable.llm.storage import table
 
 
@@ -50,6 +50,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_fingerprint": op6_fingerprint,
         "op7_ngram_join": op7_ngram_join,
+        "op8_mixing": op8_mixing,
     }
 
 
