@@ -1,9 +1,9 @@
 """Benchmark decontamination with an FM-index of each training shard.
 
 A phrase is a window of ``WINDOW`` consecutive words of a benchmark item (a shorter
-item is one phrase). A training shard, the documents of consecutive Arrow batches up
-to ``SHARD_WORDS`` words, is reduced to its maximal runs of benchmark words that are
-long enough to hold a phrase (no other place can), and over these runs an FM-index is
+item is one phrase). A training shard, consecutive documents of about ``SHARD_BYTES`` of
+text, is reduced to its maximal runs of benchmark words that are long enough to hold a
+phrase of those words (no other place can), and over these runs an FM-index is
 built: suffix order by prefix doubling, the Burrows-Wheeler transform in a wavelet
 matrix for rank queries, and sampled suffix positions. Backward search finds all
 phrases at once, occurrences are located by walking to a sampled position, and the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytable.llm.storage import materialize
-from keytable.llm.words import ALNUM, encode, split
+from keytable.llm.words import ALNUM, encode, slices, split
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
 
 
@@ -133,35 +134,52 @@ class Phrases:
                     self.owner.append(len(self.items) - 1)
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.width = int(self.lengths.max(initial=1))
-        self.shortest = int(self.lengths.min(initial=1))
+        #: (length, which word numbers stand in phrases of that length)
+        self.vocabularies = []
+        for n in np.unique(self.lengths).tolist():
+            member = np.zeros(len(self.number) + 1, bool)
+            member[[w for r in rows if len(r) == n for w in r]] = True
+            self.vocabularies.append((n, member))
         self.matrix = np.zeros((len(rows), self.width), np.int64)
         for i, r in enumerate(rows):
             self.matrix[i, self.width - len(r) :] = r
         self.owner = np.array(self.owner, np.int64)
 
 
+_GAP = np.zeros(1, np.int32)  # parts texts; no phrase has word 0
+
+
 def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], list]]]:
     """Words of each text, and for those with hits the merged word spans [start, end)
     and the items whose phrases occur."""
     counts = np.zeros(len(texts), np.int64)
-    runs, run_doc, run_at = [], [], []
+    numbered = []
     get = phrases.number.get
     for i, text in enumerate(texts):
         words = split(text, ALNUM)
         counts[i] = len(words)
-        ids = np.fromiter(map(get, words, [0] * len(words)), np.int64, len(words))
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], ids != 0, [0])).astype(np.int8)))
+        numbered.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
+        numbered.append(_GAP)
+    ids = np.concatenate(numbered) if numbered else _GAP
+    kept = np.zeros(len(ids), bool)
+    for length, member in phrases.vocabularies:
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], member[ids], [0])).astype(np.int8)))
         start, end = edge[0::2], edge[1::2]
-        for s, e in zip(start[end - start >= phrases.shortest].tolist(), end[end - start >= phrases.shortest].tolist(), strict=True):
-            runs.append(ids[s:e])
-            run_doc.append(i)
-            run_at.append(s)
-    if not runs or not len(phrases.owner):
+        long = end - start >= length
+        change = np.zeros(len(ids) + 1, np.int32)
+        change[start[long]] += 1
+        change[end[long]] -= 1
+        kept |= np.cumsum(change[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], kept, [0])).astype(np.int8)))
+    if not len(edge):
         return counts, {}
+    runs = [ids[a:b] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)]
+    begin = np.cumsum(counts + 1) - counts - 1
+    docs = np.searchsorted(begin, edge[0::2], side="right") - 1
+    at = edge[0::2] - begin[docs]
     index = FMIndex(runs, len(phrases.number))
     lo, hi = index.search(phrases.matrix, phrases.lengths)
     begins = np.cumsum([0] + [len(r) + 1 for r in runs[:-1]])
-    docs, at = np.array(run_doc), np.array(run_at)
     found: dict[int, tuple[list, set]] = {}
     width = hi - lo
     total, a = np.cumsum(width), 0
@@ -208,7 +226,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[objec
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with columns n_words, spans (merged word spans covered by a phrase) and
     items (item_ids, as strings, of items with a phrase in the text)."""
     spark = docs.sparkSession
@@ -217,29 +235,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def search(shared, frame: DataFrame) -> DataFrame:
-        def answer(batches: list[pa.RecordBatch], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            counts, hits = shard_hits(texts, shared.value)
-            spans = [[{"start": s, "end": e} for s, e in hits[i][0]] if i in hits else [] for i in range(len(texts))]
-            items = [[str(x) for x in hits[i][1]] if i in hits else [] for i in range(len(texts))]
-            a = 0
-            for batch in batches:
-                b = a + batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts[a:b]), pa.array(spans[a:b], span_type), pa.array(items[a:b], pa.list_(pa.string()))], names=[*batch.schema.names, "n_words", "spans", "items"])
-                a = b
+        def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
+            counts, hits = shard_hits([encode(t) for t in batch.column(at).to_pylist()], shared.value)
+            spans = [[{"start": s, "end": e} for s, e in hits[i][0]] if i in hits else [] for i in range(batch.num_rows)]
+            items = [[str(x) for x in hits[i][1]] if i in hits else [] for i in range(batch.num_rows)]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, "n_words", "spans", "items"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, texts, size = [], [], 0
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                texts += [encode(t) for t in batch.column(at).to_pylist()]
-                held.append(batch)
-                size += batch.column(at).nbytes // 6
-                if size > shard_words:
-                    yield from answer(held, texts)
-                    held, texts, size = [], [], 0
-            if held:
-                yield from answer(held, texts)
+                for part in slices(batch, at, shard_bytes):
+                    yield answer(part)
 
         return frame.mapInArrow(run, schema)
 
@@ -255,14 +260,15 @@ def _add_block(out: DataFrame, shared) -> DataFrame:
     at = out.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pydict()
-            hits = shard_hits([encode(t) for t in batch.column(at).to_pylist()], shared.value)[1]
-            for i, (spans, items) in hits.items():
-                old = [(s["start"], s["end"]) for s in rows["spans"][i]]
-                rows["spans"][i] = [{"start": s, "end": e} for s, e in merge(old + spans)]
-                rows["items"][i] = sorted({*rows["items"][i], *map(str, items)})
-            yield pa.RecordBatch.from_pydict(rows, schema=batch.schema)
+        for whole in batches:
+            for batch in slices(whole, at, SHARD_BYTES):
+                rows = batch.to_pydict()
+                hits = shard_hits([encode(t) for t in batch.column(at).to_pylist()], shared.value)[1]
+                for i, (spans, items) in hits.items():
+                    old = [(s["start"], s["end"]) for s in rows["spans"][i]]
+                    rows["spans"][i] = [{"start": s, "end": e} for s, e in merge(old + spans)]
+                    rows["items"][i] = sorted({*rows["items"][i], *map(str, items)})
+                yield pa.RecordBatch.from_pydict(rows, schema=batch.schema)
 
     return out.mapInArrow(run, out.schema)
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A byte table: A-Z lower-cased, ASCII letters and digits and all bytes from 0x80 on
 #: stand for themselves, the rest becomes a space.
@@ -19,6 +23,18 @@ def split(text: bytes, table: bytes) -> list[bytes]:
     return text.translate(table).split()
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text each, one row at least."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x ^ (x >> np.uint64(30))
