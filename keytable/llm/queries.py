@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytable.llm import decontam, fingerprint, mixing, ngram_join, quality, warc
+from keytable.llm import decontam, fingerprint, mixing, ngram_join, quality, secrets, warc
 from keytable.llm.storage import table
 
 
@@ -28,6 +28,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -58,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
         "op3_quality": op3_quality,
+        "op4_secrets": op4_secrets,
         "op5_decontaminate": op5_decontaminate,
         "op6_fingerprint": op6_fingerprint,
         "op7_ngram_join": op7_ngram_join,
