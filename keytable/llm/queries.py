@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytable.llm import decontam, fingerprint, mixing, ngram_join, quality, secrets, warc
+from keytable.llm import decontam, fingerprint, licenses, mixing, ngram_join, pii, quality, secrets, warc
 from keytable.llm.storage import table
 
 
@@ -65,6 +65,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return named.select("doc_id", "text", *[F.col(f"n_{k}").cast("long") for k in pii.KINDS], pii.count_all().alias("n_found"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
@@ -74,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprint": op6_fingerprint,
         "op7_ngram_join": op7_ngram_join,
         "op8_mixing": op8_mixing,
+        "op9_pii": op9_pii,
+        "op10_licenses": op10_licenses,
     }
 
 
