@@ -17,7 +17,7 @@ repeated items count by item_id; repeated documents each get a row.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -273,6 +273,54 @@ def _add_block(out: DataFrame, shared) -> DataFrame:
     return out.mapInArrow(run, out.schema)
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between these."""
+    raw = encode(text)
+    at = [(m.start(), m.end()) for m in _WORD.finditer(raw)]
+    out, upto = [], 0
+    for start, end in spans:
+        out.append(raw[upto : at[start][0]])
+        upto = at[end - 1][1]
+    return b"".join([*out, raw[upto:]]).decode("utf-8", "surrogatepass")
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the benchmark's phrases: removal spans are cut from the texts,
+    again until none is left where a cut brought words together. With several blocks
+    of phrases, the blocks are gone through twice for the same reason."""
+    at = docs.columns.index("text")
+
+    def without(shared, frame: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, at, shard_bytes):
+                    texts = batch.column(at).to_pylist()
+                    rows = [i for i, t in enumerate(texts) if t]
+                    while rows:
+                        hits = shard_hits([encode(texts[i]) for i in rows], shared.value)[1]
+                        for k, (spans, _) in hits.items():
+                            texts[rows[k]] = cut(texts[rows[k]], spans)
+                        rows = [rows[k] for k in sorted(hits)]
+                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+        return frame.mapInArrow(run, docs.schema)
+
+    spark, out = docs.sparkSession, docs
+    first = True
+    for _ in range(2):
+        count = 0
+        for block in _blocks(benchmark, block_bytes):
+            out = without(spark.sparkContext.broadcast(Phrases(block, window)), out if first else materialize(out, "decontam"))
+            first = False
+            count += 1
+        if count == 1:
+            break
+    return out
+
+
 def hit_words(spans) -> F.Column:
     """Words inside the spans."""
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

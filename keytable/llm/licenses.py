@@ -104,14 +104,15 @@ def scan(docs: DataFrame, *, texts: dict[str, str] | None = None, cover: float =
     text = text_column(docs)
     base = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"), words_of(text).alias("words"))
 
-    # rows that end in "license": the phrases end in it
-    ends = F.expr("filter(sequence(0, size(words) - 1), i -> words[i] = 'license')")
-    place = F.expr("""flatten(transform(ends, i -> filter(array(
-        if(i >= 1 and words[i - 1] = 'mit', struct(i - 1 as start, 'mit' as label), null),
-        if(i >= 1 and words[i - 1] = 'apache', struct(i - 1 as start, 'apache' as label), null),
-        if(i >= 2 and words[i - 1] = 'public' and words[i - 2] = 'general', struct(i - 2 as start, 'gpl' as label), null)), x -> x is not null)))""")
+    # a phrase stands where its last word does and the others before it
+    phrases = {label: phrase.split() for label, phrase in PHRASES.items()}
+    lasts = ", ".join(sorted({f"'{p[-1]}'" for p in phrases.values()}))
+    ends = F.expr(f"filter(sequence(0, size(words) - 1), i -> words[i] in ({lasts}))")
+    stands = lambda p: " and ".join([f"i >= {len(p) - 1}", *(f"words[i - {len(p) - 1 - j}] = '{w}'" for j, w in enumerate(p))])
+    cases = ", ".join(f"if({stands(p)}, struct(i - {len(p) - 1} as start, '{label}' as label), null)" for label, p in phrases.items())
+    place = F.expr(f"flatten(transform(ends, i -> filter(array({cases}), x -> x is not null)))")
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
-    gated = base.withColumn("ends", F.when(F.array_contains("words", "license"), ends))
+    gated = base.withColumn("ends", F.when(F.expr(f"arrays_overlap(words, array({lasts}))"), ends))
     rows = gated.select("doc_id", "hash", F.size("words").cast("long").alias("n_words"), F.coalesce(F.when(F.col("ends").isNotNull(), place), none).alias("places"))
 
     merged = materialize(spans(votes(base.select("doc_id", "hash", "words"), known)), "spans")

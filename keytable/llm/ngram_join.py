@@ -342,6 +342,17 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     return table.join(by_class, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these ids, and one row of each id left."""
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = materialize(kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if not twice.limit(1).count():
+        return kept
+    repeated = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     return pairs.join(a, "a").join(b, "b").where("la <> lb").select("a", "b", "na", "nb")
