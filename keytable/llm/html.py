@@ -11,7 +11,8 @@ and its link targets). With entropies to the base of the number of pages,
     importance(E)   = (1 - g**l) * presentation(E) + g**l * (content of E and the
                       branches below, weighted by features), l = styles of E
 
-so what a site repeats scores low and what differs from page to page scores high.
+so what a site repeats scores low and what differs from page to page scores high; a
+node without content of its own kind has nothing to remove and is important.
 Branches whose importance is below ``LEAST`` are removed from each page, unless they
 stand in an element that says it is the article. Elements that say they are something
 else (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
@@ -236,7 +237,7 @@ def page_text(page: str, removed: frozenset[int] | set[int]) -> str:
         elif event == "break":
             flush()
         elif event == "open":
-            gone = skip or value.noise or bool(removed and not value.protected and value.tag not in INLINE and hash64(value.path) in removed)
+            gone = value.noise or not value.protected and (skip or bool(removed and value.tag not in INLINE and hash64(value.path) in removed))
             stack.append((value, skip))
             skip = gone
         elif event == "close":
@@ -295,8 +296,8 @@ def importance(counts: DataFrame) -> DataFrame:
     common = F.when(F.col("m") > 1, F.col("logs") / F.col("features") / F.log("m")).otherwise(0.0)
     held = F.coalesce(1 - F.least(F.lit(1.0), common), F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), F.col("l"))
-    value = F.when(F.col("m") == 1, 1.0).when(F.col("logs").isNull(), 0.0).otherwise((1 - weight) * F.col("presentation") * (held > 0).cast("double") + weight * held)
-    return joined.select("host", "path", F.col("m").alias("pages"), F.greatest(held, value).alias("importance"))
+    value = F.when(F.col("m") == 1, 1.0).when(F.col("logs").isNull(), 1.0).otherwise((1 - weight) * F.col("presentation") + weight * held)
+    return joined.select("host", "path", F.col("m").alias("pages"), value.alias("importance"))
 
 
 def extract(pages: DataFrame, *, least: float = LEAST) -> DataFrame:
