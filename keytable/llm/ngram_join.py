@@ -7,17 +7,21 @@ shingles. Two sketches are kept:
 * a long sparse one, cut into K blocks per size band. Sets of Jaccard similarity t or
   more whose smaller one lies in the band differ in at most D shingles, so at least
   K - D blocks are equal (pigeonhole). Blocks, XOR-folded to 64 bits, are the join
-  keys. Blocks of fewer than ``STRONG`` shingles are weak: they are emitted only by
-  sets with more weak blocks than K - D - 1, since any other pair shares a strong one.
+  keys; empty ones are not emitted unless a set has more of them than K - D - 1.
 * a dense one of ``SKETCH_BITS`` bits, whose Hamming distance drops most candidate
   pairs before the exact check.
 
 Sets that are equal form one class, and classes are joined, so copies cost nothing.
-Within a group of equal blocks, first the smallest member is checked against the
-others; only what is then still in different components is compared pairwise, so a
-large group of near copies does not yield all its pairs, and no link between different
-texts that could join two components is lost. The exact check compares the sets
-themselves (hashes of 64 bits, compared by their upper 40).
+K - D is more than one, which keeps passages that many texts share from joining them
+all: a class that has fewer than K - D blocks in common with others links with none and
+goes, and of the shared blocks of the rest the K - D - 1 most frequent ones are left
+out (a linked pair has a rarer one in common). Classes that still share blocks, directly
+or through others, form clusters. A cluster is compared within one task if its sets fit
+``PART_BYTES``, else in parts: twice the parts of a hash each by itself, then what is
+not yet in the cluster's largest component against all parts. Pairs that are already in
+one component are skipped, others are dropped by their sketches, and the exact check
+compares the sets themselves (hashes of 64 bits, compared by their upper 40). So copies
+and near copies are not expanded into pairs, and no link that joins components is lost.
 
 Defined results: null, empty or wordless texts have an empty set and link with
 nothing; texts of fewer words than a shingle have their whole sequence as the one
@@ -33,15 +37,17 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytable.llm.components import merge_labels
 from keytable.llm.storage import materialize
 from keytable.llm.words import BLANK, encode, mix, word_hashes
 
-STRONG = 2
-SKETCH_BITS = 512
+SLACK = 0.35  # blocks beyond the D + 1 that the pigeonhole needs
+SKETCH_BITS = 1024
 BAND_RATIO = 1.25
+PART_BYTES = 4 << 20
 _PIECE = 2 << 20
 _A = np.uint64(0x9FB21C651E98DF25)
 #: More ids than this are not broadcast but joined by a shuffle.
@@ -120,14 +126,9 @@ def band(g: int, percent: int, limit: int) -> tuple[int, int]:
     """Blocks K of a band, and D: in how many shingles sets may differ whose smaller
     one lies in the band. 100 * |A and B| >= percent * |A or B| bounds the difference
     by (100 - percent) / percent of the smaller set."""
-    lo, hi = _edges(limit)[g], _edges(limit)[g + 1]
+    hi = _edges(limit)[g + 1]
     d = (100 - percent) * (hi - 1) // percent
-    for k in range(d + 1, 2 * (d + 1) + 1):
-        rate = lo / k
-        weak = sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(STRONG))
-        if k - d - 1 >= weak * k + 3 * math.sqrt(weak * (1 - weak) * k):
-            return k, d
-    return d + 1, d
+    return d + 1 + math.ceil(SLACK * (d + 1)), d
 
 
 def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -148,25 +149,25 @@ def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def block_keys(own: np.ndarray, percent: int) -> np.ndarray:
-    """The join keys of a set."""
-    out = []
+def block_keys(own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The join keys of a set, and for each its band and how many of the band's keys a
+    linked set has in common at least (band << 32 | number)."""
+    keys, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     top = own >> np.uint64(32)
     folded = mix(own ^ np.uint64(0x5851F42D4C957F2D))
     for g, k, d in bands(len(own), percent):
         block = (top * np.uint64(k)) >> np.uint64(32)  # rises with the hash: blocks are runs
         start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        count = np.diff(np.concatenate((start, [len(own)])))
         value = np.bitwise_xor.reduceat(folded, start)
         number = block[start]
-        strong = count >= STRONG
-        if k - int(strong.sum()) > k - d - 1:  # too many weak blocks: all are emitted, empty ones too
+        need = k - d - (k - len(number))  # the empty blocks may be among the equal ones
+        if need < 1:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), number)
             number, value = np.concatenate((number, empty)), np.concatenate((value, np.zeros(len(empty), np.uint64)))
-        else:
-            number, value = number[strong], value[strong]
-        out.append(mix(value + mix(number + np.uint64(g << 40) + np.uint64(1))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            need = 1  # sets without these keys may be linked too, so nothing is left out
+        keys.append(mix(value + mix(number + np.uint64(g << 40) + np.uint64(1))))
+        tags.append(np.full(len(number), g << 32 | need, np.int64))
+    return np.concatenate(keys), np.concatenate(tags)
 
 
 def signature(own: np.ndarray) -> int:
@@ -211,61 +212,75 @@ def sets_table(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shared_blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, sig, leader): for every key of several classes, its members other than the
-    smallest one. A sorted stream per partition, so a group may be of any size."""
+    """(key, sig, tag): the members of every key that several classes have. A sorted
+    stream per partition, so a group may be of any size."""
+    names = ["key", "sig", "tag"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, None] = {}  # classes just seen here need not emit again
         for _, texts in _texts(batches):
-            found, owners = [], []
+            found, tags, owners = [], [], []
             for own in shingle_sets(texts, size):
                 if not len(own) or (sig := signature(own)) in last:
                     continue
                 last[sig] = None
                 if len(last) > 100_000:
                     last.pop(next(iter(last)))
-                found.append(block_keys(own, percent))
+                key, tag = block_keys(own, percent)
+                found.append(key)
+                tags.append(tag)
                 owners.append(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), [len(f) for f in found]))], names=["key", "sig"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), [len(f) for f in found])), pa.array(np.concatenate(tags))], names=names)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, leader = None, 0
+        held = None  # the last row of the batch before: (key, sig, tag, emitted)
         for batch in batches:
-            key, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, sig, tag = (batch.column(i).to_numpy() for i in range(3))
             if not len(key):
                 continue
-            fresh = np.concatenate(([held is None or key[0] != held], key[1:] != key[:-1]))
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-            lead = np.where(at >= 0, sig[at], leader)
-            keep = sig != lead
-            keep[1:] &= fresh[1:] | (sig[1:] != sig[:-1])
-            held, leader = key[-1], int(lead[-1])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sig[keep]), pa.array(lead[keep])], names=["key", "sig", "leader"])
+            same = np.concatenate(([held is not None and key[0] == held[0]], key[1:] == key[:-1]))
+            twin = same & np.concatenate(([held is not None and sig[0] == held[1]], sig[1:] == sig[:-1]))
+            more = same & ~twin  # a further class of the key
+            # a row is kept if its key has a further class here, before it, or after it
+            start = np.flatnonzero(~same)
+            run = np.searchsorted(start, np.arange(len(key)), side="right")  # 0: the key of the batch before
+            several = np.zeros(len(start) + 1, bool)
+            several[run[more]] = True
+            if held is not None and held[3]:
+                several[0] = True
+            keep = several[run] & ~twin
+            out = [key[keep], sig[keep], tag[keep]]
+            if held is not None and not held[3] and several[0]:
+                out = [np.concatenate(([h], o)) for h, o in zip(held[:3], out, strict=True)]
+            last = int(run[-1])
+            own = start[last - 1] if last else 0  # the only class of the last key, if there is one
+            held = (key[own], sig[own], tag[own], bool(several[last])) if last else (held[0], held[1], held[2], bool(several[0]))
+            held = (held[0], held[1] if not held[3] else sig[-1], held[2], held[3])
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=names)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").mapInArrow(keys, "key long, sig long")
-    return rows.repartition(n, "key").sortWithinPartitions("key", "sig").mapInArrow(group, "key long, sig long, leader long")
-
-
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and dense sketches allow a link."""
-    one = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            least = -(-percent * (na + nb) // (100 + percent))  # fewest shared shingles of a link
-            ok = (np.minimum(na, nb) >= least) & (np.bitwise_count(sa ^ sb).sum(axis=1).astype(np.int64) <= na + nb - 2 * least)
-            yield batch.filter(pa.array(ok)).select(["a", "b", "na", "nb", *[c for c in batch.schema.names if c not in ("a", "b", "na", "nb", "sa", "sb")]])
-
-    joined = pairs.join(one, "a").join(two, "b")
-    joined = joined.select("a", "b", "na", "nb", "sa", "sb", *[c for c in pairs.columns if c not in ("a", "b")])
-    return joined.mapInArrow(run, joined.drop("sa", "sb").schema)
+    rows = docs.select("doc_id", "text").mapInArrow(keys, "key long, sig long, tag long")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "sig").mapInArrow(group, "key long, sig long, tag long")
+
+
+def _thinned(groups: DataFrame) -> DataFrame:
+    """(key, sig, leader) of the shared blocks that a link needs: classes that share too
+    few go, twice, since that leaves others alone; then each class leaves out its most
+    frequent blocks but for one less than a link shares."""
+    need = F.col("tag").bitwiseAND(0xFFFFFFFF)
+    for _ in range(2):
+        enough = groups.groupBy("sig", "tag").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("sig", "tag")
+        groups = groups.join(enough, ["sig", "tag"])
+        size = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        groups = materialize(groups.join(size, "key").select("key", "sig", "tag", "size"), "shared").drop("size")
+    size = groups.groupBy("key").agg(F.count("*").alias("size"))
+    own = W.partitionBy("sig", "tag")
+    ranked = groups.join(size, "key").withColumn("nth", F.row_number().over(own.orderBy("size", "key"))).withColumn("n", F.count("*").over(own))
+    kept = ranked.where(F.col("nth") <= F.col("n") - need + 1).select("key", "sig")
+    lead = kept.groupBy("key").agg(F.min("sig").alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader")
+    return kept.join(lead, "key").where("sig <> leader").select("key", "sig", "leader")
 
 
 def _packed(own: np.ndarray) -> bytes:
@@ -279,21 +294,59 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def links_within(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
+    """Links between classes of ``rows`` (sig, n, sketch, packed, label, side) that join
+    components: any two rows, or if both sides 0 and 1 occur only rows of either side."""
+    sig, n, label = (np.array(rows[c], np.int64) for c in ("sig", "n", "label"))
+    side = np.array(rows["side"], np.int64)
+    both = side.min() != side.max()
+    bits = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(sig), -1)
+    label = np.unique(label, return_inverse=True)[1]
+    sets: dict[int, np.ndarray] = {}
+
+    def own(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = _unpacked(rows["packed"][i])
+        return sets[i]
+
+    found = []
+    for i in range(len(sig)):
+        if both and side[i]:
+            continue
+        rest = slice(0, None) if both else slice(i + 1, None)
+        least = -(-percent * (n[i] + n[rest]) // (100 + percent))  # fewest shared shingles of a link
+        open_to = (label[rest] != label[i]) & (np.minimum(n[i], n[rest]) >= least)
+        if both:
+            open_to &= side[rest] == 1
+        if not open_to.any():
+            continue
+        j = np.flatnonzero(open_to)
+        apart = np.bitwise_count(bits[rest][j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = apart <= n[i] + n[rest][j] - 2 * least[j]
+        for k in (j[near][np.argsort(apart[near], kind="stable")] + (0 if both else i + 1)).tolist():
+            if label[k] == label[i]:
+                continue
+            merged = np.concatenate((own(i), own(k)))
+            merged.sort()
+            shared = int((merged[1:] == merged[:-1]).sum())
+            if 100 * shared >= percent * int(n[i] + n[k] - shared):
+                found.append((int(sig[i]), int(sig[k])))
+                label[label == label[k]] = label[i]
+        if not both:
+            sets.pop(i, None)
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
-                both = np.concatenate((_unpacked(x), _unpacked(y)))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= percent * (na + nb - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.select("a", "b", "na", "nb").join(sets.select(F.col("sig").alias("a"), F.col("packed").alias("xa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("packed").alias("xb")), "b")
-    return joined.mapInArrow(run, "a long, b long")
+def _compared(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links within each group of rows of bounded size."""
+
+    def one(pdf):
+        import pandas as pd
+
+        rows = {c: pdf[c].tolist() for c in ("sig", "n", "sketch", "packed", "label", "side")}
+        return pd.DataFrame(links_within(rows, percent) if len(pdf) > 1 else [], columns=["a", "b"], dtype="int64")
+
+    return units.groupBy(*keys).applyInPandas(one, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -315,26 +368,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     table = materialize(sets_table(docs, size), "classes")
     filled = table.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(filled.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
-    groups = materialize(shared_blocks(docs.where(F.col("doc_id").isNotNull()), size, percent), "groups")
+    groups = materialize(_thinned(materialize(shared_blocks(docs.where(F.col("doc_id").isNotNull()), size, percent), "shared")), "groups")
 
-    pairs = groups.groupBy(F.col("leader").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("blocks"))
-    pairs = materialize(_plausible(pairs, classes, percent), "pairs")
     nodes = groups.select(F.col("sig").alias("node")).union(groups.select(F.col("leader").alias("node"))).distinct()
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
-    members = nodes.withColumnRenamed("node", "sig").join(classes, "sig").select("doc_id", "sig")
-    sets = _sets_of(docs, materialize(members, "members"), size)
-
-    # every class against the leader that it shares most blocks with
-    best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("blocks", -F.col("a"))).alias("p")).select("p.a", "b", "p.na", "p.nb")
-    labels = merge_labels(labels, _linked(best, sets, percent))
-    # against the other leaders, unless already in one component
-    labels = merge_labels(labels, _linked(_apart(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), labels), sets, percent))
-    # all others that share a block but no component
-    rest = materialize(_mixed_groups(groups, labels), "mixed")
-    if rest.limit(1).count():
-        x, y = rest.select("key", F.col("sig").alias("a"), F.col("label").alias("la")), rest.select("key", F.col("sig").alias("b"), F.col("label").alias("lb"))
-        across = x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct().join(groups.select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct(), ["a", "b"], "left_anti")
-        labels = merge_labels(labels, _linked(materialize(_plausible(across, classes, percent), "pairs"), sets, percent))
+    alone = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
+    clusters = merge_labels(alone, groups.select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct())
+    members = clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")).join(classes, "sig")
+    sets = _sets_of(docs, materialize(members.select("doc_id", "sig"), "members"), size)
+    members = materialize(members.join(sets, "sig").select("cluster", "sig", "n", "sketch", "packed"), "members")
+    labels = _components(members, alone, percent)
 
     roots = classes.select("sig", "doc_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("label"))
     smallest = roots.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -353,17 +395,34 @@ def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(a, "a").join(b, "b").where("la <> lb").select("a", "b", "na", "nb")
-
-
-def _mixed_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, sig, label) of the groups that hold three classes or more (smaller ones have
-    been checked) of several components."""
-    full = groups.join(labels.withColumnRenamed("node", "sig"), "sig")
-    lead = labels.select(F.col("node").alias("leader"), F.col("label").alias("lead_label"))
-    full = full.join(lead, "leader")
-    odd = full.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("lead_label").alias("ll")).where("n > 1 and (lo <> hi or lo <> ll)").select("key")
-    mine = full.join(odd, "key")
-    return mine.select("key", "sig", "label").unionByName(mine.select("key", F.col("leader").alias("sig"), F.col("lead_label").alias("label")).distinct())
+def _components(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of all classes in clusters: components of the links between them."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("packed") + SKETCH_BITS // 8) / PART_BYTES).alias("parts"))
+    sized = materialize(members.join(sizes, "cluster"), "sized")
+
+    def current(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.withColumnRenamed("node", "sig"), "sig")
+
+    for turn in range(2):
+        rows = sized if turn == 0 else sized.where("parts > 1")
+        part = F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("parts"))
+        labels = merge_labels(labels, _compared(current(rows).withColumn("part", part).withColumn("side", F.lit(0)), ["cluster", "part"], percent))
+        if turn == 0 and not sized.where("parts > 1").limit(1).count():
+            return labels
+
+    # large clusters: what is outside their largest component, against all of it and itself
+    rows = materialize(current(sized.where("parts > 1")).withColumn("bytes", F.length("packed") + SKETCH_BITS // 8), "large")
+    largest = rows.groupBy("cluster", "label").agg(F.sum("bytes").alias("b")).groupBy("cluster").agg(F.max_by("label", F.struct("b", "label")).alias("largest"))
+    rows = rows.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest"))
+    pools = rows.groupBy("cluster", "outside").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / PART_BYTES)).alias("pool"))
+    rows = rows.join(pools, ["cluster", "outside"]).withColumn("part", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("pool")))
+    rows = materialize(rows.select("cluster", "outside", "part", "sig", "n", "sketch", "packed", "label"), "parts")
+    parts = rows.select("cluster", "outside", "part").distinct()
+    left = parts.where("outside").select("cluster", F.col("part").alias("i"))
+    right = parts.select("cluster", "outside", F.col("part").alias("j"))
+    units = left.join(right, "cluster").where("not outside or i <= j").select("cluster", "outside", "i", "j")
+    units = materialize(units, "units")
+    one = rows.where("outside").withColumnRenamed("part", "i").drop("outside").join(units, ["cluster", "i"]).withColumn("side", F.lit(0))
+    two = rows.withColumnRenamed("part", "j").join(units, ["cluster", "outside", "j"]).where("not outside or i <> j").withColumn("side", F.lit(1))
+    columns = ["cluster", "outside", "i", "j", "sig", "n", "sketch", "packed", "label", "side"]
+    return merge_labels(labels, _compared(one.select(*columns).unionByName(two.select(*columns)), ["cluster", "outside", "i", "j"], percent))
