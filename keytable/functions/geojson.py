@@ -176,7 +176,7 @@ def intersects_column(geometry: Column, query: str) -> Column:
         raise ValueError("the query is no geometry")
 
     @F.pandas_udf("boolean")
-    def test(texts: pd.Series) -> pd.Series:
+    def test(texts):
         return pd.Series([(g := read(t)) is not None and intersects(g, wanted) for t in texts], dtype=bool)
 
     return test(geometry)
@@ -187,7 +187,7 @@ def pair_intersects(left: Column, right: Column) -> Column:
     import pandas as pd
 
     @F.pandas_udf("boolean")
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+    def test(a, b):
         return pd.Series([(x := read(s)) is not None and (y := read(t)) is not None and intersects(x, y) for s, t in zip(a, b, strict=True)], dtype=bool)
 
     return test(left, right)

@@ -21,6 +21,18 @@ from keytable.functions.codec import SEPARATOR, ColumnFunction, Padding
 PARTITION_KEY, ROW_KEY = "PartitionKey", "RowKey"
 
 
+_TYPES = {
+    "string": T.StringType(), "boolean": T.BooleanType(), "short": T.ShortType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(),
+    "binary": T.BinaryType(), "date": T.DateType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def schema_of(fields: str) -> T.StructType:
+    """A schema from "name type, name type" of plain types; needs no session."""
+    pairs = [f.split() for f in fields.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 @dataclass(frozen=True)
 class KeyPart:
     member: str

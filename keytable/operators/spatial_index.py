@@ -85,7 +85,7 @@ def split_keys(extent: Column, should_split: Callable[[str, Extent], bool], *, m
     import pandas as pd
 
     @F.pandas_udf("array<string>")
-    def cover(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+    def cover(minx, miny, maxx, maxy):
         return pd.Series([None if any(v is None or v != v for v in e) else cover_extent(e, should_split, max_level) for e in zip(minx, miny, maxx, maxy, strict=True)])
 
     return cover(extent["minx"], extent["miny"], extent["maxx"], extent["maxy"])

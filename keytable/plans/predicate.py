@@ -142,7 +142,7 @@ class Const(Predicate):
         return F.lit(self.value)
 
     def render(self, entity: Entity) -> str:
-        return "" if self.value else "false"
+        return "true" if self.value else "false"
 
 
 @dataclass(frozen=True)
@@ -177,8 +177,8 @@ class And(Predicate):
         return reduce(and_, (p.column(entity) for p in self.parts))
 
     def render(self, entity: Entity) -> str:
-        found = [p if not isinstance(q, Or) or p.startswith("(") and p.endswith(")") and _closed(p) else f"({p})" for q in self.parts if (p := q.render(entity))]
-        return " and ".join(found)
+        parts = [q for q in self.parts if not (isinstance(q, Const) and q.value)]
+        return " and ".join(f"({q.render(entity)})" if isinstance(q, Or) else q.render(entity) for q in parts) or "true"
 
 
 @dataclass(frozen=True)
@@ -189,17 +189,7 @@ class Or(Predicate):
         return reduce(or_, (p.column(entity) for p in self.parts))
 
     def render(self, entity: Entity) -> str:
-        return " or ".join(f"({t})" if isinstance(p, And) else t for p in self.parts if (t := p.render(entity)))
-
-
-def _closed(text: str) -> bool:
-    """Whether the first parenthesis closes at the very end."""
-    depth = 0
-    for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if not depth and i < len(text) - 1:
-            return False
-    return True
+        return " or ".join(f"({p.render(entity)})" if isinstance(p, And) else p.render(entity) for p in self.parts)
 
 
 class Member:
@@ -319,7 +309,7 @@ def filter_string(predicate: Predicate, entity: Entity) -> str:
         else:
             out.append(f"{name} ge {literal(joined)} and {name} lt {literal(successor(joined))}")
         rest = [c for c in rest if not any(c is u for u in used)]
-    tail = And(tuple(rest)).render(entity) if rest else ""
+    tail = (rest[0] if len(rest) == 1 and not out else And(tuple(rest))).render(entity) if rest else ""
     return " and ".join([*out, *([tail] if tail else [])])
 
 
@@ -401,7 +391,7 @@ def _single(tokens: list) -> tuple[Predicate, list]:
 
 
 def _is_member(token: tuple[str, str]) -> bool:
-    return token[0] == "word" and token[1] not in ("true", "false", "null")
+    return token[0] == "word" and token[1] not in ("true", "false", "null", "and", "or", "not", *SYMBOLS)
 
 
 def _value(token: tuple[str, str]) -> object:

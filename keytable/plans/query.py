@@ -160,7 +160,10 @@ class Query:
         return " and ".join(f"({p})" if len(pieces) > 1 and " or " in p and not p.startswith("(") else p for p in pieces)
 
     def explain(self) -> str:
-        return self.df()._jdf.queryExecution().explainString(self.df()._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        """The physical plan as text."""
+        df = self.df()
+        mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        return df._jdf.queryExecution().explainString(mode)
 
     # --- terminals -----------------------------------------------------------
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from keytable.functions import codec, props, spatial
 from keytable.functions.codec import Padding
-from keytable.model import PARTITION_KEY, ROW_KEY, Collection, Entity
+from keytable.model import PARTITION_KEY, ROW_KEY, Collection, Entity, schema_of
 from keytable.operators import index as ix
 from keytable.operators import relation, revision, spatial_index, write
 from keytable.plans.predicate import m
@@ -25,24 +25,20 @@ QUERIES: dict[str, QueryFunction] = {}
 SQL: dict[str, str] = {}
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-CUSTOMER = Entity("customer", _schema("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")).with_keys(["c_mktsegment"], ["c_nationkey", "c_custkey"])
+CUSTOMER = Entity("customer", schema_of("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")).with_keys(["c_mktsegment"], ["c_nationkey", "c_custkey"])
 ORDERS = (
-    Entity("orders", _schema("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"))
+    Entity("orders", schema_of("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"))
     .with_keys(["o_orderpriority", "o_orderstatus"], ["o_orderkey"])
     .with_index("by_customer", ["o_custkey", "o_orderstatus"])
     .with_index("by_customer_full", ["o_custkey", "o_orderstatus"], covering=True, table="ordersByCustomer")
     .with_index("by_customer_pair", ["o_custkey"], ["o_orderstatus"])
 )
-LINEITEM = Entity("lineitem", _schema("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")).with_keys(["l_orderkey"], ["l_linenumber"])
-PART = Entity("part", _schema("p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")).with_keys(["p_brand"], ["p_partkey"])
-SUPPLIER = Entity("supplier", _schema("s_suppkey long, s_name string, s_nationkey int, s_acctbal double")).with_keys(["s_nationkey"], ["s_suppkey"])
-NATION = Entity("nation", _schema("n_nationkey int, n_name string, n_regionkey int")).with_keys(["n_regionkey"], ["n_nationkey"])
-REGION = Entity("region", _schema("r_regionkey int, r_name string")).with_keys(["r_regionkey"])
-EVENTS = Entity("events", _schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")).with_keys(["user_id"], ["event_id"])
+LINEITEM = Entity("lineitem", schema_of("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")).with_keys(["l_orderkey"], ["l_linenumber"])
+PART = Entity("part", schema_of("p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")).with_keys(["p_brand"], ["p_partkey"])
+SUPPLIER = Entity("supplier", schema_of("s_suppkey long, s_name string, s_nationkey int, s_acctbal double")).with_keys(["s_nationkey"], ["s_suppkey"])
+NATION = Entity("nation", schema_of("n_nationkey int, n_name string, n_regionkey int")).with_keys(["n_regionkey"], ["n_nationkey"])
+REGION = Entity("region", schema_of("r_regionkey int, r_name string")).with_keys(["r_regionkey"])
+EVENTS = Entity("events", schema_of("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")).with_keys(["user_id"], ["event_id"])
 EVENT_CODES = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "logout": 4}
 
 NATIONS = Collection("nations", "nation", (("n_regionkey", "r_regionkey"),))
@@ -256,7 +252,7 @@ def project_members(spark, sf):
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def project_subtype(spark, sf):
-    return root(spark, sf, NATION).project(_schema("n_nationkey long, n_name string")).df()
+    return root(spark, sf, NATION).project(schema_of("n_nationkey long, n_name string")).df()
 
 
 @query("SELECT c_mktsegment, c_nationkey, c_custkey FROM customer")
