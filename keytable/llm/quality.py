@@ -30,6 +30,7 @@ WIDTH, CELL, CELLS, HOP = 4, 128, 8, 7  # chunks of 8 cells, one cell shared wit
 LAGS = range(2, 17)
 ECHO_SCALE = 5.0  # shares lie in 0..1; the filters' maxima are larger
 N_FILTERS = 8
+GAP = 32  # more than a filter or an echo looks ahead
 THRESHOLD = 0.3  # a document scoring less is rejected
 
 
@@ -46,21 +47,23 @@ class Model:
         return pair(0), pair(2)
 
 
-def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one byte array, each padded to whole cells, and the cells of each."""
+def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one byte array, each in cells of its own and followed by an empty one,
+    so that no window reaches into the next text; how many cells hold each text; and
+    which cells these are."""
     cells = np.array([max(1, -(-len(t) // CELL)) for t in texts], np.int64)
-    data = np.zeros(int(cells.sum()) * CELL + 32, np.uint8)
-    at = 0
-    for t, n in zip(texts, cells, strict=True):
+    start = np.cumsum(cells + 1) - cells - 1
+    data = np.zeros(int((cells + 1).sum()) * CELL + GAP, np.uint8)
+    for t, at in zip(texts, (start * CELL).tolist(), strict=True):
         data[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        at += int(n) * CELL
-    return data, cells
+    own = np.repeat(start - (np.cumsum(cells) - cells), cells) + np.arange(int(cells.sum()))
+    return data, cells, own
 
 
 def cell_features(model: Model, data: np.ndarray, block: int = 2048) -> np.ndarray:
     """Max-pooled filters and mean echo of every cell, in blocks of bounded size."""
     t0, t1 = model.tables()
-    n = (len(data) - 32) // CELL
+    n = (len(data) - GAP) // CELL
     out = np.empty((n, N_FILTERS + 1), np.float32)
     for a in range(0, n, block):
         b = min(n, a + block)
@@ -70,7 +73,7 @@ def cell_features(model: Model, data: np.ndarray, block: int = 2048) -> np.ndarr
         conv = t0.take(pairs[:size], axis=0)
         conv += t1.take(pairs[2 : size + 2], axis=0)
         out[a:b, :-1] = conv.reshape(b - a, CELL, N_FILTERS).max(axis=1)
-        out[a:b, -1] = echo(data[a * CELL : b * CELL + 32], b - a)
+        out[a:b, -1] = echo(data[a * CELL : b * CELL + GAP], b - a)
     return out
 
 
@@ -112,8 +115,8 @@ def head_logits(model: Model, chunks: np.ndarray) -> np.ndarray:
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    data, cells = layout(texts)
-    chunks, count = chunk_features(cell_features(model, data), cells)
+    data, cells, own = layout(texts)
+    chunks, count = chunk_features(cell_features(model, data)[own], cells)
     logit = np.add.reduceat(head_logits(model, chunks).astype(np.float64), np.cumsum(count) - count) / count
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
@@ -136,7 +139,7 @@ def fit(texts: list[bytes], labels: list[int], *, chunks_per_doc: int = 4, epoch
     x = np.frombuffer(b"".join(xs), np.uint8).reshape(-1, size)
     y = np.array(ys, np.float32)
     share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
-    echoes = np.array([echo(np.concatenate((r, np.zeros(32, np.uint8))), CELLS).sum() / max(1, -(-np.count_nonzero(r) // CELL)) for r in x], np.float32)
+    echoes = np.array([echo(np.concatenate((r, np.zeros(GAP, np.uint8))), CELLS).sum() / max(1, -(-np.count_nonzero(r) // CELL)) for r in x], np.float32)
     params = [model.filters, model.head, np.zeros(1, np.float32)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -191,7 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, max_bytes:
 
 
 def score(docs: DataFrame, model: Model, *, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 in column ``name``."""
+    """``docs`` with the probability of label 1 in column ``name``, in place of any
+    column of that name."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
     at = docs.columns.index("text")
