@@ -228,8 +228,10 @@ SPANS = "array<struct<start:long,end:long>>"
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with columns n_words, spans (merged word spans covered by a phrase) and
-    items (item_ids, as strings, of items with a phrase in the text)."""
+    items (item_ids, as strings, of items with a phrase in the text), in place of any
+    columns of these names."""
     spark = docs.sparkSession
+    docs = docs.drop("n_words", "spans", "items")
     at = docs.columns.index("text")
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items")).schema
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

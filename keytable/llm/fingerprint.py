@@ -104,7 +104,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, *, name: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of every whole text in column ``name``."""
+    """``docs`` with the fingerprint of every whole text in column ``name``, in place of
+    any column of that name."""
+    docs = docs.drop(name)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

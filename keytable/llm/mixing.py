@@ -32,7 +32,7 @@ BLOCK_WORDS, SHARD_SLOTS = 32, 4096
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 #: More sources than this are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 100_000
-_ROUNDS = 4
+ROUNDS = 4
 
 
 def hash32(*parts: Column | str) -> Column:
@@ -78,7 +78,7 @@ def round_keys() -> Column:
     of its blocks."""
     key = "conv(substr(md5(concat('mix:', s, ':', r)), 1, 10), 16, 10)::bigint"
     m = "(length(bin(greatest(blocks, 1L))) - 1)"
-    return F.expr(f"struct(shiftleft(1L, {m}) - 1 as mask, {m} div 2 + 1 as half, transform(sequence(0, {_ROUNDS - 1}), r -> struct({key} as key, 2 * ({key} % 524288) + 1 as odd)) as keys)")
+    return F.expr(f"struct(shiftleft(1L, {m}) - 1 as mask, {m} div 2 + 1 as half, transform(sequence(0, {ROUNDS - 1}), r -> struct({key} as key, 2 * ({key} % 524288) + 1 as odd)) as keys)")
 
 
 def permuted(index: str) -> Column:

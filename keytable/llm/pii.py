@@ -117,7 +117,9 @@ def _replaced(match: str, key: str, invert: bool) -> str:
 
 
 def pseudonymize(docs: DataFrame, *, key: str = KEY) -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced, and columns n_<kind>."""
+    """``docs`` with the personal data in ``text`` replaced, and columns n_<kind>
+    in place of any of these names."""
+    docs = docs.drop(*[f"n_{kind}" for kind in KINDS])
     gate = F.col("text").rlike(GATE) & F.col("text").rlike(ANY)
     found = docs.withColumn("__found", F.when(gate, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     found = found.withColumn("__between", F.when(F.col("__found").isNotNull(), F.split("text", ANY, -1)))

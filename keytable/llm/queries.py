@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytable.llm import decontam, fingerprint, html, licenses, mixing, ngram_join, pii, quality, secrets, warc
+from keytable.llm import decontam, fingerprint, html, licenses, mixing, ngram_join, oracle, pii, quality, secrets, warc
 from keytable.llm.storage import table
 
 
@@ -94,4 +94,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc": oracle.OP2,
+        "op5_decontaminate": oracle.OP5,
+        "op7_ngram_join": oracle.OP7,
+        "op8_mixing": oracle.mixing(mixing.BLOCK_WORDS, mixing.SHARD_SLOTS, "mix", mixing.ROUNDS, mixing.MOST),
+        "op10_licenses": oracle.licenses(licenses.TEMPLATES, licenses.PHRASES, licenses.K, licenses.NEAR, licenses.COVER),
+    }

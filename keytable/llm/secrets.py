@@ -140,16 +140,17 @@ def count_of(spans: Column, kind: str) -> Column:
 def redact(docs: DataFrame, *, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones merged) replaced by ``mark``."""
     tagged = materialize(docs.withColumn("__id", F.monotonically_increasing_id()), "tagged")
-    found = find(tagged.withColumn("doc_id", F.col("__id")), rate=rate).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), "spans")
+    narrow = tagged.select(F.col("__id").alias("doc_id"), "text")
+    found = find(narrow, rate=rate).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
     # merged spans, then the text between them
     merged = F.aggregate(
-        F.col("spans"),
+        F.col("__spans"),
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto")),
         lambda a, s: F.when(
             s["start"] >= a["upto"],
             F.struct(F.concat(a["out"], F.substring(F.col("text"), (a["upto"] + 1).cast("int"), (s["start"] - a["upto"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("upto")),
         ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["upto"], s["end"]).alias("upto"))),
     )
-    joined = tagged.join(found, "__id", "left").withColumn("__m", F.when(F.col("spans").isNotNull(), merged))
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.col("__m.out"), F.expr("substring(text, cast(__m.upto as int) + 1)")))
+    joined = tagged.join(found, "__id", "left").withColumn("__m", F.when(F.col("__spans").isNotNull(), merged))
+    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.col("__m.out"), F.expr("substring(text, cast(__m.upto as int) + 1)")))
     return joined.withColumn("text", clean).select(*docs.columns)

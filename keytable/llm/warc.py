@@ -13,7 +13,8 @@ across ranges, pointer jumping from offset 0 of every file marks the true entrie
 only records on a chain from a true entry are kept.
 
 Null payloads are empty; pages without an id get records that are never chosen before
-those with one; repeated ids each get a record, told apart by their payloads.
+those with one; repeated ids each get a record, and of equal payloads under the
+smallest id each is a response.
 """
 
 from __future__ import annotations
