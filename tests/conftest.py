@@ -28,6 +28,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
+    __import__("logging").getLogger("DataFrameQueryContextLogger").setLevel("CRITICAL")
     yield session
     session.stop()
 
