@@ -27,7 +27,8 @@ from keytable.llm.storage import materialize, text_column
 K = 3
 NEAR = 3  # diagonals at most so far apart are merged
 COVER = 0.7  # share of a template's words that a span must cover
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What parts words: all of ASCII but digits and small letters.
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 BROADCAST_ROWS = 1_000_000
 
 # Phrases with their labels.
@@ -62,8 +63,10 @@ TEMPLATES = {
 
 def words_of(text: Column) -> Column:
     """Words after A-Z are lower-cased (``lower`` leaves the class of every other
-    character as it is)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    character as it is). Splitting leaves an empty piece before a leading and after a
+    trailing separator; these are cut off."""
+    pieces = F.split(F.regexp_replace(F.lower(text), f"^{BETWEEN}", ""), BETWEEN, -1)
+    return F.transform(F.array(pieces), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))[0]
 
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -72,16 +75,17 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     return spark.createDataFrame(rows, "label string, text string").select("label", words_of(F.col("text")).alias("template"))
 
 
-def _grams(words: str) -> str:
-    parts = ", ".join(f"{words}[i + {j}]" for j in range(K))
-    return f"if(size({words}) < {K}, cast(array() as array<bigint>), transform(sequence(0, size({words}) - {K}), i -> xxhash64({parts})))"
+def _grams(rows: DataFrame, words: str, *keep: str) -> DataFrame:
+    """(keep, pos, gram): the hashes of all k-grams of the words."""
+    shifted = [F.slice(words, F.lit(1 + j), F.greatest(F.size(words) - (K - 1), F.lit(0))).alias(f"w{j}") for j in range(K)]
+    each = rows.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "g"))
+    return each.select(*keep, "pos", F.xxhash64(*[F.col(f"g.w{j}") for j in range(K)]).alias("gram"))
 
 
 def votes(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, hash, label, pos, tpos): equal k-gram hashes of texts and templates."""
-    at = known.select("label", F.posexplode(F.expr(_grams("template"))).alias("tpos", "gram"))
-    grams = rows.select("doc_id", "hash", F.posexplode(F.expr(_grams("words"))).alias("pos", "gram"))
-    return grams.join(F.broadcast(at), "gram").select("doc_id", "hash", "label", "pos", "tpos")
+    at = _grams(known, "template", "label").withColumnRenamed("pos", "tpos")
+    return _grams(rows, "words", "doc_id", "hash").join(F.broadcast(at), "gram").select("doc_id", "hash", "label", "pos", "tpos")
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -112,7 +116,8 @@ def scan(docs: DataFrame, *, texts: dict[str, str] | None = None, cover: float =
     cases = ", ".join(f"if({stands(p)}, struct(i - {len(p) - 1} as start, '{label}' as label), null)" for label, p in phrases.items())
     place = F.expr(f"flatten(transform(ends, i -> filter(array({cases}), x -> x is not null)))")
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
-    gated = base.withColumn("ends", F.when(F.expr(f"arrays_overlap(words, array({lasts}))"), ends))
+    gate = " or ".join(f"contains(lower(text), '{p[-1]}')" for p in phrases.values())
+    gated = base.withColumn("ends", F.when(F.expr(gate), ends))
     rows = gated.select("doc_id", "hash", F.size("words").cast("long").alias("n_words"), F.coalesce(F.when(F.col("ends").isNotNull(), place), none).alias("places"))
 
     merged = materialize(spans(votes(base.select("doc_id", "hash", "words"), known)), "spans")
