@@ -201,6 +201,14 @@ class Entity:
         rest = [F.col(c) for c in df.columns if c not in out and c not in (PARTITION_KEY, ROW_KEY)]
         return df.select(*[c.alias(n) for n, c in out.items()], *rest)
 
+    def from_keys(self, df: DataFrame, partition: Column | str, row: Column | str = "") -> DataFrame:
+        """``df`` with its key members set from explicit keys, given as literals or
+        Columns, in place of any it has."""
+        lit = lambda k: F.lit(k) if isinstance(k, str) else k
+        members = {p.member for _, parts in self.keys() for p in parts}
+        rest = df.select(*[c for c in df.columns if c not in members], lit(partition).alias(PARTITION_KEY), lit(row).alias(ROW_KEY))
+        return self.decode(rest)
+
     def _fixed_parts(self, key: Column, parts: tuple[KeyPart, ...]) -> list[Column] | None:
         """Padded leading parts are cut by their width, since fill and separator share a
         character; only a last part may be unpadded."""

@@ -115,7 +115,9 @@ def first_hit(found: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return best.select(*[F.col(f"__first.{c}").alias(c) if c in columns else F.col(c) for c in found[0].columns])
 
 
-def row_number_last(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The last row per key by an explicit sequence."""
-    nth = F.row_number().over(W.partitionBy(*key).orderBy(*[c.desc() for c in order]))
+def distinct_by(df: DataFrame, key: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """One row per key: the first one by ``order``, or any."""
+    if not order:
+        return df.dropDuplicates(list(key))
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(*order))
     return df.withColumn("__nth", nth).where("__nth = 1").drop("__nth")

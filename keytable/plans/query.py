@@ -7,7 +7,7 @@ table's query there is one limit, applied after all filters whatever the order o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -170,6 +170,12 @@ class Query:
     def to_list(self, predicate: Predicate | None = None) -> list[Row]:
         return self._and(predicate).df().collect()
 
+    def to_objects(self, factory: Callable[..., Any], predicate: Predicate | None = None) -> Iterator[Any]:
+        """Rows made into objects, ``factory(**columns)``, one partition at a time; the
+        only place where rows become Python objects."""
+        for row in self._and(predicate).df().toLocalIterator():
+            yield factory(**row.asDict())
+
     def take_list(self, n: int) -> list[Row]:
         return self.take(n).df().collect()
 

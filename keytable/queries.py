@@ -381,6 +381,11 @@ def index_first_hit(spark, sf):
     return ix.first_hit([rich, near], ["c_custkey"])
 
 
+@query("SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def distinct_by(spark, sf):
+    return ix.distinct_by(root(spark, sf, ORDERS).df(), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
 # --- relations -------------------------------------------------------------------
 
 
@@ -454,6 +459,12 @@ def delete_keys(spark, sf):
     return write.delete(base, base.where("o_orderkey % 7 = 0"), ["o_orderkey"])
 
 
+@query("SELECT 7 AS s_nationkey, 900001::BIGINT AS s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey = 1")
+def explicit_keys(spark, sf):
+    rows = root(spark, sf, SUPPLIER).where(m("s_suppkey") == 1).df()
+    return SUPPLIER.from_keys(rows, "7", "900001").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
+
+
 @query("SELECT * FROM orders WHERE NOT o_orderkey = 32")
 def delete_by_key(spark, sf):
     return write.delete_by_key(root(spark, sf, ORDERS).df(), o_orderkey=32)
@@ -634,6 +645,19 @@ def pixel_inverse(spark, sf):
     return _places(spark, sf).select("c_custkey", F.round(spatial.longitude_of(x, 9), 6).alias("lon"), F.round(spatial.latitude_of(y, 9), 6).alias("lat"))
 
 
+@query(f"SELECT c_custkey, tx * 256 AS px, round(360.0 * (tx * 256 / (256.0 * (1 << 12)) - 0.5), 6) AS minx, round(360.0 * (least((tx + 1) * 256, 256 * (1 << 12) - 1) / (256.0 * (1 << 12)) - 0.5), 6) AS maxx, round(90.0 - 360.0 * atan(exp(-(0.5 - ty * 256 / (256.0 * (1 << 12))) * 2 * pi())) / pi(), 6) AS maxy, round(tx * 256 * (2 * pi() * 6378137.0 / (256 * (1 << 12))) - pi() * 6378137.0, 4) AS metres FROM {_TILES}")
+def tile_bounds(spark, sf):
+    tx, ty = spatial.tile_of_pixel(spatial.pixel_x(F.col("lon"), 12)), spatial.tile_of_pixel(spatial.pixel_y(F.col("lat"), 12))
+    tiles = _places(spark, sf).select("c_custkey", tx.alias("tx"), ty.alias("ty")).withColumn("e", spatial.tile_extent(F.col("tx"), F.col("ty"), 12))
+    px = spatial.pixel_of_tile(F.col("tx"))
+    return tiles.select("c_custkey", px.alias("px"), F.round("e.minx", 6).alias("minx"), F.round("e.maxx", 6).alias("maxx"), F.round("e.maxy", 6).alias("maxy"), F.round(spatial.pixels_to_metres(px, 12), 4).alias("metres"))
+
+
+@query(f"SELECT c_custkey, round(cos(least(greatest(lat, -85.05112878), 85.05112878) * (pi() / 180)) * (2 * pi() * 6378137.0) / (256 * (1 << 3)) * (96 / 0.0254), 2) AS scale, (256 * (1 << 3))::BIGINT AS pixels FROM (SELECT c_custkey, {_PLACE} FROM customer)")
+def map_scale(spark, sf):
+    return _places(spark, sf).select("c_custkey", F.round(spatial.map_scale(F.col("lat"), 3, 96), 2).alias("scale"), spatial.map_size(3).alias("pixels"))
+
+
 _BOXES = f"(SELECT c_custkey, lon AS minx, lat AS miny, least(lon + (c_custkey % 50) / 10.0, 180.0) AS maxx, least(lat + (c_custkey % 30) / 10.0, 85.0) AS maxy FROM (SELECT c_custkey, {_PLACE} FROM customer))"
 _LEVEL = f"(SELECT *, coalesce(list_filter(range(1, 24), lambda z: {_px('z', 'minx')} // 256 <> {_px('z', 'maxx')} // 256 OR {_py('z', 'miny')} // 256 <> {_py('z', 'maxy')} // 256)[1] - 1, 23) AS z FROM {_BOXES})"
 _KEYS = f"(SELECT *, CASE WHEN z = 0 THEN '' ELSE list_aggregate([((({_px('z', 'minx')} // 256 >> (i - 1)::INTEGER) & 1) + 2 * (({_py('z', 'maxy')} // 256 >> (i - 1)::INTEGER) & 1))::VARCHAR FOR i IN range(z, 0, -1)], 'string_agg', '') END AS key FROM {_LEVEL})"

@@ -99,6 +99,16 @@ class Context:
         """Queue rows; ``mode`` says what happens where a key exists (add, merge, replace)."""
         return self._queue(entity, df, mode)
 
+    def add_with_keys(self, entity: str, df: DataFrame, partition: str, row: str = "", mode: str = write.ADD) -> Context:
+        """Queue rows under explicit keys."""
+        return self._queue(entity, self.entities[entity].from_keys(df, partition, row), mode)
+
+    def delete_by_key(self, entity: str, partition: str, row: str = "") -> Context:
+        """Queue the deletion of the row of one key."""
+        model = self.entities[entity]
+        one = model.from_keys(self.spark.range(1).select(), partition, row)
+        return self._queue(entity, one, write.DELETE)
+
     def update(self, entity: str, df: DataFrame) -> Context:
         return self._queue(entity, df, write.UPDATE)
 

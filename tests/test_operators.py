@@ -115,6 +115,21 @@ def test_index_without_row_keys_keeps_the_last_write(spark):
         e.with_index("name", ["name"])
 
 
+def test_distinct_by(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
+    assert sorted(map(tuple, ix.distinct_by(rows, ["k"], [F.col("v")]).collect())) == [(1, "a"), (2, "c")]
+    assert ix.distinct_by(rows, ["k"]).count() == 2
+
+
+def test_custom_encoding_and_separator(spark):
+    e = Entity("t", schema_of("a string, b string")).with_keys(["a", "b"]).with_separator("|").with_encoding("b", lambda s: s[::-1], F.reverse, F.reverse)
+    rows = spark.createDataFrame([("x", "abc"), ("y|z", None)], "a string, b string")
+    stored = e.encode(rows)
+    assert sorted(r["PartitionKey"] for r in stored.collect()) == ["x|cba", "y|z|"]
+    assert e.decode(e.encode(rows.where("a = 'x'"), drop_members=True)).first().asDict() == {"a": "x", "b": "abc"}
+    assert e.part_text("PartitionKey", e.partition[1], "abc") == "cba"
+
+
 def test_revisions_are_not_indexed(spark):
     rows = spark.createDataFrame([(1, "a", False), (2, "a", True)], "k long, name string, is_revision boolean")
     e = Entity("t", rows.schema).with_keys(["k"]).with_index("name", ["name"])
@@ -249,6 +264,10 @@ def test_context_saves_and_derives_indexes(spark, tmp_path):
     with pytest.raises(KeyError):
         c.find_by_index("people", age=6)
     assert c.query("people").find([2]).count() == 1
+    c.add_with_keys("people", spark.createDataFrame([("new", 3)], "name string, age int"), "11").delete_by_key("people", "2")
+    c.save()
+    assert [tuple(r) for r in c.table("people").select("k", "name", "age").collect()] == [(11, "new", 3)]
+    assert [tuple(x) for x in c.query("people").to_objects(lambda k, name, age: (name, age))] == [("new", 3)]
     c.recreate_tables()
     assert c.table("people").count() == 0
 
