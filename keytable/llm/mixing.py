@@ -110,6 +110,8 @@ def draw_slots(sources: DataFrame, *, shard_slots: int, seed: str) -> DataFrame:
     drawn = draws.withColumn("cell", cell(F.col("u"))).join(held, "cell").where("u >= lo and u < hi").groupBy("s", "shard").agg(F.count("*").alias("count"))
     counts = base.unionByName(drawn).groupBy("s", "shard").agg(F.sum("count").alias("count")).withColumn("bucket", F.expr("shard div 1024"))
     counts = running_total(counts, "s", "bucket", ["shard"], "count", "start")
+    # few rows here, each of thousands of slots: dealt out before they unfold
+    counts = counts.select("s", "shard", "start", "count").repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "shard")
     found = counts.join(live.select("s", "blocks", "rounds"), "s").select("s", "blocks", "rounds", "shard", F.explode(F.expr("sequence(start, start + count - 1)")).alias("k"))
     return found.where(f"k < {MOST} * blocks").select("s", "shard", "k", permuted("k % blocks").alias("block"))
 
