@@ -1,7 +1,7 @@
 """Personal data: format-preserving Feistel pseudonyms.
 
-Card numbers (Luhn), IPv4 addresses, social security and telephone numbers and calendar
-dates are validated and then permuted, under a key, within the values of their own
+Card numbers (Luhn), bank accounts (IBAN, modulo 97), IPv4 addresses, social security and
+telephone numbers and calendar dates are validated and then permuted, under a key, within the values of their own
 format: a card number becomes another one that passes the Luhn check, a date another
 date, with the separators it had. The permutation is a Feistel network of ``ROUNDS``
 rounds whose halves are added modulo the sizes of the two parts, so it is a bijection:
@@ -20,17 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY, ROUNDS = "keytable", 8
-KINDS = ("email", "date", "ip", "phone", "ssn", "card")
+KINDS = ("email", "date", "ip", "phone", "ssn", "iban", "card")
 # The formats. A match stands alone among letters and digits.
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
-DATE = "(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
+DATE = "(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\\1[0-9]{4})(?![0-9A-Za-z/-])"
 IP = "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\\.[0-9])"
 PHONE = "(?<![0-9A-Za-z])(?:\\+?1[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 SSN = "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 CARD = "(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, DATE, IP, PHONE, SSN, CARD))
+IBAN = "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"
+ANY = "|".join((EMAIL, DATE, IP, PHONE, SSN, IBAN, CARD))
 GATE = "@|[0-9][ .-]?[0-9]"
-_SHAPES = (("email", "@"), ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), ("ip", "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"), ("ssn", "^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("phone", f"^(?:{PHONE})$"), ("card", "^[0-9](?:[ -]?[0-9]){12,18}$"))
+_SHAPES = (("email", "@"), ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), ("ip", "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"), ("ssn", "^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("phone", f"^(?:{PHONE})$"), ("iban", "^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), ("card", "^[0-9](?:[ -]?[0-9]){12,18}$"))
 #: Days permuted together: 270 * 270 of them, from 1900-01-01 on, before, and after.
 _DAYS = 270
 
@@ -44,10 +45,11 @@ def kind_sql(value: str) -> str:
     digits = f"regexp_replace({value}, '[^0-9]', '')"
     valid = {
         "email": "true",
-        "date": f"try_to_date({value}, 'yyyy-MM-dd') is not null",
+        "date": f"{day_sql(value)} is not null",
         "ip": f"forall(split({value}, '[.]'), o -> cast(o as int) < 256)",
         "ssn": f"not ({value} rlike '^(000|666|9)|-00-|-0000$')",
         "phone": "true",
+        "iban": f"{mod97_sql(f'concat(substr({value}, 5), substr({value}, 1, 4))')} = 1",
         "card": luhn_sql(digits) + " = 0",
     }
     cases = " ".join(f"when {value} rlike '{_quote(shape)}' then if({valid[kind]}, '{kind}', null)" for kind, shape in _SHAPES)
@@ -59,6 +61,24 @@ def luhn_sql(digits: str) -> str:
     return f"(aggregate(transform(filter(split(reverse({digits}), ''), c -> c <> ''), (c, i) -> if(i % 2 = 1, cast(c as int) * 2 - if(cast(c as int) > 4, 9, 0), cast(c as int))), 0, (s, d) -> s + d) % 10)"
 
 
+def mod97_sql(text: str) -> str:
+    """A string of digits and capitals (A is 10, Z is 35) as a number modulo 97."""
+    code = "instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1"
+    return f"aggregate(filter(split({text}, ''), c -> c <> ''), 0, (s, c) -> (s * if(c rlike '[0-9]', 10, 100) + {code}) % 97)"
+
+
+def format_sql(value: str) -> str:
+    """How a date is written: year first, day first with dots, or with slashes month
+    first where that is a date, else day first."""
+    return f"(case when {value} like '____-%' then 'yyyy-MM-dd' when {value} like '__.%' then 'dd.MM.yyyy' when try_to_date({value}, 'MM/dd/yyyy') is not null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end)"
+
+
+def day_sql(value: str) -> str:
+    """The date, or null if there is no such day."""
+    slashes = f"coalesce(try_to_date({value}, 'MM/dd/yyyy'), try_to_date({value}, 'dd/MM/yyyy'))"
+    return f"(case when {value} like '____-%' then try_to_date({value}, 'yyyy-MM-dd') when {value} like '__.%' then try_to_date({value}, 'dd.MM.yyyy') else {slashes} end)"
+
+
 def feistel_sql(left: str, right: str, left_size: str, right_size: str, key: str, invert: bool = False) -> str:
     """A struct (l, r): two numbers below the given sizes, permuted together. In each
     round one part, in turn, moves by a keyed hash of the other."""
@@ -92,14 +112,20 @@ def pseudonym_sql(value: str, kind: str, key: str = KEY, invert: bool = False) -
     if kind == "email":
         return f"concat('u', substr(md5(concat('{_quote(key)}:email:', lower({value}))), 1, 12), '@masked.invalid')"
     if kind == "date":
-        day = f"datediff(to_date({value}, 'yyyy-MM-dd'), date'1900-01-01')"
+        day = f"datediff({day_sql(value)}, date'1900-01-01')"
         block, within = f"floor({day} / {_DAYS * _DAYS})", f"pmod({day}, {_DAYS * _DAYS})"
         net = feistel_sql(f"{within} div {_DAYS}", f"{within} % {_DAYS}", str(_DAYS), str(_DAYS), f"{key}:date", invert)
-        return f"transform(array({net}), x -> date_format(date_add(date'1900-01-01', cast({block} * {_DAYS * _DAYS} + x.l * {_DAYS} + x.r as int)), 'yyyy-MM-dd'))[0]"
+        return f"transform(array({net}), x -> date_format(date_add(date'1900-01-01', cast({block} * {_DAYS * _DAYS} + x.l * {_DAYS} + x.r as int)), {format_sql(value)}))[0]"
     if kind == "ip":
         o = f"split({value}, '[.]')"
         net = feistel_sql(f"cast({o}[0] as int) * 256 + cast({o}[1] as int)", f"cast({o}[2] as int) * 256 + cast({o}[3] as int)", "65536", "65536", f"{key}:ip", invert)
         return f"transform(array({net}), x -> concat_ws('.', x.l div 256, x.l % 256, x.r div 256, x.r % 256))[0]"
+    if kind == "iban":  # the country stays, the digits move, the check digits follow
+        inner = f"substr({value}, 5)"
+        body = _spread_sql(inner, _digits_sql(f"regexp_replace({inner}, '[^0-9]', '')", f"{key}:iban", invert))
+        check = f"98 - {mod97_sql(f"concat(b, substr({value}, 1, 2), '00')")}"
+        moved = f"transform(array({body}), b -> concat(substr({value}, 1, 2), lpad(cast({check} as string), 2, '0'), b))[0]"
+        return f"if(length(regexp_replace({inner}, '[^0-9]', '')) < 2, {value}, {moved})"
     if kind == "card":  # the check digit follows from the others
         body = _digits_sql(f"substr({digits}, 1, length({digits}) - 1)", f"{key}:card", invert)
         full = f"transform(array({body}), b -> concat(b, cast(pmod(10 - {luhn_sql("concat(b, '0')")}, 10) as string)))[0]"

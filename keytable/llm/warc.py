@@ -56,7 +56,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
 
 
 def _open(url: str):
-    return pafs.FileSystem.from_uri(url)
+    """The file system and path of a url; ``file:/x`` is ``file:///x``."""
+    return pafs.FileSystem.from_uri("file:///" + url[5:].lstrip("/") if url.startswith("file:") else url)
 
 
 def write(pages: DataFrame, *, smallest: int = 0, compress: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -415,6 +415,21 @@ def card(n):
     return next(body + c for c in "0123456789" if luhn(body + c))
 
 
+def iban(country, account):
+    code = lambda t: int("".join(str(int(c, 36)) for c in t))
+    return f"{country}{98 - code(account + country + '00') % 97:02d}{account}"
+
+
+def test_written_dates(spark):
+    rows = [(1, "on 29.02.1984, 12/31/1999, 31/12/1999; not 30.02.1984 or 1.2.2003 or 13/13/2000"), (2, "1984-02-29 GB82WEST12345698765432 GB83WEST12345698765432")]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one, two = out[1], out[2]
+    german, american, british = re.search(r"on (\d\d\.\d\d\.\d{4}), (\d\d/\d\d/\d{4}), (\d\d/\d\d/\d{4}); not 30.02.1984 or 1.2.2003 or 13/13/2000$", one["text"]).groups()
+    d, mo, y = german.split(".")
+    assert two["text"].startswith(f"{y}-{mo}-{d} GB") and american.split("/")[0] == british.split("/")[1] and american[6:] == british[6:]
+    assert one["n_date"] == 3 and two["n_iban"] == 1 and two["text"].endswith(" GB83WEST12345698765432") and "WEST12345698765432 " not in two["text"]
+
+
 def test_pseudonyms_keep_their_format_and_link(spark):
     rows = [
         (1, f"card {card(7)} and {card(7)[:4]}-{card(7)[4:8]}-{card(7)[8:12]}-{card(7)[12:]}, ip 10.0.0.1, born 1984-02-29"), (2, f"again {card(7)}; call +1 (988) 555-2485 or 988-555-2485, ssn 123-45-6789, a.b@mail.example.com"),
@@ -432,7 +447,7 @@ def test_pseudonyms_keep_their_format_and_link(spark):
     assert [out[1][f"n_{k}"] for k in ("card", "ip", "date", "phone")] == [2, 1, 1, 0] and out[2]["n_phone"] == 2 and out[3]["n_card"] == 0
 
 
-@pytest.mark.parametrize(("kind", "values"), [("card", [card(i) for i in range(300)]), ("ip", [f"10.{i}.0.{i % 7}" for i in range(250)]), ("date", [f"{y}-{m:02d}-15" for y in range(1890, 2110, 7) for m in range(1, 13)]), ("ssn", [f"123-{i // 90 + 1:02d}-{i + 1:04d}" for i in range(300)]), ("phone", [f"+1 (555) {i:03d}-0100" for i in range(300)])])
+@pytest.mark.parametrize(("kind", "values"), [("card", [card(i) for i in range(300)]), ("ip", [f"10.{i}.0.{i % 7}" for i in range(250)]), ("date", [f"{y}-{m:02d}-15" for y in range(1890, 2110, 7) for m in range(1, 13)]), ("ssn", [f"123-{i // 90 + 1:02d}-{i + 1:04d}" for i in range(300)]), ("phone", [f"+1 (555) {i:03d}-0100" for i in range(300)]), ("iban", [iban("GB", f"WEST{i:014d}") for i in range(300)])])
 def test_pseudonyms_are_invertible(spark, kind, values):
     df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("p", F.expr(pii.pseudonym_sql("v", kind))).withColumn("k", F.expr(pii.kind_sql("p"))).withColumn("b", F.expr(pii.pseudonym_sql("p", kind, invert=True)))
     rows = df.collect()
