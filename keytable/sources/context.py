@@ -109,7 +109,11 @@ class Context:
         one = model.from_keys(self.spark.range(1).select(), partition, row)
         return self._queue(entity, one, write.DELETE)
 
-    def update(self, entity: str, df: DataFrame) -> Context:
+    def update(self, entity: str, df: DataFrame, children: Mapping[str, DataFrame] | None = None) -> Context:
+        """Queue changes to existing rows, and with them rows of collections by name."""
+        for name, rows in (children or {}).items():
+            declared = next(c for c in self.entities[entity].collections if c.name == name)
+            self._queue(declared.child, rows, write.MERGE)
         return self._queue(entity, df, write.UPDATE)
 
     def delete(self, entity: str, df: DataFrame) -> Context:

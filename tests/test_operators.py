@@ -272,6 +272,19 @@ def test_context_saves_and_derives_indexes(spark, tmp_path):
     assert c.table("people").count() == 0
 
 
+def test_updates_cascade_to_collections(spark, tmp_path):
+    parent = Entity("parent", schema_of("k long, v string")).with_keys(["k"]).with_collection("items", "child", {"k": "k"})
+    child = Entity("child", schema_of("k long, i long, w string")).with_keys(["k"], ["i"])
+    c = Context(spark, f"file://{tmp_path}", [parent, child])
+    c.create_tables()
+    c.add("parent", spark.createDataFrame([(1, "a")], parent.schema))
+    c.save()
+    c.update("parent", spark.createDataFrame([(1, "b")], parent.schema), {"items": spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], child.schema)})
+    assert set(c.save()) == {"parent", "child"}
+    assert [tuple(r) for r in c.table("parent").collect()] == [(1, "b")]
+    assert sorted(r["w"] for r in c.collection("parent", "items", {"k": 1}).collect()) == ["x", "y"] and c.collection("parent", "items").count() == 2
+
+
 def test_streamed_upserts(spark, tmp_path):
     from keytable.streaming import upsert as stream
 
