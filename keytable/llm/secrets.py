@@ -33,7 +33,14 @@ BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 RATE = 0.2
-_BINS, _PER_OCTAVE = 400, 4
+BINS, PER_OCTAVE = 400, 4
+# The alphabets of common encodings, the narrowest first.
+DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = [
+    ("^[0-9a-f]+$", DIGITS + "abcdef"), ("^[0-9A-F]+$", DIGITS + "ABCDEF"), ("^[A-Z2-7]+$", UPPER + "234567"), ("^[A-Z0-9]+$", DIGITS + UPPER),
+    ("^[a-z0-9]+$", DIGITS + LOWER), ("^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER), ("^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
+]
+OTHER = UPPER + LOWER + DIGITS + "-_+/="
 
 
 def _matches(hits: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
@@ -66,11 +73,8 @@ def _two_sided(z: Column) -> Column:
 def test_battery(tokens: DataFrame) -> DataFrame:
     """``tokens`` with column p: the combined p-value of noise in the inferred alphabet."""
     value = F.regexp_replace("value", "=+$", "")
-    digits = "0123456789"
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    alphabets = [("^[0-9a-f]+$", digits + "abcdef"), ("^[0-9A-F]+$", digits + "ABCDEF"), ("^[A-Z2-7]+$", upper + "234567"), ("^[A-Z0-9]+$", digits + upper), ("^[a-z0-9]+$", digits + lower), ("^[A-Za-z0-9]+$", digits + upper + lower), ("^[A-Za-z0-9+/]+$", upper + lower + digits + "+/")]
-    alphabet = F.lit(upper + lower + digits + "-_+/=")
-    for pattern, letters in reversed(alphabets):
+    alphabet = F.lit(OTHER)
+    for pattern, letters in reversed(ALPHABETS):
         alphabet = F.when(F.col("plain").rlike(pattern), F.lit(letters)).otherwise(alphabet)
     # stages, so that each array is made once
     t = tokens.withColumn("plain", value).withColumn("alphabet", alphabet).withColumn("n", F.length("plain").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
@@ -97,22 +101,26 @@ def test_battery(tokens: DataFrame) -> DataFrame:
 
 def noise(tested: DataFrame, rate: float) -> DataFrame:
     """The tokens that stay after Benjamini-Hochberg rejects noise, per length class."""
-    binned = tested.withColumn("class", F.floor(2 * F.log2("n")).cast("int")).withColumn("bin", F.least(F.lit(_BINS), F.floor(-F.log2("p") * _PER_OCTAVE)).cast("int"))
+    binned = tested.withColumn("class", F.floor(2 * F.log2("n")).cast("int")).withColumn("bin", F.least(F.lit(BINS), F.floor(-F.log2("p") * PER_OCTAVE)).cast("int"))
     counts = binned.groupBy("class", "bin").agg(F.count("*").alias("c"))
     total = F.sum("c").over(W.partitionBy("class"))
     below = F.sum("c").over(W.partitionBy("class").orderBy(F.col("bin").desc()))
-    largest = F.pow(F.lit(2.0), -F.col("bin") / _PER_OCTAVE)  # of the p-values in a bin
+    largest = F.pow(F.lit(2.0), -F.col("bin") / PER_OCTAVE)  # of the p-values in a bin
     limits = counts.select("class", "bin", (largest <= rate * below / total).alias("out")).groupBy("class").agg(F.min(F.when(F.col("out"), F.col("bin"))).alias("limit"))
     # at most two classes per octave of length and one row each: a proven bound
     return binned.join(F.broadcast(limits), "class").where(F.col("limit").isNull() | (F.col("bin") < F.col("limit")))
 
 
+def may_hold(text: Column) -> Column:
+    """Whether any pattern matches; most texts end here."""
+    return text.rlike(TOKEN) | text.rlike(HEX) | (text.contains("AKIA") & text.rlike(ACCESS)) | text.rlike(ASSIGN)
+
+
 def find(docs: DataFrame, *, rate: float = RATE) -> DataFrame:
     """(doc_id, text of rows that may hold secrets, spans): spans is an array of
     (start, kind, end, order) sorted by start, then kind as listed in ``KINDS``."""
     text = text_column(docs)
-    gate = text.rlike(TOKEN) | text.rlike(HEX) | (text.contains("AKIA") & text.rlike(ACCESS)) | text.rlike(ASSIGN)
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(gate, text).alias("text")), "gated")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(may_hold(text), text).alias("text")), "gated")
     hits = rows.where(F.col("text").isNotNull())
     base = None
     for kind, pattern, group, least in BASE:
@@ -138,8 +146,11 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame, *, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span (overlapping ones merged) replaced by ``mark``."""
-    tagged = materialize(docs.withColumn("__id", F.monotonically_increasing_id()), "tagged")
+    """``docs`` with every span (overlapping ones merged) replaced by ``mark``. Texts
+    that no pattern matches are not shuffled."""
+    marked = docs.withColumn("__id", F.monotonically_increasing_id()).withColumn("__gate", F.coalesce(may_hold(F.col("text").cast("string")), F.lit(False)))
+    marked = materialize(marked, "marked")
+    tagged = marked.where("__gate")
     narrow = tagged.select(F.col("__id").alias("doc_id"), "text")
     found = find(narrow, rate=rate).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
     # merged spans, then the text between them
@@ -153,4 +164,4 @@ def redact(docs: DataFrame, *, rate: float = RATE, mark: str = "[SECRET]") -> Da
     )
     joined = tagged.join(found, "__id", "left").withColumn("__m", F.when(F.col("__spans").isNotNull(), merged))
     clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.col("__m.out"), F.expr("substring(text, cast(__m.upto as int) + 1)")))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    return marked.where("not __gate").select(*docs.columns).unionByName(joined.withColumn("text", clean).select(*docs.columns))
