@@ -125,7 +125,8 @@ def lay_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
     few = sources.count() <= BROADCAST_SOURCES
     numbered = sources.select(F.col("source").alias("__source"), "s", "source_size", "target")
     rows = sized.join(F.broadcast(numbered) if few else numbered, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    buckets = sized.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 2000)).alias("n")).first()["n"]
+    # as many buckets as rows in one: neither level of the running totals is long
+    buckets = sized.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")))).alias("n")).first()["n"]
     rows = rows.withColumn("bucket", hash32(F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  % F.lit(int(buckets)))
     return running_total(rows, "s", "bucket", ["doc_id", "size"], "size", "offset")
 

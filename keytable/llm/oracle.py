@@ -80,7 +80,7 @@ ks AS (SELECT s, unnest(range(start, start + count)) AS k FROM starts),
 slots AS (SELECT s, blocks, (1 << (length(bin(blocks)) - 1)::BIGINT) - 1 AS mask, ((length(bin(blocks)) - 1) // 2 + 1)::BIGINT AS half, k % blocks AS x0 FROM ks JOIN live USING (s) WHERE k < {most} * blocks),
 {", ".join(steps)},
 used AS (SELECT s, {state} AS block, count(*) AS times FROM p{rounds - 1} GROUP BY 1, 2),
-n AS (SELECT greatest(1, ceil(count(*) / 2000.0))::BIGINT AS n FROM sized),
+n AS (SELECT greatest(1, ceil(sqrt(count(*))))::BIGINT AS n FROM sized),
 placed0 AS (SELECT doc_id, size, s, source_size, target, {_hash32("'order:' || coalesce(doc_id::VARCHAR, '')")} % (SELECT n FROM n) AS bucket, row_number() OVER () AS r FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source),
 placed AS (SELECT *, (sum(size) OVER (PARTITION BY s ORDER BY bucket, doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS off FROM placed0),
 parts AS (SELECT r, s, block, least((block + 1) * {block_words}, off + size) - greatest(block * {block_words}, off) AS words FROM (SELECT r, s, size, off, unnest(range(off // {block_words}, (off + size - 1) // {block_words} + 1)) AS block FROM placed WHERE size > 0)),
