@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import materialize
+from keytable.llm.storage import materialize, small_batches
 from keytable.llm.words import ALNUM, encode, slices, split
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 
 
@@ -231,6 +231,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     items (item_ids, as strings, of items with a phrase in the text), in place of any
     columns of these names."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("n_words", "spans", "items")
     at = docs.columns.index("text")
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items")).schema
@@ -311,6 +312,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
         return frame.mapInArrow(run, docs.schema)
 
     spark, out = docs.sparkSession, docs
+    small_batches(spark)
     first = True
     for _ in range(2):
         count = 0

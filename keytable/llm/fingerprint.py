@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import text_column
+from keytable.llm.storage import small_batches, text_column
 
 DENSE, SIGNS = 8, 128
 _SENTENCE = re.compile(rb"(?<=[.!?|])\s+")
@@ -106,6 +106,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fingerprint(docs: DataFrame, *, name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of every whole text in column ``name``, in place of
     any column of that name."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(name)
     at = docs.columns.index("text")
 
@@ -167,6 +168,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """For every row: n_chars, the digest of its edited text (see ``edit``), both
     fingerprints, and the likeness of the row's fingerprint to the edited text's and
     to the next row's."""
+    small_batches(docs.sparkSession)
     fields = ["doc_id long", "n_chars long", "edited_sha256 string", "fingerprint string", "edited_fingerprint string", "near_edited double", "near_next double"]
 
     def answer(ids: list, texts: list[str], after: list[str]) -> pa.RecordBatch:

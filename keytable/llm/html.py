@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import materialize
+from keytable.llm.storage import materialize, small_batches
 
 GAMMA, LEAST, DEPTH = 0.9, 0.2, 24
 MIN_PAGES = 8  # a node seen on fewer pages says nothing about its site
@@ -302,6 +302,7 @@ def importance(counts: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, *, least: float = LEAST) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
+    small_batches(pages.sparkSession)
     low = materialize(importance(node_counts(pages)).where((F.col("importance") < least) & (F.col("pages") >= MIN_PAGES)).select("host", "path"), "branches")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host().alias("host"))
     spark = pages.sparkSession

@@ -41,14 +41,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytable.llm.components import merge_labels
-from keytable.llm.storage import materialize
+from keytable.llm.storage import materialize, small_batches
 from keytable.llm.words import BLANK, encode, mix, word_hashes
 
 SLACK = 0.35  # blocks beyond the D + 1 that the pigeonhole needs
 SKETCH_BITS = 1024
 BAND_RATIO = 1.25
 PART_BYTES = 4 << 20
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _A = np.uint64(0x9FB21C651E98DF25)
 #: More ids than this are not broadcast but joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -180,7 +180,7 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def _texts(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _texts(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts in groups of bounded size."""
     ids: list = []
     texts: list[bytes] = []
@@ -365,6 +365,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     """(doc_id, n_shingles, component_id): texts whose shingle sets have a Jaccard
     similarity of ``percent`` or more are linked; component_id is the smallest doc_id
     reachable by links. Rows without an id are their own component (null)."""
+    small_batches(docs.sparkSession)
     table = materialize(sets_table(docs, size), "classes")
     filled = table.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(filled.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")

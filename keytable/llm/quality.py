@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import text_column
+from keytable.llm.storage import small_batches, text_column
 
 WIDTH, CELL, CELLS, HOP = 4, 128, 8, 7  # chunks of 8 cells, one cell shared with the next
 LAGS = range(2, 17)
@@ -197,6 +197,7 @@ def score(docs: DataFrame, model: Model, *, name: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in column ``name``, in place of any
     column of that name."""
     docs = docs.drop(name)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
     at = docs.columns.index("text")
@@ -206,9 +207,9 @@ def score(docs: DataFrame, model: Model, *, name: str = "score") -> DataFrame:
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             found = np.empty(len(texts))
             a = 0
-            while a < len(texts):  # about 4 MB at a time
+            while a < len(texts):  # about 2 MB at a time
                 b, total = a, 0
-                while b < len(texts) and (b == a or total < 4 << 20):
+                while b < len(texts) and (b == a or total < 2 << 20):
                     total += len(texts[b])
                     b += 1
                 found[a:b] = scores(shared.value, texts[a:b])

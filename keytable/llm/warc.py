@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import materialize, scratch_path
+from keytable.llm.storage import materialize, scratch_path, small_batches
 
 GZIP_MAGIC, PLAIN_MAGIC = b"\x1f\x8b\x08", b"WARC/1."
 ARCHIVE_BYTES = 128 << 20
@@ -64,6 +64,7 @@ def write(pages: DataFrame, *, smallest: int = 0, compress: bool = True, archive
     """Write (page_id, url, html) and return the manifest (path, size). Payloads of
     fewer than ``smallest`` bytes are always responses."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = scratch_path(spark, "warc")
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
