@@ -172,9 +172,9 @@ def _joined(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def page_nodes(page: str) -> tuple[Counter, Counter]:
-    """What a page adds to its site's tree: (path, style) and (path, feature) of the
-    nodes that do not say what they are."""
+def page_nodes(page: str) -> tuple[set, set, set]:
+    """What a page adds to its site's tree: (path, style), (path, feature) and (path, 0)
+    of the nodes that do not say what they are."""
     styles: set[tuple[str, int]] = set()
     features: set[tuple[str, int]] = set()
     stack: list[Element] = []
@@ -206,7 +206,7 @@ def page_nodes(page: str) -> tuple[Counter, Counter]:
             if not value.noise and not value.protected and value.tag not in INLINE:
                 styles.add((value.path, hash64("|".join(dict.fromkeys(value.children)))))
     flush()
-    return Counter(styles), Counter(features)
+    return styles, features, {(path, 0) for path, _ in styles}
 
 
 def hash64(text: str) -> int:
@@ -255,7 +255,8 @@ def _host():
 
 def node_counts(pages: DataFrame) -> DataFrame:
     """(host, path, kind, key, pages): on how many pages of a host a node has a style
-    (kind 0) or a feature (kind 1). Combined per task before the shuffle."""
+    (kind 0), has a feature (kind 1), or is at all (kind 2). Combined per task before the
+    shuffle."""
     fields = "host string, path string, kind int, key long, pages long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,10 +284,11 @@ def node_counts(pages: DataFrame) -> DataFrame:
 
 def importance(counts: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of every node of the sites' trees."""
-    styles = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("m"), F.sum(F.col("pages") * F.log("pages")).alias("plogp"), F.count("*").alias("l"))
-    # a node closed several times on a page counts once per style
-    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("plogp") / F.col("m")) / F.log("m")).otherwise(1.0)
-    nodes = styles.withColumn("presentation", entropy)
+    styles = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("total"), F.sum(F.col("pages") * F.log("pages")).alias("plogp"), F.count("*").alias("l"))
+    seen = counts.where("kind = 2").select("host", "path", F.col("pages").alias("m"))
+    # a node that repeats on a page may have several styles there
+    entropy = F.least(F.lit(1.0), (F.log("total") - F.col("plogp") / F.col("total")) / F.log("m"))
+    nodes = styles.join(seen, ["host", "path"]).withColumn("presentation", F.when(F.col("m") > 1, entropy).otherwise(1.0))
     features = counts.where("kind = 1").groupBy("host", "path").agg(F.sum(F.log("pages")).alias("logs"), F.count("*").alias("features"))
     # content counts for the node and for all branches that hold it
     split = F.split("path", "/")
