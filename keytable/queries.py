@@ -89,7 +89,7 @@ def key_point_columns(spark, sf):
     return root(spark, sf, CUSTOMER).where(m("c_custkey") == 42).select("c_custkey", "c_acctbal").df()
 
 
-@query("SELECT c_custkey, to_json(map {'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS bag FROM customer WHERE c_custkey < 50")
+@query("SELECT c_custkey, to_json(map {'c_name': c_name, 'c_mktsegment': c_mktsegment})::VARCHAR AS bag FROM customer WHERE c_custkey < 50")
 def property_bag(spark, sf):
     rows = root(spark, sf, CUSTOMER).where(m("c_custkey") < 50).df()
     return rows.select("c_custkey", F.to_json(props.property_bag(rows, ["c_name", "c_mktsegment"])).alias("bag"))
@@ -408,11 +408,11 @@ def collection_of_one(spark, sf):
     return relation.children_of(context(spark, sf).table("nation"), NATIONS, {"r_regionkey": 2})
 
 
-@query("SELECT r_regionkey, list(n_name ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+@query("SELECT r_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def collection_nested(spark, sf):
     c = context(spark, sf)
     nested = relation.nest_children(c.table("region"), c.table("nation"), NATIONS, ["n_name"])
-    return nested.select("r_regionkey", F.transform("nations", lambda n: n["n_name"]).alias("nations"))
+    return nested.select("r_regionkey", F.array_join(F.transform("nations", lambda n: n["n_name"]), ",").alias("nations"))
 
 
 # --- writes ----------------------------------------------------------------------
@@ -504,7 +504,7 @@ def size_reducer(spark, sf):
     return docs.select("doc_id", props.reduce_size(F.col("text"), lambda c: F.concat(F.lit("reduced:"), F.md5(c)), 4000).alias("text"))
 
 
-@query("SELECT doc_id, to_json(map {'source': source, 'lang': 'xx'}) AS extra FROM documents")
+@query("SELECT doc_id, to_json(map {'source': source, 'lang': 'xx'})::VARCHAR AS extra FROM documents")
 def additional_properties(spark, sf):
     docs = context(spark, sf).table("documents").select("doc_id", F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("extra"))
     more = props.add_properties(docs, F.create_map(F.lit("lang"), F.lit("xx"), F.lit("doc_id"), F.lit("no")))
