@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keytable.functions import geojson
 from keytable.model import PARTITION_KEY, ROW_KEY, Entity
 from keytable.operators import index as index_ops
-from keytable.operators import relation, write
+from keytable.operators import relation, spatial_index, write
 from keytable.plans.query import Query
 
 
@@ -142,7 +143,7 @@ class Context:
         try:
             for entity in list(self.pending):
                 model = self.entities[entity]
-                after = self.apply_pending(entity)
+                after = self.apply_pending(entity).sortWithinPartitions(*self.key_members(model))
                 self._swap(entity, after)
                 done[entity] = [entity, *self.write_indexes(model)]
         finally:
@@ -158,9 +159,25 @@ class Context:
             rows = frames[0]
             for more in frames[1:]:
                 rows = rows.unionByName(more, allowMissingColumns=True)
-            self._swap(name, rows)
+            self._swap(name, self._laid_out(rows, [PARTITION_KEY, ROW_KEY]))
         return list(tables)
 
+    def _laid_out(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Ranges of keys per file, sorted, so that file and row-group statistics leave a
+        lookup little to read."""
+        return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def write_spatial_index(self, entity: str, geometry: str) -> str:
+        """The covering quad-tree index of a GeoJSON column, as table <entity>SpatialIndex."""
+        name = f"{entity}SpatialIndex"
+        rows = spatial_index.derive(self.table(entity), geojson.extent_column(F.col(geometry)))
+        self._swap(name, self._laid_out(rows, [spatial_index.TILE_COLUMN]))
+        return name
+
+    def spatial_search(self, entity: str, query: str, geometry: str) -> DataFrame:
+        """Rows whose geometry intersects the query geometry, by the stored index."""
+        return spatial_index.search(self.table(f"{entity}SpatialIndex"), self.key_members(self.entities[entity]), query, geometry)
+
     def _swap(self, name: str, df: DataFrame) -> None:
         """Write beside the old table, then put it in its place."""
         fresh = f"{self.path(name)}.next"

@@ -246,6 +246,19 @@ def test_spatial_search_equals_brute_force(spark):
     assert sorted(r["id"] for r in spatial_index.search(cut, ["id"], query, "shape").collect()) == expected
 
 
+def test_stored_spatial_index(spark, tmp_path):
+    e = Entity("areas", schema_of("id long, shape string")).with_keys(["id"])
+    c = Context(spark, f"file://{tmp_path}", [e])
+    rows = [(i, polygon(i - 90.0, i / 3.0, i - 88.0, i / 3.0 + 1)) for i in range(120)]
+    c.register("areas", spark.createDataFrame(rows, e.schema))
+    assert c.write_spatial_index("areas", "shape") == "areasSpatialIndex"
+    query = polygon(-40.0, 10.0, -20.0, 30.0)
+    expected = sorted(i for i, s in rows if geojson.intersects(geojson.read(s), geojson.read(query)))
+    found = c.spatial_search("areas", query, "shape")
+    assert sorted(r["id"] for r in found.collect()) == expected and expected
+    assert "StringStartsWith(tile" in found._jdf.queryExecution().toString()
+
+
 def test_points_and_world(spark):
     box = lambda *e: spark.createDataFrame([e], "a double, b double, c double, d double").select(spatial.extent_quadkey(*map(F.col, "abcd"))).first()[0]
     assert len(box(10.0, 50.0, 10.0, 50.0)) == 23 and box(-170.0, -80.0, 170.0, 80.0) == ""
