@@ -20,8 +20,9 @@ def derive(base: DataFrame, extent: Column, *, keys: Column | None = None) -> Da
     width; with ``keys``, an array column, one row per key) and the base columns. Extents
     that are null have no row."""
     rows = base.withColumn("__extent", extent).where(F.col("__extent").isNotNull() & F.col("__extent.minx").isNotNull())
-    e = F.col("__extent")
-    own = F.explode(F.array_distinct(keys)) if keys is not None else spatial.extent_quadkey(e["minx"], e["miny"], e["maxx"], e["maxy"])
+    # bound by a lambda, so that the optimizer does not repeat the extent in every term
+    once = F.transform(F.array("__extent"), lambda e: spatial.extent_quadkey(e["minx"], e["miny"], e["maxx"], e["maxy"]))[0]
+    own = F.explode(F.array_distinct(keys)) if keys is not None else once
     return rows.withColumn("__key", own).select(spatial.padded_quadkey(F.col("__key")).alias(TILE_COLUMN), *base.columns)
 
 
@@ -48,9 +49,11 @@ def join_candidates(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     tiles hold one another: two equality joins, on the prefixes of one side each."""
     plain = lambda df: df.withColumn("__key", F.rtrim(F.col(TILE_COLUMN), F.lit("_")))
     a, b = plain(left).drop(TILE_COLUMN), plain(right).drop(TILE_COLUMN)
-    own = F.concat(spatial.ancestors(F.col("__key")), F.array(F.col("__key")))
-    below = a.withColumn("__at", F.explode(own)).drop("__key").join(b.withColumnRenamed("__key", "__at"), "__at")
-    above = b.withColumn("__at", F.explode(spatial.ancestors(F.col("__key")))).drop("__key").join(a.withColumnRenamed("__key", "__at"), "__at")
+    # bound by a lambda: a computed key is made once per row, not once per prefix
+    above_own = F.transform(F.array("__key"), spatial.ancestors)[0]
+    all_own = F.transform(F.array("__key"), lambda k: F.concat(spatial.ancestors(k), F.array(k)))[0]
+    below = a.withColumn("__at", F.explode(all_own)).drop("__key").join(b.withColumnRenamed("__key", "__at"), "__at")
+    above = b.withColumn("__at", F.explode(above_own)).drop("__key").join(a.withColumnRenamed("__key", "__at"), "__at")
     return below.unionByName(above).drop("__at").dropDuplicates([*left_keys, *right_keys])
 
 
