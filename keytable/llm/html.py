@@ -13,10 +13,13 @@ and its link targets). With entropies to the base of the number of pages,
 
 so what a site repeats scores low and what differs from page to page scores high; a
 node without content of its own kind has nothing to remove and is important.
-Branches whose importance is below ``LEAST`` are removed from each page, unless they
-stand in an element that says it is the article. Elements that say they are something
-else (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments, by tag, role or class) have importance 0 on every page.
+All elements with text are in the tree, and branches whose importance is below ``LEAST``
+are removed from each page. What an element itself says by tag, role or class (that it
+is the article, or a menu, header, footer, sidebar, notice, advert, form, reader
+comments) is a prior: it moves the log-odds of ``LEAST`` by ``PRIOR`` for this element,
+and decides alone where the tree has seen too few pages. So a branch that the site
+repeats goes from within an article, and an element named like noise stays if it holds
+what differs on nearly every page. A site whose pages are all the same is not judged.
 
 The counts are aggregated by Spark, combined before each shuffle, so a hot host costs
 no task more than its share; paths deeper than ``DEPTH`` are merged with their ancestor
@@ -33,7 +36,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +45,7 @@ from pyspark.sql import functions as F
 from keytable.llm.storage import materialize, small_batches
 
 GAMMA, LEAST, DEPTH = 0.9, 0.2, 24
+PRIOR = 4.3  # log-odds: importance below 0.003 removes an article, above 0.95 keeps a menu
 MIN_PAGES = 8  # a node seen on fewer pages says nothing about its site
 BROADCAST_BRANCHES = 500_000
 
@@ -70,12 +74,13 @@ def _words(value: str) -> list[str]:
 
 
 class Element:
-    """An open element: its path in the style tree and what it is."""
+    """An open element: its path in the style tree, whether this is its own node, what it
+    says it is, and whether it stands in an article."""
 
-    __slots__ = ("children", "noise", "path", "protected", "tag")
+    __slots__ = ("children", "content", "noise", "own", "path", "protected", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool, protected: bool):
-        self.tag, self.path, self.noise, self.protected, self.children = tag, path, noise, protected, []
+    def __init__(self, tag: str, path: str, own: bool, noise: bool, content: bool, protected: bool):
+        self.tag, self.path, self.own, self.noise, self.content, self.protected, self.children = tag, path, own, noise, content, protected, []
 
 
 def _kind(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool, str]:
@@ -91,15 +96,18 @@ def _kind(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, boo
     content = tag in CONTENT_TAGS or role in CONTENT_ROLES or not CONTENT_WORDS.isdisjoint(words)
     if labels:
         name += "." + ".".join(sorted(set(attributes.get("class", "").split()))[:4]) + ("#" + attributes["id"] if attributes.get("id", "").isalpha() else "")
-    return noise, content and not noise, name
+    # the path tells the prior; no name begins with a sign or holds a slash
+    return noise, content and not noise, ("-" if noise else "+" if content else "") + name.replace("/", "|")
 
 
 def blocks(page: str) -> Iterator[tuple[str, object]]:
     """Events of a page: ("open", element), ("close", element), ("text", string with its
-    references decoded), ("break", None) where a block or line ends, ("link", target)."""
+    references decoded), ("break", None) where a block or line ends, ("link", target).
+    The first to open and last to close is the page itself, of path ""."""
     stack: list[Element] = []
     at, n = 0, len(page)
-    lone = Element("", "", False, False)
+    lone = Element("", "", True, False, False, False)
+    yield "open", lone
     search = _TOKEN.search
 
     def close(depth: int) -> Iterator[tuple[str, object]]:
@@ -155,8 +163,8 @@ def blocks(page: str) -> Iterator[tuple[str, object]]:
         if tag in INLINE and not noise:
             name = ""
         above.children.append(name or tag)
-        path = above.path if not name or above.path.count("/") >= DEPTH else f"{above.path}/{name}"
-        element = Element(tag, path, noise or above.noise, content or above.protected)
+        own = bool(name) and above.path.count("/") < DEPTH
+        element = Element(tag, f"{above.path}/{name}" if own else above.path, own, noise, content, content or above.protected)
         if tag in RAW:
             stop = _RAW_END[tag].search(page, at)
             at = stop.end() if stop else n
@@ -166,6 +174,7 @@ def blocks(page: str) -> Iterator[tuple[str, object]]:
         stack.append(element)
         yield "open", element
     yield from close(0)
+    yield "close", lone
 
 
 def _joined(parts: list[str]) -> str:
@@ -174,7 +183,7 @@ def _joined(parts: list[str]) -> str:
 
 def page_nodes(page: str) -> tuple[set, set, set]:
     """What a page adds to its site's tree: (path, style), (path, feature) and (path, 0)
-    of the nodes that do not say what they are."""
+    of all nodes that can hold text."""
     styles: set[tuple[str, int]] = set()
     features: set[tuple[str, int]] = set()
     stack: list[Element] = []
@@ -182,7 +191,7 @@ def page_nodes(page: str) -> tuple[set, set, set]:
 
     def flush() -> None:
         if text:
-            if stack and not stack[-1].noise and not stack[-1].protected and (block := _joined(text)):
+            if block := _joined(text):
                 features.add((stack[-1].path, hash64(block)))
             text.clear()
 
@@ -192,8 +201,7 @@ def page_nodes(page: str) -> tuple[set, set, set]:
         elif event == "break":
             flush()
         elif event == "link":
-            if stack and not stack[-1].noise and not stack[-1].protected:
-                features.add((stack[-1].path, hash64("@" + value)))
+            features.add((stack[-1].path, hash64("@" + value)))
         elif event == "open":
             if value.tag not in INLINE:
                 flush()
@@ -201,9 +209,9 @@ def page_nodes(page: str) -> tuple[set, set, set]:
         else:
             if value.tag not in INLINE:
                 flush()
-            if stack and stack[-1] is value:
+            if len(stack) > 1:
                 stack.pop()
-            if not value.noise and not value.protected and value.tag not in INLINE:
+            if value.own and value.tag not in RAW:
                 styles.add((value.path, hash64("|".join(dict.fromkeys(value.children)))))
     flush()
     return styles, features, {(path, 0) for path, _ in styles}
@@ -216,13 +224,13 @@ def hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
 
 
-def page_text(page: str, removed: frozenset[int] | set[int]) -> str:
-    """The text of a page without noise and without removed branches (their path
-    hashes), blocks joined by one space."""
-    stack: list[tuple[Element, bool]] = []
+def page_text(page: str, removed: frozenset[int] | set[int], kept: frozenset[int] | set[int] = frozenset()) -> str:
+    """The text of a page without removed branches and without noise that is not kept
+    (path hashes of both), blocks joined by one space."""
+    stack: list[tuple[Element, int]] = []
     out: list[str] = []
     part: list[str] = []
-    skip = False
+    skip = 0  # 1 in a removed branch, where an article is still looked for; 2 in noise
 
     def flush() -> None:
         if part:
@@ -237,9 +245,14 @@ def page_text(page: str, removed: frozenset[int] | set[int]) -> str:
         elif event == "break":
             flush()
         elif event == "open":
-            gone = value.noise or not value.protected and (skip or bool(removed and value.tag not in INLINE and hash64(value.path) in removed))
             stack.append((value, skip))
-            skip = gone
+            if skip < 2:
+                if value.noise:
+                    skip = 0 if kept and value.own and not skip and hash64(value.path) in kept else 2
+                elif value.own and removed and hash64(value.path) in removed:
+                    skip = 1
+                elif value.content:
+                    skip = 0
         elif event == "close":
             if value.tag not in INLINE:
                 flush()
@@ -283,7 +296,7 @@ def node_counts(pages: DataFrame) -> DataFrame:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every node of the sites' trees."""
+    """(host, path, pages, importance, features) of every node of the sites' trees."""
     styles = counts.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("total"), F.sum(F.col("pages") * F.log("pages")).alias("plogp"), F.count("*").alias("l"))
     seen = counts.where("kind = 2").select("host", "path", F.col("pages").alias("m"))
     # a node that repeats on a page may have several styles there
@@ -292,40 +305,60 @@ def importance(counts: DataFrame) -> DataFrame:
     features = counts.where("kind = 1").groupBy("host", "path").agg(F.sum(F.log("pages")).alias("logs"), F.count("*").alias("features"))
     # content counts for the node and for all branches that hold it
     split = F.split("path", "/")
-    above = features.withColumn("branch", F.explode(F.transform(F.sequence(F.lit(2), F.size(split)), lambda k: F.array_join(F.slice(split, 1, k), "/"))))
+    above = features.withColumn("branch", F.explode(F.transform(F.sequence(F.lit(1), F.size(split)), lambda k: F.array_join(F.slice(split, 1, k), "/"))))
     content = above.groupBy("host", F.col("branch").alias("path")).agg(F.sum("logs").alias("logs"), F.sum("features").alias("features"))
     joined = nodes.join(content, ["host", "path"], "left")
     common = F.when(F.col("m") > 1, F.col("logs") / F.col("features") / F.log("m")).otherwise(0.0)
     held = F.coalesce(1 - F.least(F.lit(1.0), common), F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), F.col("l"))
     value = F.when(F.col("m") == 1, 1.0).when(F.col("logs").isNull(), 1.0).otherwise((1 - weight) * F.col("presentation") + weight * held)
-    return joined.select("host", "path", F.col("m").alias("pages"), value.alias("importance"))
+    return joined.select("host", "path", F.col("m").alias("pages"), value.alias("importance"), "features")
+
+
+def verdicts(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """(host, path) of the branches that the tree removes, and of those that it keeps
+    although they say they are noise. A path tells which of both it is."""
+    name = F.substring_index("path", "/", -1)
+    prior = F.when(name.startswith("-"), PRIOR).when(name.startswith("+"), -PRIOR).otherwise(0.0)
+    cut = least / (least + (1 - least) * F.exp(-prior))
+    below = F.col("importance") < cut
+    return nodes.where((F.col("pages") >= MIN_PAGES) & F.col("features").isNotNull() & (below != name.startswith("-"))).select("host", "path")
+
+
+def judged(paths: Iterable[str]) -> tuple[set[int], set[int]]:
+    """Hashes of the removed and of the kept paths of one site. Where even the whole page
+    (path "") is of no importance, the pages are all the same, and none is removed."""
+    removed: set[int] = set()
+    kept: set[int] = set()
+    for path in paths:
+        (kept if path.rpartition("/")[2].startswith("-") else removed).add(hash64(path))
+    return (set() if hash64("") in removed else removed), kept
 
 
 def extract(pages: DataFrame, *, least: float = LEAST) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     small_batches(pages.sparkSession)
-    low = materialize(importance(node_counts(pages)).where((F.col("importance") < least) & (F.col("pages") >= MIN_PAGES)).select("host", "path"), "branches")
+    low = materialize(verdicts(importance(node_counts(pages)), least), "branches")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host().alias("host"))
     spark = pages.sparkSession
     fields = "page_id long, url string, text string, n_chars long"
     few = low.count() <= BROADCAST_BRANCHES
-    removed: dict[str, set[int]] = {}
+    sites: dict[str, list[str]] = {}
     if few:
         for r in low.toLocalIterator():
-            removed.setdefault(r["host"], set()).add(hash64(r["path"]))
-    else:  # a site's removed branches travel with its pages
+            sites.setdefault(r["host"], []).append(r["path"])
+    else:  # a site's verdicts travel with its pages
         listed = low.groupBy("host").agg(F.collect_list("path").alias("paths"))
         rows = rows.join(listed, "host", "left")
-    shared = spark.sparkContext.broadcast(removed)
+    shared = spark.sparkContext.broadcast({host: judged(paths) for host, paths in sites.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             paths = batch.column("paths").to_pylist() if "paths" in batch.schema.names else [None] * batch.num_rows
             for page, host, own in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), paths, strict=True):
-                gone = {hash64(p) for p in own} if own else shared.value.get(host, ())
-                texts.append(page_text(page, gone) if page else "")
+                removed, kept = judged(own) if own else shared.value.get(host, ((), ()))
+                texts.append(page_text(page, removed, kept) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, fields)

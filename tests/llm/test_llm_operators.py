@@ -56,6 +56,19 @@ def test_repeated_branches_of_a_site_go(spark):
     assert found[99].startswith("Welcome") and found[99].endswith("us us")  # one page says nothing about its site
 
 
+def test_labels_are_a_prior_of_the_tree(spark):
+    """Repeated branches go from within articles, and what differs on every page stays
+    though it is named like noise; labels decide on small sites and on equal pages."""
+    story = lambda i: "".join(f"<{t}>Story {i} part {k} {hash((i, k))}</{t}>" for k, t in enumerate(["p", "h2", "ul", "pre", "ol", "dl", "h3", "h4"]) if i >> (k % 5) & 1 or not k)
+    page = lambda i: f'<html><body><nav>Home</nav><main id="content"><div class="lead">Read all our news here</div><article><p>Fresh {i} {hash(i)}</p><div class="tail">Print this page</div></article></main><div class="widget">{story(i)}</div></body></html>'
+    rows = [(i, f"http://site/{i}", page(i)) for i in range(32)] + [(99, "http://other/", page(31))] + [(100 + i, f"http://same/{i}", page(31)) for i in range(12)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    plain = lambda t: " ".join(re.sub("<[^>]*>", " ", t).split())
+    for i in range(32):
+        assert found[i] == f"Fresh {i} {hash(i)} {plain(story(i))}"
+    assert found[99] == found[105] == f"Read all our news here Fresh 31 {hash(31)} Print this page"
+
+
 # --- warc ------------------------------------------------------------------------
 
 
