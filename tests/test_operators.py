@@ -311,3 +311,16 @@ def test_streamed_upserts(spark, tmp_path):
     stream.run_available(stream.upsert(read(), out, ["k"], order="seq", history=log), f"{tmp_path}/cp")
     assert sorted(tuple(r) for r in stream.latest(spark, out).select("k", "v").collect()) == [(1, "b"), (2, "d"), (3, "e")]
     assert sorted(r["k"] for r in stream.latest(spark, log).collect()) == [2, 3]
+
+
+def test_polygon_intersects_keeps_flat_boxes(spark):
+    """All boxes against the triangle by brute force, those without width or height too."""
+    from keytable import queries as catalogue
+
+    sf = "/root/testdata/sf0.1"
+    triangle = geojson.read('{"type":"Polygon","coordinates":[[[5,45],[20,45],[12,58],[5,45]]]}')
+    rows = catalogue._boxes(spark, sf).collect()
+    box = lambda r: [("polygon", [[(r.minx, r.miny), (r.maxx, r.miny), (r.maxx, r.maxy), (r.minx, r.maxy), (r.minx, r.miny)]])]
+    expected = {r.c_custkey: r.maxx == r.minx or r.maxy == r.miny for r in rows if geojson.intersects(box(r), triangle)}
+    got = sorted(r["c_custkey"] for r in catalogue.polygon_intersects(spark, sf).collect())
+    assert got == sorted(expected) and any(expected.values())
