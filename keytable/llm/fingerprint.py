@@ -6,9 +6,11 @@ vectors lane by lane modulo powers of two:
 * ``DENSE`` lanes modulo 2**64 of whole paragraphs. Equal multisets of paragraphs
   have equal lanes in whatever order; adding or removing a paragraph adds or
   subtracts its vector, so a fingerprint is maintained without the text.
-* ``SIGNS`` lanes modulo 2**16 of +1 or -1 for every sentence of a paragraph, and
-  one lane modulo 2**32 that counts sentences. The squared difference of two such sums estimates
-  how many sentences differ, which gives a likeness between 0 and 1.
+* ``LANES`` lanes modulo 2**32 of a Cauchy number for every sentence of a paragraph, and
+  one lane modulo 2**32 that counts sentences. Cauchy numbers are 1-stable: the difference
+  of two such sums is a Cauchy number whose scale is the sum of the absolute differences of
+  the counts, however often a sentence repeats. The scale that is likeliest over the
+  lanes gives a likeness between 0 and 1.
 
 Null and empty texts have no paragraph: the zero fingerprint. Two empty multisets
 are alike (1.0). Blank paragraphs are ignored; repeated ones count repeatedly.
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 
 from keytable.llm.storage import small_batches, text_column
 
-DENSE, SIGNS = 8, 128
+DENSE, LANES = 8, 256  # a standard error of sqrt(2 / LANES) of the unlike share, 0.09 at most
+UNIT = 16  # Cauchy numbers are rounded to this part of one
+STEPS = 30  # halvings of the error of a scale
+_CAUCHY = np.rint(UNIT * np.tan(np.pi * ((np.arange(1 << 16) + 0.5) / (1 << 16) - 0.5))).astype(np.int32)
 _SENTENCE = re.compile(rb"(?<=[.!?|])\s+")
 
 
@@ -42,13 +47,13 @@ def _digests(units: list[bytes], size: int) -> bytes:
 
 
 def vectors(groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over each group of paragraphs: dense lanes (n, DENSE) uint64 and sign
-    lanes with the count of sentences (n, SIGNS + 1) uint16."""
+    """Sums over each group of paragraphs: dense lanes (n, DENSE) uint64 and Cauchy
+    lanes with the count of sentences (n, LANES + 1) uint32."""
     n = len(groups)
-    dense, signs = np.zeros((n, DENSE), np.uint64), np.zeros((n, SIGNS + 1), np.uint32)
+    dense, lanes = np.zeros((n, DENSE), np.uint64), np.zeros((n, LANES + 1), np.uint32)
     flat = [p for g in groups for p in g]
     if not flat:
-        return dense, signs
+        return dense, lanes
     lengths = np.array([len(g) for g in groups])
     full = np.flatnonzero(lengths)
     wide = np.frombuffer(_digests(flat, 8 * DENSE), "<u8").reshape(-1, DENSE)
@@ -57,49 +62,51 @@ def vectors(groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     per_group = np.add.reduceat(np.array([len(x) for x in split]), (np.cumsum(lengths) - lengths)[full])
     sentences = [x for part in split for x in part]
     owner = np.repeat(np.arange(len(full)), per_group)
-    ups = np.zeros((len(full), SIGNS), np.int64)
-    step = 1 << 15
+    sums = np.zeros((len(full), LANES), np.int64)
+    step = 1 << 12
     for a in range(0, len(sentences), step):
-        bits = np.unpackbits(np.frombuffer(_digests(sentences[a : a + step], SIGNS // 8), np.uint8).reshape(-1, SIGNS // 8), axis=1)
+        raw = b"".join([hashlib.shake_128(u).digest(2 * LANES) for u in sentences[a : a + step]])
+        numbers = _CAUCHY[np.frombuffer(raw, "<u2")].reshape(-1, LANES)
         own = owner[a : a + step]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        ups[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    signs[full, :SIGNS] = (2 * ups - per_group[:, None]) & 0xFFFF
-    signs[full, SIGNS] = per_group
-    return dense, signs
+        sums[own[starts]] += np.add.reduceat(numbers, starts, axis=0, dtype=np.int64)
+    lanes[full, :LANES] = sums & 0xFFFFFFFF
+    lanes[full, LANES] = per_group
+    return dense, lanes
 
 
-def to_hex(dense: np.ndarray, signs: np.ndarray) -> str:
-    """One fingerprint: the dense lanes, the sign lanes, the count."""
-    return (dense.astype("<u8").tobytes() + signs[:SIGNS].astype("<u2").tobytes() + signs[SIGNS:].astype("<u4").tobytes()).hex()
+def to_hex(dense: np.ndarray, lanes: np.ndarray) -> str:
+    """One fingerprint: the dense lanes, the Cauchy lanes, the count."""
+    return (dense.astype("<u8").tobytes() + lanes.astype("<u4").tobytes()).hex()
 
 
 def from_hex(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    lanes = np.frombuffer(raw[8 * DENSE : 8 * DENSE + 2 * SIGNS], "<u2").astype(np.uint32)
-    return np.frombuffer(raw[: 8 * DENSE], "<u8").copy(), np.concatenate((lanes, np.frombuffer(raw[-4:], "<u4")))
+    return np.frombuffer(raw[: 8 * DENSE], "<u8").copy(), np.frombuffer(raw[8 * DENSE :], "<u4").copy()
 
 
 def update(fingerprint: str, added: Iterable[bytes] = (), removed: Iterable[bytes] = ()) -> str:
     """The fingerprint after paragraphs were added and removed."""
-    dense, signs = from_hex(fingerprint)
+    dense, lanes = from_hex(fingerprint)
     (d_in, d_out), (s_in, s_out) = vectors([list(added), list(removed)])
-    signs = signs + s_in - s_out
-    signs[:SIGNS] &= 0xFFFF
-    return to_hex(dense + d_in - d_out, signs)
+    return to_hex(dense + d_in - d_out, lanes + s_in - s_out)
 
 
 def fingerprints(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    dense, signs = vectors([paragraphs(t) for t in texts])
-    return [to_hex(d, s) for d, s in zip(dense, signs, strict=True)], signs
+    dense, lanes = vectors([paragraphs(t) for t in texts])
+    return [to_hex(d, s) for d, s in zip(dense, lanes, strict=True)], lanes
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of sentences that two multisets have in common, row by row."""
-    lanes = (a[:, :SIGNS] - b[:, :SIGNS]).astype(np.uint16).astype(np.int16).astype(np.float64)
-    differing = (lanes**2).mean(axis=1)
-    total = a[:, SIGNS].astype(np.float64) + b[:, SIGNS].astype(np.float64)
-    alike = np.where(total > 0, 1 - differing / np.maximum(total, 1), 1.0)
+    """Estimated share of sentences that two multisets have in common, row by row: one
+    less the sum of absolute differences of the counts by the number of all sentences."""
+    squares = ((a[:, :LANES] - b[:, :LANES]).astype(np.int32).astype(np.float64) / UNIT) ** 2
+    scale = np.maximum(np.median(squares, axis=1), 1e-9)  # squared; the median starts the likeliest
+    for _ in range(STEPS):
+        scale *= 2 * (squares / (squares + scale[:, None])).mean(axis=1)
+        np.maximum(scale, 1e-9, out=scale)
+    total = a[:, LANES].astype(np.float64) + b[:, LANES].astype(np.float64)
+    alike = np.where(total > 0, 1 - np.sqrt(scale) / np.maximum(total, 1), 1.0)
     return np.where((a == b).all(axis=1), 1.0, np.clip(alike, 0.0, 1.0))
 
 
@@ -173,13 +180,13 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
     def answer(ids: list, texts: list[str], after: list[str]) -> pa.RecordBatch:
         edited = [edit(t, x) for t, x in zip(texts, after, strict=True)]
-        own, signs = fingerprints([*texts, after[-1]])
+        own, lanes = fingerprints([*texts, after[-1]])
         changed, other = fingerprints(edited)
-        nexts = np.concatenate((signs[1:-1], signs[-1:]))
+        nexts = np.concatenate((lanes[1:-1], lanes[-1:]))
         columns = [
             pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(own[:-1]), pa.array(changed),
-            pa.array(likeness(signs[:-1], other)), pa.array(likeness(signs[:-1], nexts)),
+            pa.array(likeness(lanes[:-1], other)), pa.array(likeness(lanes[:-1], nexts)),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields])
 

@@ -242,6 +242,14 @@ def test_likeness_follows_shared_sentences():
     assert near[0] == 1.0 and np.allclose(near, [1, 0.8, 0.5, 0.2, 0], atol=0.17)
 
 
+def test_likeness_counts_repeated_sentences():
+    line = "The same line again."
+    texts = ["\n".join([line] * n + [f"Line {k} of {n}." for k in range(m)]) for n, m in ((200, 0), (100, 0), (100, 100), (3, 0), (2, 0))]
+    _, lanes = fingerprint.fingerprints(texts)
+    near = fingerprint.likeness(lanes[[0, 0, 1, 3, 0]], lanes[[1, 2, 2, 4, 4]])
+    assert np.allclose(near, [2 / 3, 1 / 2, 2 / 3, 4 / 5, 4 / 202], atol=0.17)
+
+
 def test_edits_by_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"] or "") for r in table(spark, "documents").collect())
     after = [t for _, t in rows[1:]] + [rows[0][1]]
