@@ -24,12 +24,14 @@ KINDS = ("email", "date", "ip", "phone", "ssn", "iban", "card")
 # The formats. A match stands alone among letters and digits.
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
 DATE = "(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\\1[0-9]{4})(?![0-9A-Za-z/-])"
+_PLAIN_DATE = DATE.replace("([./])[0-9]{2}\\1", "[./][0-9]{2}[./]")  # a group less, to stand in another pattern
 IP = "(?<![0-9A-Za-z.])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\\.[0-9])"
 PHONE = "(?<![0-9A-Za-z])(?:\\+?1[ .-]?)?(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 SSN = "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-CARD = "(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 IBAN = "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, DATE, IP, PHONE, SSN, IBAN, CARD))
+# a whole run of digit groups up to other data; the cards in it are found by ``cut_sql``
+RUN = f"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:(?![ -](?:{'|'.join((EMAIL, _PLAIN_DATE, IP, PHONE, SSN))}))[ -][0-9]++(?![A-Za-z]))*+"
+ANY = "|".join((EMAIL, DATE, IP, PHONE, SSN, IBAN, RUN))
 GATE = "@|[0-9][ .-]?[0-9]"
 _SHAPES = (("email", "@"), ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), ("ip", "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"), ("ssn", "^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("phone", f"^(?:{PHONE})$"), ("iban", "^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), ("card", "^[0-9](?:[ -]?[0-9]){12,18}$"))
 #: Days permuted together: 270 * 270 of them, from 1900-01-01 on, before, and after.
@@ -67,6 +69,21 @@ def mod97_sql(text: str) -> str:
     return f"aggregate(filter(split({text}, ''), c -> c <> ''), 0, (s, c) -> (s * if(c rlike '[0-9]', 10, 100) + {code}) % 97)"
 
 
+def cut_sql(match: str) -> str:
+    """A match in pieces. A run of digit groups that is no card as a whole is cut into the
+    cards that it holds (13 to 19 digits that pass the Luhn check, from the start of a
+    group to the end of one; those grouped as cards are printed come first, then the
+    leftmost, then the longest) and the groups and separators between."""
+    text = "array_join(slice(toks, i, j - i + 1), '')"
+    valid = lambda v: f"(length(regexp_replace({v}, '[^0-9]', '')) between 13 and 19 and {luhn_sql(f"regexp_replace({v}, '[^0-9]', '')")} = 0)"
+    printed = "^([0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}([ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+    at = f"flatten(transform(sequence(1, size(toks), 2), i -> transform(filter(sequence(i, least(size(toks), i + 36), 2), j -> {valid(text)}), j -> named_struct('odd', not {text} rlike '{printed}', 'i', i, 'back', -j))))"
+    cards = f"aggregate(array_sort({at}), filter({at}, x -> false), (a, x) -> if(exists(a, y -> x.i <= -y.back and y.i <= -x.back), a, array_append(a, x)))"
+    pieces = "filter(transform(sequence(1, size(toks)), t -> if(exists(cards, c -> c.i <= t and t <= -c.back), array_join(transform(filter(cards, c -> c.i = t), c -> array_join(slice(toks, c.i, 1 - c.back - c.i), '')), ''), toks[t - 1])), x -> x <> '')"
+    cut = f"transform(array(regexp_extract_all({match}, '[ -]|[0-9]+', 0)), toks -> transform(array({cards}), cards -> {pieces})[0])[0]"
+    return f"if(not {match} rlike '[^0-9 -]' and length({match}) > 12 and {kind_sql(match)} is null, {cut}, array({match}))"
+
+
 def format_sql(value: str) -> str:
     """How a date is written: year first, day first with dots, or with slashes month
     first where that is a date, else day first."""
@@ -149,8 +166,9 @@ def pseudonymize(docs: DataFrame, *, key: str = KEY) -> DataFrame:
     gate = F.col("text").rlike(GATE) & F.col("text").rlike(ANY)
     found = docs.withColumn("__found", F.when(gate, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     found = found.withColumn("__between", F.when(F.col("__found").isNotNull(), F.split("text", ANY, -1)))
-    found = found.withColumn("__kinds", F.expr(f"transform(__found, m -> {kind_sql('m')})"))
-    found = found.withColumn("__names", F.expr(f"transform(__found, m -> {_replaced('m', key, False)})"))
+    found = found.withColumn("__cut", F.expr(f"transform(__found, f -> {cut_sql('f')})"))
+    found = found.withColumn("__kinds", F.expr(f"transform(flatten(__cut), m -> {kind_sql('m')})"))
+    found = found.withColumn("__names", F.expr(f"transform(__cut, p -> array_join(transform(p, m -> {_replaced('m', key, False)}), ''))"))
     text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.expr("array_join(zip_with(__between, __names, (b, n) -> concat(b, coalesce(n, ''))), '')"))
     counts = [F.coalesce(F.size(F.filter("__kinds", _is(kind))), F.lit(0)).alias(f"n_{kind}") for kind in KINDS]
     return found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *counts)

@@ -451,6 +451,17 @@ def test_written_dates(spark):
     assert one["n_date"] == 3 and two["n_iban"] == 1 and two["text"].endswith(" GB83WEST12345698765432") and "WEST12345698765432 " not in two["text"]
 
 
+def test_cards_beside_other_numbers(spark):
+    spaced = "4111 1111 1111 1111"
+    texts = [f"{spaced} 123", f"{spaced.replace(' ', '')} 97.51.17.173", f"12345 {spaced} {card(7)}", f"12 {spaced} 988-555-2485", "1234567890123456 97.51.17.173", "9 " * 5000 + spaced, f"{spaced} 12ab"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i]["n_card"] for i in (0, 1, 2, 3, 4, 6)] == [1, 1, 2, 1, 0, 1] and out[5]["n_card"] >= 1
+    assert [out[i]["n_ip"] for i in range(5)] == [0, 1, 0, 0, 1] and out[3]["n_phone"] == 1
+    assert all(spaced not in out[i]["text"] and spaced.replace(" ", "") not in out[i]["text"] and "97.51.17.173" not in out[i]["text"] for i in out)
+    assert out[0]["text"].endswith(" 123") and out[2]["text"].startswith("12345 ") and card(7) not in out[2]["text"] and len(out[2]["text"]) == len(texts[2])
+
+
 def test_pseudonyms_keep_their_format_and_link(spark):
     rows = [
         (1, f"card {card(7)} and {card(7)[:4]}-{card(7)[4:8]}-{card(7)[8:12]}-{card(7)[12:]}, ip 10.0.0.1, born 1984-02-29"), (2, f"again {card(7)}; call +1 (988) 555-2485 or 988-555-2485, ssn 123-45-6789, a.b@mail.example.com"),
