@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,27 +13,66 @@ from pyspark.sql import functions as F
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset (tests, local mode) a temporary folder is
-    chosen and set, so that later calls agree."""
+    session. Only a local master, whose executors are the driver, may do without: there
+    a temporary folder is chosen and set, so that later calls agree."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="keytable-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders written and not yet removed, in the order of their making.
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders; frames that read them are then of no use."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession, *, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Scratch folders that are written inside go at its end, but for those of ``keep``.
+    What was computed inside has to be written or collected by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        remove(spark, [p for p in _written if p not in before and p not in keep])
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage,
-    survives lost executors, and is computed once."""
+    survives lost executors, and is computed once. See ``scope`` for its removal."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many bytes, as counted, is broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, *, row_bytes: int) -> bool:
+    """Whether a table of rows of at most ``row_bytes`` bytes may be broadcast."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
 def text_column(df: DataFrame, name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))

@@ -55,7 +55,7 @@ OPERATORS = {
     "edits": lambda s, d: fingerprint.compare_with_edits(d),
     "ngram": lambda s, d: ngram_join.near_duplicates(d),
     "mixing": lambda s, d: mixing.mix(d),
-    "pii": lambda s, d: pii.pseudonymize(d),
+    "pii": lambda s, d: pii.pseudonymize(d, key="k"),
     "licenses": lambda s, d: licenses.report(licenses.scan(d)),
 }
 

@@ -5,6 +5,7 @@ import hashlib
 import html as entities
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,7 +444,7 @@ def iban(country, account):
 
 def test_written_dates(spark):
     rows = [(1, "on 29.02.1984, 12/31/1999, 31/12/1999; not 30.02.1984 or 1.2.2003 or 13/13/2000"), (2, "1984-02-29 GB82WEST12345698765432 GB83WEST12345698765432")]
-    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
     one, two = out[1], out[2]
     german, american, british = re.search(r"on (\d\d\.\d\d\.\d{4}), (\d\d/\d\d/\d{4}), (\d\d/\d\d/\d{4}); not 30.02.1984 or 1.2.2003 or 13/13/2000$", one["text"]).groups()
     d, mo, y = german.split(".")
@@ -455,7 +456,7 @@ def test_cards_beside_other_numbers(spark):
     spaced = "4111 1111 1111 1111"
     texts = [f"{spaced} 123", f"{spaced.replace(' ', '')} 97.51.17.173", f"12345 {spaced} {card(7)}", f"12 {spaced} 988-555-2485", "1234567890123456 97.51.17.173", "9 " * 5000 + spaced, f"{spaced} 12ab"]
     rows = [(i, t) for i, t in enumerate(texts)]
-    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
     assert [out[i]["n_card"] for i in (0, 1, 2, 3, 4, 6)] == [1, 1, 2, 1, 0, 1] and out[5]["n_card"] >= 1
     assert [out[i]["n_ip"] for i in range(5)] == [0, 1, 0, 0, 1] and out[3]["n_phone"] == 1
     assert all(spaced not in out[i]["text"] and spaced.replace(" ", "") not in out[i]["text"] and "97.51.17.173" not in out[i]["text"] for i in out)
@@ -467,24 +468,117 @@ def test_pseudonyms_keep_their_format_and_link(spark):
         (1, f"card {card(7)} and {card(7)[:4]}-{card(7)[4:8]}-{card(7)[8:12]}-{card(7)[12:]}, ip 10.0.0.1, born 1984-02-29"), (2, f"again {card(7)}; call +1 (988) 555-2485 or 988-555-2485, ssn 123-45-6789, a.b@mail.example.com"),
         (3, "not 1234567890123456, not 999.1.1.1, not 2023-02-30, version 1.2.3, 12"), (4, None), (5, "A.B@mail.example.com"),
     ]
-    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
     one, dashed = re.search(r"card (\d{16}) and ([\d-]{19})", out[1]["text"]).groups()
     assert one != card(7) and luhn(one) and dashed.replace("-", "") == one and f"again {one};" in out[2]["text"]
     ip = re.search(r"ip ([\d.]+),", out[1]["text"])[1]
     assert ip != "10.0.0.1" and all(int(o) < 256 for o in ip.split(".")) and re.search(r"born \d{4}-\d\d-\d\d$", out[1]["text"]) and "1984-02-29" not in out[1]["text"]
     phones = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}),", out[2]["text"]).groups()
-    assert phones[:3] == phones[3:] != ("988", "555", "2485") and "123-45-6789" not in out[2]["text"] and re.search(r"ssn 123-\d\d-\d{4},", out[2]["text"])
+    assert phones[:3] == phones[3:] != ("988", "555", "2485") and "123-45-6789" not in out[2]["text"] and re.search(r"ssn \d{3}-\d\d-\d{4},", out[2]["text"])
     assert out[3]["text"] == rows[2][1] and out[4]["text"] is None
     assert out[2]["text"].split()[-1] == out[5]["text"] and "mail.example.com" not in out[5]["text"]
     assert [out[1][f"n_{k}"] for k in ("card", "ip", "date", "phone")] == [2, 1, 1, 0] and out[2]["n_phone"] == 2 and out[3]["n_card"] == 0
 
 
-@pytest.mark.parametrize(("kind", "values"), [("card", [card(i) for i in range(300)]), ("ip", [f"10.{i}.0.{i % 7}" for i in range(250)]), ("date", [f"{y}-{m:02d}-15" for y in range(1890, 2110, 7) for m in range(1, 13)]), ("ssn", [f"123-{i // 90 + 1:02d}-{i + 1:04d}" for i in range(300)]), ("phone", [f"+1 (555) {i:03d}-0100" for i in range(300)]), ("iban", [iban("GB", f"WEST{i:014d}") for i in range(300)])])
+@pytest.mark.parametrize(("kind", "values"), [("card", [card(i) for i in range(300)]), ("ip", [f"10.{i}.0.{i % 7}" for i in range(250)]), ("date", [f"{y}-{m:02d}-15" for y in range(1890, 2110, 7) for m in range(1, 13)]), ("ssn", [f"123-{i // 90 + 1:02d}-{i + 1:04d}" for i in range(300)]), ("phone", [f"+1 (555) {i:03d}-0100" for i in range(300)]), ("iban", [iban("GB", f"WEST{i:014d}") for i in range(300)]), ("email", [f"a{i}.{'bcd'[i % 3] * (i % 9)}x@mail{i % 7}.example.com" for i in range(300)])])
 def test_pseudonyms_are_invertible(spark, kind, values):
-    df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("p", F.expr(pii.pseudonym_sql("v", kind))).withColumn("k", F.expr(pii.kind_sql("p"))).withColumn("b", F.expr(pii.pseudonym_sql("p", kind, invert=True)))
+    df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("p", F.expr(pii.pseudonym_sql("v", kind, "k"))).withColumn("k", F.expr(pii.kind_sql("p"))).withColumn("b", F.expr(pii.pseudonym_sql("p", kind, "k", invert=True)))
     rows = df.collect()
     assert [r["b"] for r in rows] == values and len({r["p"] for r in rows}) == len(values) and {r["k"] for r in rows} == {kind}
-    assert all(len(r["p"]) == len(r["v"]) or kind == "ip" for r in rows)
+    assert all(len(r["p"]) == len(r["v"]) + len(".invalid") * (kind == "email") or kind == "ip" for r in rows)
+
+
+def test_numbers_from_abroad_and_other_forms(spark):
+    spaced = " ".join(re.findall(".{1,4}", iban("DE", "370400440532013000")))
+    texts = ["call +44 20 7946 0958 or +442079460958, +49 30 901820", "at 2024-01-02T10:00:00", f"pay {spaced} now", "ip 010.001.002.003", "mail a.b@mail.example.com. Or a@b.com.2nd, x@y, c@d.e", "+1 (988) 555-2485, 988-555-2485"]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    a, b, c = re.fullmatch(r"call (\+44 \d\d \d{4} \d{4}) or (\+44\d{10}), (\+49 \d\d \d{6})", out[0]["text"]).groups()
+    assert a.replace(" ", "") == b != "+442079460958" and c != "+49 30 901820" and out[0]["n_phone"] == 3
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00", out[1]["text"]) and "2024-01-02" not in out[1]["text"]
+    assert re.fullmatch(r"pay DE\d\d( \d{4}){4} \d\d now", out[2]["text"]) and spaced not in out[2]["text"] and out[2]["n_iban"] == 1
+    assert all(len(o) == 3 for o in out[3]["text"].split()[1].split(".")) and out[3]["n_ip"] == 1
+    first, second = re.fullmatch(r"mail (\w\.\w@\w{4}\.\w{7}\.\w{3}\.invalid)\. Or (\w@\w\.\w{3}\.invalid)\.2nd, x@y, c@d\.e", out[4]["text"]).groups()
+    assert "example" not in first and second != "a@b.com.invalid" and out[4]["n_email"] == 2
+
+
+def shuffled(left, right, a, b, key):
+    for n in range(1, 9):
+        move = lambda part: int(hashlib.md5(f"{key}:{n}:{part}".encode()).hexdigest()[:14], 16)  # noqa: B023, E731
+        left, right = ((left + move(right)) % a, right) if n % 2 else (left, (right + move(left)) % b)
+    return left, right
+
+
+def digits_shuffled(digits, key):
+    h = len(digits) // 2
+    a, b = shuffled(int(digits[:h]), int(digits[h:]), 10**h, 10 ** (len(digits) - h), key)
+    return f"{a:0{h}d}{b:0{len(digits) - h}d}"
+
+
+def letters_shuffled(text, key):
+    halves = [list(text[: len(text) // 2]), list(text[len(text) // 2 :])]
+    for n in range(1, 9):
+        own, other = (0, 1) if n % 2 else (1, 0)
+        h = hashlib.sha512(f"{key}:{n}:{''.join(halves[other])}".encode()).digest()
+        for i, c in enumerate(halves[own]):
+            for first, size in (("a", 26), ("A", 26), ("0", 10)):
+                if 0 <= ord(c) - ord(first) < size:
+                    halves[own][i] = chr(ord(first) + (ord(c) - ord(first) + h[i % 64]) % size)
+    return "".join(halves[0] + halves[1])
+
+
+def named(match):
+    """The pseudonym of a match, by plain loops; None where the match is none."""
+    digits = re.sub("[^0-9]", "", match)
+    spread = lambda new: "".join(next(new) if c.isdigit() else c for c in match)
+    if "@" in match:
+        return letters_shuffled(match.lower(), "k:email") + ".invalid"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", match):
+        import datetime
+
+        try:
+            day = (datetime.date.fromisoformat(match) - datetime.date(1900, 1, 1)).days
+        except ValueError:
+            return None
+        block, within = divmod(day, 270 * 270)
+        a, b = shuffled(within // 270, within % 270, 270, 270, "k:date")
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(block * 270 * 270 + a * 270 + b))
+    if re.fullmatch(r"\d+(\.\d+){3}", match):
+        o = [int(x) for x in match.split(".")]
+        if max(o) > 255:
+            return None
+        a, b = shuffled(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "k:ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", match):
+        area, group, serial = map(int, match.split("-"))
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return None
+        a, b = shuffled((area - (1 if area < 666 else 2)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "k:ssn")
+        return f"{a // 99 + (1 if a // 99 < 665 else 2):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if re.fullmatch(r"(\+1 )?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", match):
+        return spread(iter(digits[:-10] + digits_shuffled(digits[-10:], "k:phone")))
+    if re.fullmatch("[0-9 -]+", match) and 13 <= len(digits) <= 19 and luhn(digits):
+        body = digits_shuffled(digits[:-1], "k:card")
+        return spread(iter(next(body + c for c in "0123456789" if luhn(body + c))))
+    return None
+
+
+def test_pseudonyms_by_brute_force(spark):
+    """All texts of the table, split at the same patterns and replaced by plain loops."""
+    docs = table(spark, "documents").select("doc_id", "text")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs, key="k").collect()}
+    changed = 0
+    for r in docs.collect():
+        expected = re.sub(pii.ANY, lambda m: named(m[0]) or m[0], r["text"] or "")
+        assert (out[r["doc_id"]] or "") == expected
+        changed += expected != (r["text"] or "")
+    assert changed > 10
+
+
+@pytest.mark.parametrize("run", ["a" * 1_000_000, "x@y" + ".z" * 500_000, "7" * 1_000_000, "9 " * 100_000, "a@" * 300_000, "+1 " * 300_000, "1.1." * 250_000, "AB12 " * 200_000, "-9" * 100_000])
+def test_long_runs_take_linear_time(spark, run):
+    start = time.time()
+    out = pii.pseudonymize(spark.createDataFrame([(1, run + " 12")], "doc_id long, text string"), key="k").first()
+    assert len(out["text"]) == len(run) + 3 and time.time() - start < 15
 
 
 # --- licenses --------------------------------------------------------------------
