@@ -9,10 +9,11 @@ matrix for rank queries, and sampled suffix positions. Backward search finds all
 phrases at once, occurrences are located by walking to a sampled position, and the
 word spans are merged per document.
 
-The benchmark is a stated query set. It is read in blocks of at most ``BLOCK_BYTES``
-of text, each block broadcast by itself, so its size is bounded; spans found by
-several blocks are merged. Null or empty texts have no words; null items are ignored;
-repeated items count by item_id; repeated documents each get a row.
+The benchmark is a stated query set. It is read in blocks of about ``BLOCK_WORDS``
+words, hence of no more phrases, each block broadcast by itself, so its size is bounded
+(a longer item is cut into pieces that overlap by a phrase less a word); spans and items
+found by several blocks are merged. Null or empty texts have no words; null items are
+ignored; rows of one item_id are one item; repeated documents each get a row.
 """
 
 from __future__ import annotations
@@ -31,17 +32,17 @@ from keytable.llm.words import ALNUM, encode, slices, split
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_WORDS = 100_000
 
 
 class WaveletMatrix:
     """Rank queries over a sequence of numbers below 2**bits."""
 
-    def __init__(self, values: np.ndarray, bits: int):
+    def __init__(self, values: np.ndarray, bits: int):  # fewer than 2**31 of them
         self.n, self.bits, self.zeros, self.ones = len(values), bits, [], []
         for k in range(bits - 1, -1, -1):
             bit = (values >> k) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int64))
+            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
             self.zeros.append(self.n - int(self.ones[-1][-1]))
             values = np.concatenate((values[bit == 0], values[bit == 1]))
 
@@ -124,14 +125,15 @@ class Phrases:
 
     def __init__(self, items: list[tuple[object, str]], window: int):
         self.number: dict[bytes, int] = {}
-        rows, self.owner, self.items = [], [], []
+        rows, self.owner, index = [], [], {}
         for item, text in items:
             words = [self.number.setdefault(w, len(self.number) + 1) for w in split(encode(text), ALNUM)]
             if words:
-                self.items.append(item)
+                own = index.setdefault(item, len(index))
                 for i in range(max(1, len(words) - window + 1)):
                     rows.append(words[i : i + window])
-                    self.owner.append(len(self.items) - 1)
+                    self.owner.append(own)
+        self.items = list(index)
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.width = int(self.lengths.max(initial=1))
         #: (length, which word numbers stand in phrases of that length)
@@ -209,24 +211,27 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[object, str]]]:
     """The items, read through an iterator, in blocks of bounded size."""
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
-    block, size = [], 0
+    block, size, any_yet = [], 0, False
     for row in items.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-        if size > block_bytes:
-            yield block
-            block, size = [], 0
-    if block or not size:
+        words = split(encode(row["text"]), ALNUM)
+        for a in range(0, max(1, len(words) - window + 1), block_words):
+            piece = words[a : a + block_words + window - 1]
+            if block and size + len(piece) > block_words:
+                yield block
+                block, size, any_yet = [], 0, True
+            block.append((row["item_id"], b" ".join(piece).decode("utf-8", "surrogatepass")))
+            size += len(piece)
+    if block or not any_yet:
         yield block
 
 
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with columns n_words, spans (merged word spans covered by a phrase) and
     items (item_ids, as strings, of items with a phrase in the text), in place of any
     columns of these names."""
@@ -241,7 +246,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
         def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, hits = shard_hits([encode(t) for t in batch.column(at).to_pylist()], shared.value)
             spans = [[{"start": s, "end": e} for s, e in hits[i][0]] if i in hits else [] for i in range(batch.num_rows)]
-            items = [[str(x) for x in hits[i][1]] if i in hits else [] for i in range(batch.num_rows)]
+            items = [sorted({str(x) for x in hits[i][1]}) if i in hits else [] for i in range(batch.num_rows)]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, "n_words", "spans", "items"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +256,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
 
         return frame.mapInArrow(run, schema)
 
-    blocks = iter(_blocks(benchmark, block_bytes))
+    blocks = iter(_blocks(benchmark, window, block_words))
     out = search(spark.sparkContext.broadcast(Phrases(next(blocks), window)), docs)
     for block in blocks:  # further blocks look again and add to what was found
         out = _add_block(materialize(out, "decontam"), spark.sparkContext.broadcast(Phrases(block, window)))
@@ -290,39 +295,44 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[upto:]]).decode("utf-8", "surrogatepass")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the benchmark's phrases: removal spans are cut from the texts,
     again until none is left where a cut brought words together. With several blocks
-    of phrases, the blocks are gone through twice for the same reason."""
+    of phrases, they are gone through until a text passes all of them uncut."""
+    spark = docs.sparkSession
+    small_batches(spark)
     at = docs.columns.index("text")
+    # how a text stands: 1 to be looked at, 2 cut in this pass
+    marked = docs.withColumn("__open", F.lit(1))
+    mark = len(docs.columns)
 
     def without(shared, frame: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, at, shard_bytes):
-                    texts = batch.column(at).to_pylist()
-                    rows = [i for i, t in enumerate(texts) if t]
+                    texts, state = batch.column(at).to_pylist(), batch.column(mark).to_pylist()
+                    rows = [i for i, t in enumerate(texts) if t and state[i]]
                     while rows:
                         hits = shard_hits([encode(texts[i]) for i in rows], shared.value)[1]
-                        for k, (spans, _) in hits.items():
-                            texts[rows[k]] = cut(texts[rows[k]], spans)
                         rows = [rows[k] for k in sorted(hits)]
-                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                        for i, (_, (spans, _)) in zip(rows, sorted(hits.items()), strict=True):
+                            texts[i], state[i] = cut(texts[i], spans), 2
+                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).set_column(mark, batch.schema.field(mark), pa.array(state, pa.int32()))
 
-        return frame.mapInArrow(run, docs.schema)
+        return frame.mapInArrow(run, marked.schema)
 
-    spark, out = docs.sparkSession, docs
-    small_batches(spark)
-    first = True
-    for _ in range(2):
+    out, fresh = marked, True
+    while True:
         count = 0
-        for block in _blocks(benchmark, block_bytes):
-            out = without(spark.sparkContext.broadcast(Phrases(block, window)), out if first else materialize(out, "decontam"))
-            first = False
+        for block in _blocks(benchmark, window, block_words):
+            out = without(spark.sparkContext.broadcast(Phrases(block, window)), out if fresh else materialize(out, "decontam"))
+            fresh = False
             count += 1
         if count == 1:
-            break
-    return out
+            return out.drop("__open")
+        out = materialize(out, "decontam").withColumn("__open", F.when(F.col("__open") == 2, 1).otherwise(0))
+        if not out.where("__open = 1").limit(1).count():
+            return out.drop("__open")
 
 
 def hit_words(spans) -> F.Column:

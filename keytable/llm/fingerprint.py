@@ -6,11 +6,14 @@ vectors lane by lane modulo powers of two:
 * ``DENSE`` lanes modulo 2**64 of whole paragraphs. Equal multisets of paragraphs
   have equal lanes in whatever order; adding or removing a paragraph adds or
   subtracts its vector, so a fingerprint is maintained without the text.
-* ``LANES`` lanes modulo 2**32 of a Cauchy number for every sentence of a paragraph, and
-  one lane modulo 2**32 that counts sentences. Cauchy numbers are 1-stable: the difference
-  of two such sums is a Cauchy number whose scale is the sum of the absolute differences of
-  the counts, however often a sentence repeats. The scale that is likeliest over the
-  lanes gives a likeness between 0 and 1.
+* ``LANES`` lanes modulo 2**32 of a Cauchy number for every piece of a paragraph, and one
+  lane modulo 2**32 that counts pieces. A piece ends where the bytes before say so, after
+  ``PIECE`` bytes on average, so pieces do not depend on the language, and those beside an
+  edit are as before. Cauchy numbers are 1-stable: the difference of two such sums is a
+  Cauchy number whose scale is the sum of the absolute differences of the counts,
+  however often a piece repeats. The scale that is likeliest over the lanes gives a
+  likeness between 0 and 1. Only numbers far out in few lanes can wrap, which the
+  likeliest scale withstands up to about ten million repeats of a piece.
 
 Null and empty texts have no paragraph: the zero fingerprint. Two empty multisets
 are alike (1.0). Blank paragraphs are ignored; repeated ones count repeatedly.
@@ -19,7 +22,6 @@ are alike (1.0). Blank paragraphs are ignored; repeated ones count repeatedly.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ DENSE, LANES = 8, 256  # a standard error of sqrt(2 / LANES) of the unlike share
 UNIT = 16  # Cauchy numbers are rounded to this part of one
 STEPS = 30  # halvings of the error of a scale
 _CAUCHY = np.rint(UNIT * np.tan(np.pi * ((np.arange(1 << 16) + 0.5) / (1 << 16) - 0.5))).astype(np.int32)
-_SENTENCE = re.compile(rb"(?<=[.!?|])\s+")
+PIECE, LONGEST = 16, 64  # bytes of a piece on average and at most
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -46,9 +48,31 @@ def _digests(units: list[bytes], size: int) -> bytes:
     return b"".join([new(u, digest_size=size).digest() for u in units])
 
 
+def pieces(paragraphs: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The pieces of all paragraphs, and how many each has: a piece ends where a hash of the
+    last four bytes is one of so many, at the end, and after ``LONGEST`` bytes."""
+    raw = b"".join(paragraphs)
+    ends = np.cumsum([len(p) for p in paragraphs])
+    data = np.frombuffer(raw + b"\0" * 4, np.uint8).astype(np.uint32)
+    four = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+    found = np.flatnonzero(((four * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(PIECE) == 0) + 4
+    owner = np.searchsorted(ends, found, side="left")  # no cut looks back into the paragraph before
+    inside = owner < len(ends)
+    found, owner = found[inside], owner[inside]
+    found = found[found - 4 >= (ends - [len(p) for p in paragraphs])[owner]]
+    cuts = np.unique(np.concatenate((found, ends)))
+    starts = np.concatenate(([0], cuts[:-1]))
+    more = (cuts - starts - 1) // LONGEST  # further cuts within long pieces
+    if more.any():
+        k = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+        cuts = np.sort(np.concatenate((cuts, np.repeat(starts, more) + k * LONGEST)))
+        starts = np.concatenate(([0], cuts[:-1]))
+    return [raw[a:b] for a, b in zip(starts.tolist(), cuts.tolist(), strict=True)], np.diff(np.concatenate(([0], np.searchsorted(cuts, ends, side="right"))))
+
+
 def vectors(groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Sums over each group of paragraphs: dense lanes (n, DENSE) uint64 and Cauchy
-    lanes with the count of sentences (n, LANES + 1) uint32."""
+    lanes with the count of pieces (n, LANES + 1) uint32."""
     n = len(groups)
     dense, lanes = np.zeros((n, DENSE), np.uint64), np.zeros((n, LANES + 1), np.uint32)
     flat = [p for g in groups for p in g]
@@ -58,14 +82,13 @@ def vectors(groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     full = np.flatnonzero(lengths)
     wide = np.frombuffer(_digests(flat, 8 * DENSE), "<u8").reshape(-1, DENSE)
     dense[full] = np.add.reduceat(wide, (np.cumsum(lengths) - lengths)[full], axis=0)
-    split = [_SENTENCE.split(p) for p in flat]
-    per_group = np.add.reduceat(np.array([len(x) for x in split]), (np.cumsum(lengths) - lengths)[full])
-    sentences = [x for part in split for x in part]
+    units, counts = pieces(flat)
+    per_group = np.add.reduceat(counts, (np.cumsum(lengths) - lengths)[full])
     owner = np.repeat(np.arange(len(full)), per_group)
     sums = np.zeros((len(full), LANES), np.int64)
     step = 1 << 12
-    for a in range(0, len(sentences), step):
-        raw = b"".join([hashlib.shake_128(u).digest(2 * LANES) for u in sentences[a : a + step]])
+    for a in range(0, len(units), step):
+        raw = b"".join([hashlib.shake_128(u).digest(2 * LANES) for u in units[a : a + step]])
         numbers = _CAUCHY[np.frombuffer(raw, "<u2")].reshape(-1, LANES)
         own = owner[a : a + step]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
@@ -98,8 +121,8 @@ def fingerprints(texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of sentences that two multisets have in common, row by row: one
-    less the sum of absolute differences of the counts by the number of all sentences."""
+    """Estimated share of pieces that two multisets have in common, row by row: one
+    less the sum of absolute differences of the counts by the number of all pieces."""
     squares = ((a[:, :LANES] - b[:, :LANES]).astype(np.int32).astype(np.float64) / UNIT) ** 2
     scale = np.maximum(np.median(squares, axis=1), 1e-9)  # squared; the median starts the likeliest
     for _ in range(STEPS):

@@ -6,12 +6,14 @@ max-pooled; echo channels (does the 8-byte window repeat at a lag of 2..16 bytes
 are mean-pooled beside them. A linear head turns the pooled features of a chunk
 into a logit, and the logits of all chunks are averaged into one probability.
 
-Training reads at most ``sample`` labelled rows (those with the smallest hash of
-the id) and at most ``chunks_per_doc`` evenly spaced chunks of each, so the driver
-holds a bounded number of bytes whatever the corpus; scoring reads every byte.
+Training reads the whole texts of at most ``sample`` labelled documents and at most
+``sample_bytes`` bytes of them, in the order of a hash of the id (one that does not fit
+is passed over), so the driver holds a bounded number of bytes whatever the corpus. All
+chunks of a document weigh as much as those of another. Scoring reads every byte.
 
 Null and empty texts have one chunk of padding and get a defined score; repeated
-rows score alike; other columns are carried through or ignored.
+rows score alike; of several labelled texts of one id the smallest one is learned from;
+other columns are carried through or ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytable.llm.storage import small_batches, text_column
+from keytable.llm.words import encode
 
 WIDTH, CELL, CELLS, HOP = 4, 128, 8, 7  # chunks of 8 cells, one cell shared with the next
 LAGS = range(2, 17)
@@ -121,16 +124,16 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: list[int], *, chunks_per_doc: int = 4, epochs: int = 24, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Model:
-    """Adam on the log loss of chunks, classes weighted evenly. Deterministic."""
+def fit(texts: list[bytes], labels: list[int], *, epochs: int = 24, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Model:
+    """Adam on the log loss of chunks, documents and classes weighted evenly. Deterministic."""
     rng = np.random.default_rng(seed)
     size = CELL * CELLS
-    xs, ys = [], []
+    xs, ys, parts = [], [], []
     for t, y in zip(texts, labels, strict=True):
         n = max(1, -(-len(t) // size))
-        for k in sorted({i * n // min(n, chunks_per_doc) for i in range(min(n, chunks_per_doc))}):
-            xs.append(t[k * size : (k + 1) * size].ljust(size, b"\0"))
-            ys.append(y)
+        xs += [t[k * size : (k + 1) * size].ljust(size, b"\0") for k in range(n)]
+        ys += [y] * n
+        parts += [1 / n] * n
     model = Model(rng.normal(0, 0.1, (WIDTH, 256, N_FILTERS)).astype(np.float32), rng.normal(0, 0.3, N_FILTERS + 1).astype(np.float32), 0.0)
     if not xs or len(set(ys)) < 2:  # nothing to learn from: one constant score
         model.head[:] = 0
@@ -138,7 +141,9 @@ def fit(texts: list[bytes], labels: list[int], *, chunks_per_doc: int = 4, epoch
         return model
     x = np.frombuffer(b"".join(xs), np.uint8).reshape(-1, size)
     y = np.array(ys, np.float32)
-    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+    share = np.array(parts, np.float32)
+    for c in (0, 1):  # both classes weigh half of all chunks
+        share[y == c] *= 0.5 * len(y) / share[y == c].sum()
     echoes = np.array([echo(np.concatenate((r, np.zeros(GAP, np.uint8))), CELLS).sum() / max(1, -(-np.count_nonzero(r) // CELL)) for r in x], np.float32)
     params = [model.filters, model.head, np.zeros(1, np.float32)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -175,22 +180,25 @@ def fit(texts: list[bytes], labels: list[int], *, chunks_per_doc: int = 4, epoch
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, max_bytes: int = 65536, label: str = "quality") -> Model:
-    """Fit on the labelled rows that are not held out. ``sample`` bounds the rows and
-    ``max_bytes`` the bytes of one training text (scoring has no such bound). Labels
-    that are null are no labels; a document with contradicting labels counts as its
-    smallest one."""
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_bytes: int = 16 << 20, label: str = "quality") -> Model:
+    """Fit on whole texts of labelled documents that are not held out, bounded as told
+    above. Labels that are null are no labels; a document with contradicting labels
+    counts as its smallest one."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("__label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    rows = (
-        docs.select("doc_id", text_column(docs).alias("__text")).join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", F.substring(F.encode("__text", "utf-8"), 1, max_bytes).alias("__bytes"), "__label").collect()
-    )
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["__bytes"])))
-    return fit([bytes(r["__bytes"]) for r in rows], [r["__label"] for r in rows])
+    # one text per id, so there are no more rows than in the sample
+    texts = docs.select("doc_id", text_column(docs).alias("__text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__label").agg(F.min("__text").alias("__text"))
+    left, ids = sample_bytes, []
+    for r in texts.select("doc_id", F.octet_length("__text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            ids.append(r["doc_id"])
+    rows = texts.where(F.col("doc_id").isin(ids)).collect() if ids else []
+    rows.sort(key=lambda r: r["doc_id"])
+    return fit([encode(r["__text"]) for r in rows], [r["__label"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, *, name: str = "score") -> DataFrame:
@@ -204,7 +212,7 @@ def score(docs: DataFrame, model: Model, *, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            texts = [encode(t) for t in batch.column(at).to_pylist()]
             found = np.empty(len(texts))
             a = 0
             while a < len(texts):  # about 2 MB at a time

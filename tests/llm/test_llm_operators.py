@@ -114,6 +114,39 @@ def test_scores_cover_the_whole_document():
     assert np.array_equal(quality.cell_features(model, data, block=3), quality.cell_features(model, data)) and len(own) == cells.sum()
 
 
+def test_scores_by_brute_force():
+    """One filter at one byte at a time, over every chunk of every text."""
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(0, 1, (4, 256, quality.N_FILTERS)).astype(np.float32), rng.normal(0, 1, quality.N_FILTERS + 1).astype(np.float32), 0.3)
+    model.filters[:, 0, :] = 0
+    for n in (0, 5, 127, 900, 1025, 2500):
+        text = bytes(rng.integers(97, 100, n, dtype=np.uint8))
+        cells = max(1, -(-n // quality.CELL))
+        data = text + b"\0" * (cells * quality.CELL - n + 64)
+        conv = [[sum(float(model.filters[j, data[i + j], f]) for j in range(4)) for f in range(quality.N_FILTERS)] for i in range(cells * quality.CELL)]
+        seen = [data[i : i + 8] != b"\0" * 8 and any(data[i : i + 8] == data[i + lag : i + lag + 8] for lag in range(2, 17)) for i in range(0, cells * quality.CELL, 4)]
+        logits, first = [], 0
+        while True:
+            last = min(first + quality.CELLS, cells)
+            best = [max(0.0, max(conv[i][f] for i in range(first * quality.CELL, last * quality.CELL))) for f in range(quality.N_FILTERS)]
+            echo = quality.ECHO_SCALE * np.mean(seen[first * quality.CELL // 4 : last * quality.CELL // 4])
+            logits.append(np.dot(best + [echo], model.head) + 0.3)
+            if last == cells:
+                break
+            first += quality.HOP
+        expected = 1 / (1 + np.exp(-np.clip(np.mean(logits), -30, 30)))
+        assert abs(quality.scores(model, [text])[0] - expected) < 1e-5, n
+
+
+def test_the_training_sample_is_bounded(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: taken.update(texts=texts, labels=labels))
+    docs = spark.createDataFrame([(i, t) for i in range(60) for t in ("b" * (10 * i), "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    quality.train(docs, labels, sample=20, sample_bytes=1000)
+    assert 2 < len(taken["texts"]) <= 20 and sum(map(len, taken["texts"])) <= 1000 and all(set(t) <= {98} for t in taken["texts"])
+
+
 # --- secrets ---------------------------------------------------------------------
 
 PATTERNS = [("assign", re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
@@ -195,7 +228,7 @@ def test_wavelet_ranks():
 def test_blocks_of_the_benchmark_agree(spark):
     docs, bench = table(spark, "documents").select("doc_id", "text"), table(spark, "benchmark")
     whole = {r["doc_id"]: r for r in decontam.find_contamination(docs, bench).collect()}
-    parts = {r["doc_id"]: r for r in decontam.find_contamination(docs, bench, block_bytes=2500).collect()}
+    parts = {r["doc_id"]: r for r in decontam.find_contamination(docs, bench, block_words=400).collect()}
     assert sum(bool(r["spans"]) for r in whole.values()) > 0
     for i, r in whole.items():
         assert r["spans"] == parts[i]["spans"] and set(r["items"]) == set(parts[i]["items"])
@@ -218,6 +251,23 @@ def test_removal_leaves_no_phrase_and_clean_texts_alone(spark):
     assert decontam.remove_contamination(seam, phrase).first()["text"].split() == ["tail"]
 
 
+def test_repeated_items_and_long_items_count_once(spark):
+    bench = spark.createDataFrame([(4, "x y z"), (4, "p q r"), (4, "x y z"), (10, " ".join(f"w{i}" for i in range(50)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y z p q r"), (2, " ".join(f"w{i}" for i in range(5, 40))), (3, "w1 w2")], "doc_id long, text string")
+    for words_ in (3, 7, 1000):
+        found = {r["doc_id"]: r for r in decontam.find_contamination(docs, bench, window=3, block_words=words_).collect()}
+        assert [found[i]["items"] for i in (1, 2, 3)] == [["4"], ["10"], []]
+        assert [sum(s["end"] - s["start"] for s in found[i]["spans"]) for i in (1, 2, 3)] == [6, 35, 0]
+
+
+@pytest.mark.parametrize("words_", [2, 1000])
+def test_cuts_for_one_block_uncover_phrases_of_another(spark, words_):
+    bench = spark.createDataFrame([(1, "x b"), (2, "a y")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a x a x a x b y b y b y tail"), (2, "clean"), (3, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in decontam.remove_contamination(docs, bench, block_words=words_).collect()}
+    assert out[1].split() == ["tail"] and out[2] == "clean" and out[3] is None
+
+
 # --- fingerprints ----------------------------------------------------------------
 
 paragraph = st.text("abc. é", min_size=1, max_size=12).map(str.strip).filter(bool)
@@ -235,7 +285,7 @@ def test_fingerprints_are_homomorphic(kept, more, random):
 
 
 def test_likeness_follows_shared_sentences():
-    sentence = lambda i: f"Sentence number {i} says something new."
+    sentence = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:40] + "."  # nothing in common
     text = " ".join(map(sentence, range(100)))
     others = [" ".join(map(sentence, range(k, k + 100))) for k in (0, 20, 50, 80, 100)]
     _, signs = fingerprint.fingerprints([text, *others])
@@ -251,6 +301,32 @@ def test_likeness_counts_repeated_sentences():
     assert np.allclose(near, [2 / 3, 1 / 2, 2 / 3, 4 / 5, 4 / 202], atol=0.17)
 
 
+@given(st.lists(st.binary(min_size=1, max_size=200), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_pieces_by_brute_force(paragraphs):
+    got, counts = fingerprint.pieces(paragraphs)
+    expected = []
+    for p in paragraphs:
+        own, begin = [], 0
+        for i in range(1, len(p) + 1):
+            four = int.from_bytes(p[i - 4 : i], "little") if i >= 4 else None
+            if i == len(p) or four is not None and ((four * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % fingerprint.PIECE == 0:
+                own += [p[k : min(k + fingerprint.LONGEST, i)] for k in range(begin, i, fingerprint.LONGEST)]
+                begin = i
+        expected.append(own)
+    assert got == [x for own in expected for x in own] and counts.tolist() == [len(own) for own in expected]
+
+
+def test_likeness_of_texts_without_sentences():
+    rng = np.random.default_rng(8)
+    chinese = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 400))
+    changed = chinese[:200] + "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 200))
+    small = "one change in a text of only one sentence without any full stop at all"
+    _, lanes = fingerprint.fingerprints([chinese, changed, small, small.replace("only", "just"), "line\n" * 65536, ""])
+    near = fingerprint.likeness(lanes[[0, 2, 4]], lanes[[1, 3, 5]])
+    assert abs(near[0] - 0.5) < 0.17 and near[1] > 0.3 and near[2] < 0.05
+
+
 def test_edits_by_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"] or "") for r in table(spark, "documents").collect())
     after = [t for _, t in rows[1:]] + [rows[0][1]]
