@@ -16,16 +16,19 @@ K - D is more than one, which keeps passages that many texts share from joining
 all: a class that has fewer than K - D blocks in common with others links with none and
 goes, and of the shared blocks of the rest the K - D - 1 most frequent ones are left
 out (a linked pair has a rarer one in common). Classes that still share blocks, directly
-or through others, form clusters. A cluster is compared within one task if its sets fit
-``PART_BYTES``, else in parts: twice the parts of a hash each by itself, then what is
-not yet in the cluster's largest component against all parts. Pairs that are already in
-one component are skipped, others are dropped by their sketches, and the exact check
-compares the sets themselves (hashes of 64 bits, compared by their upper 40). So copies
-and near copies are not expanded into pairs, and no link that joins components is lost.
+or through others, form clusters. A cluster is compared within one task if it has no more
+than ``PART_ROWS`` classes of ``PART_BYTES`` in all, else in parts of that size: the
+classes of equal least block together, then parts of a hash, then what is not yet in the
+cluster's largest component, in pairs of parts that share a block. Pairs that are
+already in one component are skipped, others are dropped by their sketches, and the exact
+check compares the sets themselves (hashes of 64 bits). So copies and near copies are not
+expanded into pairs, and no link that joins components is lost.
 
 Defined results: null, empty or wordless texts have an empty set and link with
 nothing; texts of fewer words than a shingle have their whole sequence as the one
-shingle; repeated rows are in one class; other columns are ignored.
+shingle; rows count by what they hold, so rows of one id may differ and repeated rows
+are in one class; rows without an id link like others but are named by no component;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,17 +44,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytable.llm.components import merge_labels
-from keytable.llm.storage import materialize, small_batches
+from keytable.llm.storage import materialize, small, small_batches, text_column
 from keytable.llm.words import BLANK, encode, mix, word_hashes
 
 SLACK = 0.35  # blocks beyond the D + 1 that the pigeonhole needs
 SKETCH_BITS = 1024
 BAND_RATIO = 1.25
-PART_BYTES = 4 << 20
+PART_BYTES, PART_ROWS = 4 << 20, 128
 _PIECE = 1 << 20
 _A = np.uint64(0x9FB21C651E98DF25)
-#: More ids than this are not broadcast but joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +182,13 @@ def sketch(own: np.ndarray) -> bytes:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts in groups of bounded size."""
+    """Rows (doc_id, hash, text) as keys and texts, in groups of bounded size."""
     ids: list = []
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
+        for i, h, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            ids.append((i, h))
             texts.append(encode(t))
             size += len(texts[-1])
             if size >= limit:
@@ -197,18 +198,24 @@ def _texts(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[
         yield ids, texts
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, text): what tells rows apart here."""
+    text = text_column(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
 def sets_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, sig, sketch) of every row; sig and sketch are null for empty sets."""
+    """(doc_id, hash, n, sig, sketch) of every row; sig and sketch are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for keys, texts in _texts(batches):
             sets = shingle_sets(texts, size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n", "sig", "sketch"],
+                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "hash", "n", "sig", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig long, sketch binary")
+    return hashed(docs).mapInArrow(run, "doc_id long, hash long, n long, sig long, sketch binary")
 
 
 def shared_blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -261,7 +268,7 @@ def shared_blocks(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=names)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").mapInArrow(keys, "key long, sig long, tag long")
+    rows = hashed(docs).mapInArrow(keys, "key long, sig long, tag long")
     return rows.repartition(n, "key").sortWithinPartitions("key", "sig").mapInArrow(group, "key long, sig long, tag long")
 
 
@@ -283,20 +290,9 @@ def _thinned(groups: DataFrame) -> DataFrame:
     return kept.join(lead, "key").where("sig <> leader").select("key", "sig", "leader")
 
 
-def _packed(own: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, in ascending order."""
-    return (own >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def links_within(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
     """Links between classes of ``rows`` (sig, n, sketch, packed, label, side) that join
-    components: any two rows, or if both sides 0 and 1 occur only rows of either side."""
+    components: any two rows, or if both sides 0 and 1 occur only pairs of one row of each."""
     sig, n, label = (np.array(rows[c], np.int64) for c in ("sig", "n", "label"))
     side = np.array(rows["side"], np.int64)
     both = side.min() != side.max()
@@ -306,7 +302,7 @@ def links_within(rows: dict[str, list], percent: int) -> list[tuple[int, int]]:
 
     def own(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = _unpacked(rows["packed"][i])
+            sets[i] = np.frombuffer(rows["packed"][i], "<u8")
         return sets[i]
 
     found = []
@@ -350,80 +346,125 @@ def _compared(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sig, packed) for the classes of ``wanted`` (doc_id, sig), one document each."""
+    """(sig, packed): the sets of the rows ``wanted`` (doc_id, hash), as their sorted hashes.
+    The signature is taken from the row's own text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sigs, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([_packed(s) for s in shingle_sets(texts, size)], pa.binary())], names=["sig", "packed"])
+        for _, texts in _texts(batches):
+            sets = [s for s in shingle_sets(texts, size) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["sig", "packed"])
 
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("sig", "text")
+    chosen = _matching(hashed(docs), wanted, "left_semi")
     return materialize(chosen.mapInArrow(run, "sig long, packed binary"), "sets").dropDuplicates(["sig"])
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): texts whose shingle sets have a Jaccard
-    similarity of ``percent`` or more are linked; component_id is the smallest doc_id
-    reachable by links. Rows without an id are their own component (null)."""
+def _matching(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined to rows (doc_id, hash), ids null-safe; the named side is broadcast
+    if its counted size allows."""
+    named = named.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))
+    return rows.join(F.broadcast(named) if small(named, row_bytes=64) else named, on, how)
+
+
+def grouped(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, hash, n, label) of every row: rows whose sets are linked, directly or
+    through others, have one label; it is null for empty sets."""
     small_batches(docs.sparkSession)
     table = materialize(sets_table(docs, size), "classes")
-    filled = table.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(filled.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
-    groups = materialize(_thinned(materialize(shared_blocks(docs.where(F.col("doc_id").isNotNull()), size, percent), "shared")), "groups")
+    filled = table.where(F.col("sig").isNotNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    classes = materialize(filled.groupBy("sig").agg(first, F.min("n").alias("n"), F.min("sketch").alias("sketch")).select("sig", "first.doc_id", "first.hash", "n", "sketch"), "classes")
+    groups = materialize(_thinned(materialize(shared_blocks(docs, size, percent), "shared")), "groups")
 
     nodes = groups.select(F.col("sig").alias("node")).union(groups.select(F.col("leader").alias("node"))).distinct()
     alone = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     clusters = merge_labels(alone, groups.select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct())
-    members = clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")).join(classes, "sig")
-    sets = _sets_of(docs, materialize(members.select("doc_id", "sig"), "members"), size)
-    members = materialize(members.join(sets, "sig").select("cluster", "sig", "n", "sketch", "packed"), "members")
-    labels = _components(members, alone, percent)
-
-    roots = classes.select("sig", "doc_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("label"))
-    smallest = roots.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = roots.join(smallest, "label").select("sig", "component_id")
-    return table.join(by_class, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids, and one row of each id left."""
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = materialize(kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    members = materialize(clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")).join(classes, "sig"), "members")
+    sets = _sets_of(docs, members.select("doc_id", "hash"), size)
+    keyed = materialize(groups.select("key", "sig").union(groups.select("key", F.col("leader").alias("sig"))).distinct(), "keyed")
+    home = keyed.groupBy("sig").agg(F.min("key").alias("home"))
+    members = materialize(members.join(sets, "sig").join(home, "sig").select("cluster", "home", "sig", "n", "sketch", "packed"), "members")
+    labels = _components(members, keyed, alone, percent)
+
+    by_class = classes.select("sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"))
+    rows = filled.join(by_class, "sig").select("doc_id", "hash", "n", "label")
+    return rows.unionByName(table.where(F.col("sig").isNull()).select("doc_id", "hash", "n", F.lit(None).cast("long").alias("label")))
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): texts whose shingle sets have a Jaccard
+    similarity of ``percent`` or more are linked; component_id is the smallest doc_id
+    reachable by links. Rows without an id have none."""
+    rows = materialize(grouped(docs, size=size, percent=percent), "grouped")
+    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("label is not null").join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return linked.unionByName(rows.where("label is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: that of the smallest id, of
+    its rows that of the smallest hash. Rows with empty sets stay."""
+    rows = materialize(grouped(docs, size=size, percent=percent), "grouped").where("label is not null")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = rows.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = rows.join(first, "label")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    gone = materialize(several.where(~is_first).select("doc_id", "hash").distinct(), "gone")
+    twice = materialize(several.where(is_first).groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "hash"), "twice")
+    clear = docs.withColumnRenamed("hash", "__theirs") if "hash" in docs.columns else docs
+    columns = [F.col("__theirs").alias("hash") if c == "hash" else F.col(c) for c in docs.columns]
+    kept = _matching(clear.withColumn("hash", F.xxhash64(text_column(clear))), gone, "left_anti")
     if not twice.limit(1).count():
-        return kept
-    repeated = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+        return kept.select(*columns)
+    once = _matching(kept, twice, "left_semi").dropDuplicates(["doc_id", "hash"])
+    return _matching(kept, twice, "left_anti").select(*columns).unionByName(once.select(*columns))
+
+
+def _parted(rows: DataFrame, groups: list[str], parts: str) -> DataFrame:
+    """``rows`` with column part: those of one least block together, ``parts`` of them in
+    each of ``groups``, and what is more than a part's rows divided by a hash."""
+    rows = rows.withColumn("__p", F.pmod(F.xxhash64("home", F.lit(1)), F.col(parts)))
+    more = rows.groupBy(*groups, "__p").agg(_parts().alias("__more"))
+    split = rows.join(more, [*groups, "__p"])
+    return split.withColumn("part", F.xxhash64("__p", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("__more")))).drop("__p", "__more")
+
+
+def _parts() -> F.Column:
+    """How many parts the rows of a group need."""
+    return F.greatest(F.lit(1), F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum(F.length("packed") + SKETCH_BITS // 8) / PART_BYTES))
 
 
-def _components(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _components(members: DataFrame, keyed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all classes in clusters: components of the links between them."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("packed") + SKETCH_BITS // 8) / PART_BYTES).alias("parts"))
-    sized = materialize(members.join(sizes, "cluster"), "sized")
+    sizes = members.groupBy("cluster").agg(_parts().alias("parts"))
+    sized = materialize(_parted(members.join(sizes, "cluster"), ["cluster"], "parts"), "sized")
 
     def current(rows: DataFrame) -> DataFrame:
         return rows.join(labels.withColumnRenamed("node", "sig"), "sig")
 
     for turn in range(2):
-        rows = sized if turn == 0 else sized.where("parts > 1")
-        part = F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("parts"))
-        labels = merge_labels(labels, _compared(current(rows).withColumn("part", part).withColumn("side", F.lit(0)), ["cluster", "part"], percent))
+        rows = sized if turn == 0 else sized.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("parts")))
+        labels = merge_labels(labels, _compared(current(rows).withColumn("side", F.lit(0)), ["cluster", "part"], percent))
         if turn == 0 and not sized.where("parts > 1").limit(1).count():
             return labels
 
     # large clusters: what is outside their largest component, against all of it and itself
-    rows = materialize(current(sized.where("parts > 1")).withColumn("bytes", F.length("packed") + SKETCH_BITS // 8), "large")
-    largest = rows.groupBy("cluster", "label").agg(F.sum("bytes").alias("b")).groupBy("cluster").agg(F.max_by("label", F.struct("b", "label")).alias("largest"))
+    rows = materialize(current(sized.where("parts > 1").drop("part")), "large")
+    largest = rows.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
     rows = rows.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest"))
-    pools = rows.groupBy("cluster", "outside").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / PART_BYTES)).alias("pool"))
-    rows = rows.join(pools, ["cluster", "outside"]).withColumn("part", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("pool")))
-    rows = materialize(rows.select("cluster", "outside", "part", "sig", "n", "sketch", "packed", "label"), "parts")
-    parts = rows.select("cluster", "outside", "part").distinct()
-    left = parts.where("outside").select("cluster", F.col("part").alias("i"))
-    right = parts.select("cluster", "outside", F.col("part").alias("j"))
-    units = left.join(right, "cluster").where("not outside or i <= j").select("cluster", "outside", "i", "j")
-    units = materialize(units, "units")
-    one = rows.where("outside").withColumnRenamed("part", "i").drop("outside").join(units, ["cluster", "i"]).withColumn("side", F.lit(0))
-    two = rows.withColumnRenamed("part", "j").join(units, ["cluster", "outside", "j"]).where("not outside or i <> j").withColumn("side", F.lit(1))
-    columns = ["cluster", "outside", "i", "j", "sig", "n", "sketch", "packed", "label", "side"]
-    return merge_labels(labels, _compared(one.select(*columns).unionByName(two.select(*columns)), ["cluster", "outside", "i", "j"], percent))
+    if not rows.where("outside").limit(1).count():
+        return labels
+    pools = rows.groupBy("cluster", "outside").agg(_parts().alias("pool"))
+    rows = _parted(rows.join(pools, ["cluster", "outside"]), ["cluster", "outside"], "pool").withColumn("part", F.xxhash64("cluster", "outside", "part"))
+    rows = materialize(rows.select("outside", "part", "sig", "n", "sketch", "packed", "label"), "parts")
+    # pairs of parts that have a block in common which stands in several components
+    held = materialize(keyed.join(rows.select("sig", "part", "outside", "label"), "sig").groupBy("key", "part", "outside").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "held")
+    mixed = held.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
+    held = held.join(mixed, "key")
+    left = held.where("outside").select("key", F.col("part").alias("i"))
+    right = held.select("key", F.col("part").alias("j"), "outside")
+    units = materialize(left.join(right, "key").where("not outside or i <= j").select("i", "j").distinct(), "units")
+    columns = ["i", "j", "sig", "n", "sketch", "packed", "label", "side"]
+    one = units.join(rows.withColumnRenamed("part", "i"), "i").withColumn("side", F.lit(0)).select(*columns)
+    two = units.where("i <> j").join(rows.withColumnRenamed("part", "j"), "j").withColumn("side", F.lit(1)).select(*columns)
+    return merge_labels(labels, _compared(one.unionByName(two), ["i", "j"], percent))

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keytable.llm import components, decontam, fingerprint, html, licenses, mixing, ngram_join, pii, quality, queries, secrets, warc, words
+from keytable.llm import components, decontam, fingerprint, html, licenses, mixing, ngram_join, pii, quality, queries, secrets, storage, warc, words
 
 DATA = "/root/testdata/sf0.001"
 relaxed = settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -378,14 +378,48 @@ def near_copies(seed=5, groups=12):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "part"), [(4, 85, 4 << 20), (5, 80, 4 << 20), (4, 85, 3000)])
-def test_components_by_brute_force(spark, monkeypatch, size, percent, part):
+@pytest.mark.parametrize(("size", "percent", "part", "rows_"), [(4, 85, 4 << 20, 128), (5, 80, 4 << 20, 3), (4, 85, 3000, 128)])
+def test_components_by_brute_force(spark, monkeypatch, size, percent, part, rows_):
     monkeypatch.setattr(ngram_join, "PART_BYTES", part)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", rows_)
     rows = near_copies() + [(1000 + i, t) for i, t in enumerate(["", None, "one", "one", "ONE", "one two", " one\ttwo "])]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size, percent=percent)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, size, percent)
 
 
+@pytest.mark.parametrize("bytes_", [0, 64 << 20])
+def test_one_huge_cluster_without_a_large_component(spark, monkeypatch, bytes_):
+    """A passage that all texts share, but which links few of them, in small parts; with
+    and without broadcasts."""
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 8)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", bytes_)
+    rng = np.random.default_rng(2)
+    passage, rows = [f"p{i}" for i in range(120)], []
+    for i in range(150):
+        own = [f"d{i // 3}w{k}" for k in range(60)]
+        for k in rng.integers(0, 60, int(rng.integers(0, 9))):
+            own[int(k)] = f"x{i}"
+        rows.append((i, " ".join(passage + own)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85)
+    expected = brute_components(rows, 4, 85)
+    assert 50 <= len({c for _, c in expected.values()}) < 150
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_rows_of_one_id_may_differ(spark, swap):
+    one, two = (" ".join(f"{p}{k}" for k in range(100)) for p in "ab")
+    rows = [(7, one), (7, two), (8, one + " end"), (9, two + " end"), (9, two + " end"), (None, one), (None, "else")]
+    rows = rows[1::-1] + rows[2:] if swap else rows
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect() if r["doc_id"] is not None)
+    assert got == [(7, 7), (7, 7), (8, 7), (9, 7), (9, 7)]
+    kept = ngram_join.one_of_each(df).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(7, one), (7, two), (None, "else")], key=str)
+    again = ngram_join.one_of_each(df.where("doc_id = 9")).collect()
+    assert [tuple(r) for r in again] == [(9, two + " end")]
+
+
 def test_components_of_the_small_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op7_ngram_join(spark, DATA).collect()}
