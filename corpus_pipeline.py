@@ -23,11 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id.
-    Rows without an id stay; of rows of one id, one stays."""
-    groups = ngram_join.near_duplicates(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return ngram_join.drop_ids(docs, gone)
+    """One document of each group of near duplicates stays, that of the smallest id."""
+    return ngram_join.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
