@@ -24,14 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import materialize
+from keytable.llm.storage import materialize, small, text_column
 
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 MOST = 3  # no more than so many times a source's or a document's size
-BLOCK_WORDS, SHARD_SLOTS = 32, 4096
+BLOCK_WORDS, SHARD_SLOTS = 256, 4096
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
-#: More sources than this are joined by a shuffle instead of a broadcast.
-BROADCAST_SOURCES = 100_000
 ROUNDS = 4
 
 
@@ -117,18 +115,19 @@ def draw_slots(sources: DataFrame, *, shard_slots: int, seed: str) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, hash) of every document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_column(docs)).alias("hash"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def lay_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document with its source's number and its offset in the source's stream."""
-    few = sources.count() <= BROADCAST_SOURCES
+    few = small(sources, row_bytes=1024)
     numbered = sources.select(F.col("source").alias("__source"), "s", "source_size", "target")
     rows = sized.join(F.broadcast(numbered) if few else numbered, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     # as many buckets as rows in one: neither level of the running totals is long
     buckets = sized.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")))).alias("n")).first()["n"]
     rows = rows.withColumn("bucket", hash32(F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  % F.lit(int(buckets)))
-    return running_total(rows, "s", "bucket", ["doc_id", "size"], "size", "offset")
+    return running_total(rows, "s", "bucket", ["doc_id", "size", "hash"], "size", "offset")
 
 
 def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
@@ -149,19 +148,23 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = S
 
 
 def mixed_blocks(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
-    """The mix itself: (shard, s, k, block, words), the words of the block in each slot."""
+    """The mix itself, a row per slot: (shard, source, slot, block, doc_ids, n_words, text).
+    slot counts a source's slots; the text is the words of its block, parted by blanks, and
+    doc_ids are the documents (those with an id) that they come from, in their order."""
     sized = materialize(sized_documents(docs), "sized")
     sources = materialize(sources_table(sized, block_words), "sources")
-    # rows of the same id, source and size are told apart by their running number
-    same = W.partitionBy("doc_id", "source", "size")
-    places = lay_out(sized, sources).select("doc_id", "source", "size", "s", "offset", F.row_number().over(same.orderBy("offset")).alias("copy"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0)).alias("words")).withColumn("size", F.size("words").cast("long")).where("size > 0")
-    texts = texts.withColumn("copy", F.row_number().over(same.orderBy(F.hash("words"))))
-    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "source", "size", "copy")]
-    rows = texts.alias("t").join(places.alias("p"), on).select("p.s", "p.offset", "t.size", "t.words")
-    rows = rows.withColumn("block", F.explode(F.expr(f"sequence(offset div {block_words}, (offset + size - 1) div {block_words})")))
-    start = F.greatest(F.expr(f"block * {block_words}") - F.col("offset"), F.lit(0))
-    end = F.least(F.expr(f"(block + 1) * {block_words}") - F.col("offset"), F.col("size"))
-    pieces = rows.select("s", "block", "offset", F.slice("words", (start + 1).cast("int"), (end - start).cast("int")).alias("piece"))
-    blocks = pieces.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("p")).select("s", "block", F.flatten("p.piece").alias("words"))
-    return draw_slots(sources, shard_slots=shard_slots, seed=seed).join(blocks, ["s", "block"])
+    # equal rows are told apart by their running number
+    key = ["doc_id", "source", "hash"]
+    places = lay_out(sized, sources).where("size > 0").select(*key, "s", "offset", F.row_number().over(W.partitionBy(*key).orderBy("offset")).alias("copy"))
+    text = text_column(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    texts = texts.withColumn("copy", F.row_number().over(W.partitionBy(*key).orderBy("hash")))
+    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*key, "copy")]
+    rows = texts.alias("t").join(places.alias("p"), on).select("p.s", "p.offset", "t.doc_id", F.regexp_extract_all("t.text", F.lit(WORD), F.lit(0)).alias("words"))
+    rows = rows.select("s", "offset", "doc_id", F.explode(F.expr(f"transform(sequence(offset div {block_words}, (offset + size(words) - 1) div {block_words}), b -> struct(b as block, array_join(slice(words, cast(greatest(b * {block_words} - offset, 0) + 1 as int), cast(least((b + 1) * {block_words} - offset, size(words)) - greatest(b * {block_words} - offset, 0) as int)), ' ') as piece, least((b + 1) * {block_words} - offset, size(words)) - greatest(b * {block_words} - offset, 0) as n))")).alias("b")).select("s", "offset", "doc_id", "b.*")
+    # a block holds at most ``block_words`` pieces
+    blocks = rows.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece"))).alias("p"), F.sum("n").cast("long").alias("n_words"))
+    blocks = blocks.select("s", "block", F.array_distinct(F.array_compact("p.doc_id")).alias("doc_ids"), "n_words", F.array_join("p.piece", " ").alias("text"))
+    mixed = draw_slots(sources, shard_slots=shard_slots, seed=seed).join(blocks, ["s", "block"])
+    named = sources.select("s", "source")
+    return mixed.join(F.broadcast(named) if small(named, row_bytes=1024) else named, "s").select("shard", "source", F.col("k").alias("slot"), "block", "doc_ids", "n_words", "text")

@@ -522,13 +522,26 @@ def test_running_totals(spark):
         assert r["before"] == sum(v for g, _, i, v in rows if g == r["g"] and i < r["i"])
 
 
-def test_blocks_of_the_mix(spark):
-    df = spark.createDataFrame([(i, f"s{i % 3}", " ".join(f"d{i}w{k}" for k in range(40 + i))) for i in range(12)], "doc_id long, source string, text string")
+@pytest.mark.parametrize("bytes_", [0, 64 << 20])
+def test_blocks_of_the_mix(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", bytes_)
+    rows = [(i, f"s{i % 3}", " ".join(f"d{i}w{k}" for k in range(40 + i))) for i in range(12)] + [(3, "s0", "d3w0 d3w1"), (3, "s0", "d3w0 d3w1"), (None, None, "d77w1 d77w2"), (50, "s1", None), (51, "s1", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     used: Counter = Counter()
-    for r in mixing.mixed_blocks(df).collect():
-        used.update(w.split("w")[0] for w in r["words"])
-    taken = {f"d{r['doc_id']}": r["taken"] for r in mixing.mix(df).collect()}
-    assert {d: used[d] for d in taken} == taken
+    words_: Counter = Counter()
+    mixed = mixing.mixed_blocks(df, block_words=8).collect()
+    for r in mixed:
+        found = r["text"].split(" ")
+        used.update(int(w[1:].split("w")[0]) for w in found)
+        words_[r["source"]] += len(found)
+        assert r["n_words"] == len(found) <= 8 and r["doc_ids"] == list(dict.fromkeys(d for d in (int(w[1:].split("w")[0]) for w in found) if d != 77))
+    taken: Counter = Counter()
+    target = {}
+    source = {i: s for i, s, _ in rows}
+    for r in mixing.mix(df, block_words=8).collect():
+        taken[77 if r["doc_id"] is None else r["doc_id"]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert used == +taken and all(abs(words_[s] - t) <= 0.05 * t + 16 for s, t in target.items())
 
 
 # --- personal data ---------------------------------------------------------------
