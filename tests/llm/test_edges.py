@@ -95,8 +95,22 @@ def test_stages(spark, tmp_path, step, empty):
     out = corpus_pipeline.STAGES[step][1](spark, given, folder)
     if step < len(corpus_pipeline.STAGES) - 1:
         assert out.columns == given.columns and out.dtypes == given.dtypes
-    n = len(out.collect())
-    assert n == 0 if empty else 0 < n <= len(ROWS)
+    rows = out.collect()
+    if empty:
+        assert rows == []
+    elif step == len(corpus_pipeline.STAGES) - 1:
+        n = {s: sum(len((r[1] or "").split()) for r in ROWS if r[3] == s) for s in {r[3] for r in ROWS}}
+        assert {r["source"] for r in rows} == {s for s in n if n[s]} and all(sum(r["n_words"] for r in rows if r["source"] == s) <= 3 * n[s] for s in n)
+    else:
+        texts = [(r["doc_id"], r["text"]) for r in rows]
+        twice = texts.count(ROWS[0][:2])
+        assert 0 < len(rows) <= len(ROWS)
+        if step == 1:  # of each group of copies one row; rows without words all stay
+            assert twice == 1 and len(rows) == len(ROWS) - 1
+        elif step == 2:  # the phrases of BENCH are gone, documents of nothing else too
+            assert all(i not in (None, 1) or not t or "one" not in t.split() for i, t in texts) and ("two" not in str(texts))
+        elif step == 3:
+            assert twice == 2 and len(rows) == len(ROWS) and (8, "[SECRET] [SECRET]") in texts
 
 
 def test_the_queries_run_on_the_small_tables(spark, small):

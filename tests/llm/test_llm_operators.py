@@ -738,11 +738,26 @@ def test_the_pipeline_against_its_parts(spark):
     kept = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in good]
     component = brute_components(kept, 5, 80)
     unique = {i for i, (_, c) in component.items() if i == c}
+    before = set(storage._written)
     out = corpus_pipeline.run(spark, DATA).collect()
-    assert out and {r["doc_id"] for r in out} <= unique
+    assert len(set(storage._written) - before) == 1  # only the result is left
+    ids = {i for r in out for i in r["doc_ids"]}
+    assert out and ids <= unique
     items = [(r["item_id"], r["text"]) for r in table(spark, "benchmark").collect()]
-    texts = dict(kept)
+    texts, source = dict(kept), {r["doc_id"]: r["source"] for r in docs.collect()}
+    plain = {i for i in ids if not contamination(texts[i], items, 10)[1] and not base_spans(texts[i])}
     for r in out:
-        if not contamination(texts[r["doc_id"]], items, 10)[1] and not base_spans(texts[r["doc_id"]]):
-            assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]]))
-    assert len(out) >= 0.95 * len(unique)
+        assert len(r["text"].split(" ")) == r["n_words"] <= mixing.BLOCK_WORDS and {source[i] for i in r["doc_ids"]} == {r["source"]}
+        if set(r["doc_ids"]) <= plain:  # the block is a stretch of its documents' words
+            assert r["text"] in " ".join(" ".join(re.findall(r"[^\x20\x09-\x0D]+", texts[i])) for i in r["doc_ids"])
+    words_ = Counter()
+    for r in out:
+        words_[r["source"]] += r["n_words"]
+    sizes = Counter()
+    for i in unique:
+        sizes[source[i]] += len((texts[i] or "").split())
+    assert all(words_[s] <= 3 * sizes[s] for s in words_)
+    # a source that is taken whole, once or more, has all of its documents in the mix
+    whole = {s for s in sizes if words_[s] >= 1.1 * sizes[s]}
+    assert len(whole) > 5 and {i for i in unique & plain | ids if source[i] in whole} == {i for i in unique if source[i] in whole and i in ids}
+    assert sum(source[i] in whole and i not in ids for i in unique) <= 2  # of which the benchmark left nothing
