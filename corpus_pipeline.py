@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytable.llm import decontam, mixing, ngram_join, quality, secrets
-from keytable.llm.storage import scratch_path, table
+from keytable.llm.storage import remove, scope, scratch_path, table
 
 
 def _with_length(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -40,8 +40,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes the words of each document."""
-    return mixing.mix(docs)
+    """The training mix: blocks of text drawn from the sources to their target weights,
+    each with the ids of its documents."""
+    return mixing.mixed_blocks(docs)
 
 
 STAGES = [
@@ -57,10 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``; each result is written and read again, and what
+    led to it is removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"stage{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, [before])
+        before = path
     return docs
