@@ -7,14 +7,15 @@ committed by Spark, lists those that count; files of failed attempts are never r
 
 Reading: archives are cut into byte ranges. The task of a range emits every place
 that looks like a record (``WARC/1.`` in plain archives, a gzip member in compressed
-ones), also inside payloads, with the offset of its successor as its own length says.
-Within a range, pointer jumping gives each candidate's first offset beyond the range;
-across ranges, pointer jumping from offset 0 of every file marks the true entries, and
-only records on a chain from a true entry are kept.
+ones), also inside payloads, with the offset of its successor as its own length says
+(of plain archives no payload is read for that). Within a range, pointer jumping gives
+each candidate's first offset beyond the range; across ranges, pointer jumping from
+offset 0 of every file marks the true entries, and only records on a chain from a true
+entry are read. A chain that does not end at the size of its archive is an error.
 
 Null payloads are empty; pages without an id get records that are never chosen before
 those with one; repeated ids each get a record, and of equal payloads under the
-smallest id each is a response.
+smallest id each is a response. Header blocks may be of any length.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import materialize, scratch_path, small_batches
+from keytable.llm.storage import materialize, scratch_path, small, small_batches
 
 GZIP_MAGIC, PLAIN_MAGIC = b"\x1f\x8b\x08", b"WARC/1."
 ARCHIVE_BYTES = 128 << 20
 RANGE_BYTES = 16 << 20
+SALTS = 16  # of the join by digest: one payload may be a third of all
 _PIECE = 1 << 16
 _NAMES = {b"warc-type": "kind", b"warc-target-uri": "url", b"warc-record-id": "record", b"warc-refers-to": "refers", b"warc-payload-digest": "digest", b"content-length": "length"}
 
@@ -72,9 +74,11 @@ def write(pages: DataFrame, *, smallest: int = 0, compress: bool = True, archive
     # only ids and digests are compared; later copies are few or narrow, never payloads
     marked = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= smallest)
     firsts = marked.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("first").isNotNull())
-    later = marked.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
+    salted = firsts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    later = marked.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    later = materialize(later.where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "first").distinct(), "later")
     keyed = rows.withColumn("digest", F.sha1("payload"))
-    joined = keyed.join(later.withColumnRenamed("page_id", "id").withColumnRenamed("digest", "d"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
+    joined = keyed.join(F.broadcast(later) if small(later, row_bytes=128) else later, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -132,87 +136,112 @@ def _headers(head: bytes) -> dict | None:
         name, _, value = line.partition(b":")
         if (key := _NAMES.get(name.strip().lower())) is not None:
             found[key] = value.strip().decode("utf-8", "replace")
-    return found if found.get("length", "").isdigit() else None
+    length = found.get("length", "")
+    return found if length.isascii() and length.isdigit() and len(length) < 19 else None
 
 
-class _Body:
-    """Reads a record from a stream of plain pieces: header block, then a body of
-    which only the length and the digest of the payload are kept."""
+class _Head:
+    """Collects a header block, which ends with an empty line, from pieces."""
 
     def __init__(self):
-        self.head, self.fields, self.left, self.used = b"", None, 0, 0
-        self.http, self.sha, self.payload, self.tail = b"", hashlib.sha1(), 0, 4
+        self.data, self.seen = bytearray(), 0
+
+    def feed(self, data: bytes) -> bytes | None:
+        """What follows the block, once it is complete; ``data`` is the block then."""
+        self.data += data
+        end = self.data.find(b"\r\n\r\n", self.seen)
+        if end < 0:
+            self.seen = max(0, len(self.data) - 3)
+            return None
+        rest = bytes(self.data[end + 4 :])
+        del self.data[end:]
+        return rest
+
+
+class _Record:
+    """Reads a record from a stream of plain pieces: header block, then a body of which
+    only the length and, if wanted, the digest of the payload are kept."""
+
+    def __init__(self, digest: bool):
+        self.head, self.fields, self.left = _Head(), None, 0
+        self.http, self.sha, self.payload, self.tail = _Head(), hashlib.sha1() if digest else None, 0, b""
         self.in_payload = False
 
     def feed(self, data: bytes) -> bool | None:
         """True when the record has ended, False when it is none, else None."""
         if self.fields is None:
-            self.head += data
-            end = self.head.find(b"\r\n\r\n")
-            if end < 0:
-                return False if len(self.head) > 1 << 20 or not PLAIN_MAGIC.startswith(self.head[: len(PLAIN_MAGIC)]) and not self.head.startswith(PLAIN_MAGIC) else None
-            self.fields = _headers(self.head[:end])
+            rest = self.head.feed(data)
+            if rest is None:
+                start = bytes(self.head.data[: len(PLAIN_MAGIC)])
+                return None if PLAIN_MAGIC.startswith(start) else False
+            self.fields = _headers(bytes(self.head.data))
             if self.fields is None:
                 return False
-            self.left = int(self.fields["length"])
-            self.used = end + 4
-            data = self.head[end + 4 :]
-            self.head = b""
-        if self.left:
-            part, data = data[: self.left], data[self.left :]
-            self.left -= len(part)
-            self.used += len(part)
-            if not self.in_payload:
-                self.http += part
-                end = self.http.find(b"\r\n\r\n")
-                if end >= 0:
-                    self.in_payload, part = True, self.http[end + 4 :]
-                    self.http = self.http[:end]
+            self.left, data = int(self.fields["length"]), rest
+        part, data = data[: self.left], data[self.left :]
+        self.left -= len(part)
+        if self.sha is not None and part:
+            if not self.in_payload and (rest := self.http.feed(part)) is not None:
+                self.in_payload, part = True, rest
             if self.in_payload:
                 self.sha.update(part)
                 self.payload += len(part)
-        if not self.left and data:
-            part = data[: self.tail]
-            if part != b"\r\n\r\n"[4 - self.tail : 4 - self.tail + len(part)]:
+        if data:
+            self.tail += data
+            if not b"\r\n\r\n".startswith(self.tail[:4]):
                 return False
-            self.tail -= len(part)
-            self.used += len(part)
-        return True if not self.left and not self.tail else None
-
-
-def _candidate(source: _Source, at: int, packed: bool) -> tuple[int, dict] | None:
-    """The successor's offset and the fields of the record at an offset, if it is one."""
-    body = _Body()
-    used = 0
-    if not packed:
-        for data in source.pieces(at):
-            end = body.feed(data)
-            if end is False:
+        return True if not self.left and len(self.tail) >= 4 else None
+
+
+def _members(source: _Source, at: int) -> Iterator[tuple[bytes, int, bool]]:
+    """(plain bytes, bytes used so far, whether it ends) of the gzip member at an offset;
+    ends early where there is none."""
+    unpack, used = zlib.decompressobj(31), 0
+    for data in source.pieces(at):
+        try:
+            plain = unpack.decompress(data)
+        except zlib.error:
+            return
+        used += len(data) - len(unpack.unused_data)
+        yield plain, used, unpack.eof
+        if unpack.eof:
+            return
+
+
+def _successor(source: _Source, at: int, packed: bool) -> int | None:
+    """The offset after the record at an offset, if it is one."""
+    if packed:
+        record, end = _Record(False), None
+        for plain, used, last in _members(source, at):
+            if plain and end is None and (end := record.feed(plain)) is False:
                 return None
-            if end:
-                used = body.used
-                break
-        else:
-            return None
-    else:
-        unpack = zlib.decompressobj(31)
-        end = None
-        for data in source.pieces(at):
-            try:
-                plain = unpack.decompress(data)
-            except zlib.error:
-                return None
-            if plain:
-                end = body.feed(plain)
-            if end is False:
+            if last:
+                return at + used if end and len(record.tail) == 4 else None
+        return None
+    head = _Head()
+    for data in source.pieces(at):
+        if head.feed(data) is not None:
+            fields = _headers(bytes(head.data))
+            if fields is None:
                 return None
-            used += len(data) - len(unpack.unused_data)
-            if unpack.eof:
-                break
-        if not unpack.eof or not end:
-            return None
-    fields = body.fields | {"payload": body.payload, "sha1": base64.b32encode(body.sha.digest()).decode(), "http": body.http.decode("utf-8", "replace")}
-    return at + used, fields
+            end = at + len(head.data) + 4 + int(fields["length"]) + 4
+            return end if end <= source.size and source.file.read_at(4, end - 4) == b"\r\n\r\n" else None
+    return None
+
+
+def _fields(source: _Source, at: int, packed: bool) -> dict:
+    """The fields of the true record at an offset, with the digest of its payload."""
+    record = _Record(True)
+    for plain in (p for p, _, _ in _members(source, at)) if packed else source.pieces(at):
+        if plain and record.feed(plain):
+            break
+    http = bytes(record.http.data).decode("utf-8", "replace")
+    declared = next((int(v) for k, _, v in (h.partition(":") for h in http.split("\r\n")) if k.strip().lower() == "content-length" and v.strip().isdigit()), None)
+    f = record.fields
+    return {
+        "page_id": _page(f.get("record")), "url": f.get("url"), "record_type": f.get("kind"), "digest": (f.get("digest") or "").rpartition(":")[2], "refers_to": _page(f.get("refers")),
+        "payload": record.payload, "sha1": base64.b32encode(record.sha.digest()).decode(), "declared": declared,
+    }
 
 
 def _page(value: str | None) -> int | None:
@@ -234,7 +263,8 @@ def _jump(offsets: np.ndarray, following: np.ndarray) -> np.ndarray:
         pointer = after
 
 
-CANDIDATE = "path string, piece long, offset long, next long, exit long, page_id long, url string, record_type string, digest string, refers_to long, payload long, sha1 string, declared long"
+CANDIDATE = "path string, size long, piece long, offset long, next long, exit long"
+RECORD = "page_id long, url string, record_type string, digest string, refers_to long, payload long, sha1 string, declared long"
 
 
 def candidates(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -256,21 +286,13 @@ def candidates(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFr
                     source = _Source(file, size, start, data)
                     at = data.find(magic)
                     while at >= 0:
-                        if start + at < end and (found := _candidate(source, start + at, packed)):
-                            rows.append((start + at, *found))
+                        if start + at < end and (after := _successor(source, start + at, packed)):
+                            rows.append((start + at, after))
                         at = data.find(magic, at + 1)
-                offsets = np.array([r[0] for r in rows], np.int64)
-                exits = _jump(offsets, np.array([r[1] for r in rows], np.int64))
-                for a in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist([
-                        {
-                            "path": path, "piece": piece, "offset": o, "next": n, "exit": int(x), "page_id": _page(f.get("record")), "url": f.get("url"), "record_type": f.get("kind"), "digest": (f.get("digest") or "").rpartition(":")[2],
-                            "refers_to": _page(f.get("refers")), "payload": f["payload"], "sha1": f["sha1"], "declared": next((int(v) for k, _, v in (h.partition(":") for h in f["http"].split("\r\n")) if k.strip().lower() == "content-length" and v.strip().isdigit()), None),
-                        }
-                        for (o, n, f), x in zip(rows[a : a + 10_000], exits[a : a + 10_000].tolist(), strict=True)
-                    ], schema=batch_schema)
-
-    batch_schema = pa.schema([(c.split()[0], pa.string() if c.split()[1] == "string" else pa.int64()) for c in CANDIDATE.split(", ")])
+                offsets, following = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([size] * n, pa.int64()), pa.array([piece] * n, pa.int64()), pa.array(offsets), pa.array(following), pa.array(_jump(offsets, following))], names=[c.split()[0] for c in CANDIDATE.split(", ")])
+
     return pieces.repartition(tasks, "path", "piece").mapInArrow(run, CANDIDATE)
 
 
@@ -289,14 +311,24 @@ def true_entries(found: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFra
     return reached.select("path", F.floor(F.col("offset") / range_bytes).alias("piece"), F.col("offset").alias("entry"))
 
 
+class BrokenArchive(ValueError):
+    """The chain of an archive's records does not end at its size."""
+
+
 def read(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records that are reachable from the start of their archive."""
     found = materialize(candidates(manifest, range_bytes=range_bytes), "candidates")
     entries = true_entries(found, range_bytes=range_bytes)
-    marked = found.join(entries.withColumnRenamed("entry", "offset").withColumn("is_entry", F.lit(True)), ["path", "piece", "offset"], "left")
+    ends = entries.groupBy("path").agg(F.max("entry").alias("end"))
+    broken = manifest.join(ends, "path", "left").where(~F.col("size").eqNullSafe(F.col("end"))).select("path").limit(3).collect()
+    if broken:
+        raise BrokenArchive(f"records don't reach the end of {', '.join(r['path'] for r in broken)}")
+    marked = found.join(entries.select("path", "piece", F.col("entry").alias("offset"), F.lit(True).alias("is_entry")), ["path", "piece", "offset"], "left")
 
     def keep(pdf):
         """One range: a bounded number of bytes, so a bounded number of candidates."""
+        import pandas as pd
+
         pdf = pdf.sort_values("offset")
         offsets, following = pdf["offset"].to_numpy(), pdf["next"].to_numpy()
         at = np.searchsorted(offsets, following)
@@ -309,10 +341,17 @@ def read(manifest: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
             pointer = pointer[pointer]
             if live.sum() == before and (pointer == pointer[pointer]).all():
                 break
-        return pdf.loc[live, names]
-
-    names = [c.split()[0] for c in CANDIDATE.split(", ")]
-    return marked.groupBy("path", "piece").applyInPandas(keep, CANDIDATE)
+        path, size, start = pdf["path"].iloc[0], int(pdf["size"].iloc[0]), int(pdf["piece"].iloc[0]) * range_bytes
+        rows = []
+        if live.any():
+            fs, name = _open(path)
+            with fs.open_input_file(name) as file:
+                source = _Source(file, size, start, file.read_at(min(size - start, range_bytes), start))
+                rows = [_fields(source, o, path.endswith(".gz")) for o in offsets[live].tolist()]
+        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "refers_to", "payload", "declared")})
+
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    return marked.groupBy("path", "piece").applyInPandas(keep, RECORD)
 
 
 def resolve(records: DataFrame) -> DataFrame:
