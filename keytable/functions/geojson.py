@@ -182,6 +182,16 @@ def intersects_column(geometry: Column, query: str) -> Column:
     return test(geometry)
 
 
+def to_binary(geometry: Column) -> Column:
+    """GeoJSON text as it is stored: its bytes; null where the text is no geometry."""
+    return F.when(F.get_json_object(geometry, "$.type").isNotNull(), F.encode(geometry, "utf-8"))
+
+
+def from_binary(stored: Column) -> Column:
+    """Stored geometry bytes as GeoJSON text, without a byte order mark."""
+    return F.regexp_replace(F.decode(stored, "utf-8"), "^\uFEFF", "")
+
+
 def pair_intersects(left: Column, right: Column) -> Column:
     """Row by row."""
     import pandas as pd

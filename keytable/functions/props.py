@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,14 @@ def compose(df: DataFrame, name: str, composer: ColumnFunction) -> DataFrame:
     return gathered.withColumn(name, composer(F.col(name)))
 
 
+def compose_entity(df: DataFrame, name: str, composer: Callable[[Column, Column], Column]) -> DataFrame:
+    """A property made by a function of the entity (a struct of the other columns) and of
+    the map of name__key columns."""
+    gathered = columns_to_map(df, name)
+    entity = F.struct(*[c for c in gathered.columns if c != name])
+    return gathered.withColumn(name, composer(entity, F.col(name)))
+
+
 def add_properties(df: DataFrame, extra: Column, into: str = "extra") -> DataFrame:
     """Further properties in the map column ``into``; declared columns win, so keys of
     their names are left out, and keys already there are replaced."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +81,15 @@ class Entity:
     indexes: tuple[Index, ...] = ()
     collections: tuple[Collection, ...] = ()
     ignored_tables: tuple[str, ...] = ()
+    #: the table that holds the rows, if it isn't named as the entity
+    table: str | None = None
+    index_postfix: str = "Index"
+    #: GeoJSON members with a spatial index
+    spatial: tuple[str, ...] = ()
+    #: whether changes are kept, and the condition (SQL text over members and old_<member>)
+    #: under which they are
+    tracked: bool = False
+    track_filter: str | None = None
     #: whether a filter on later parts of a key alone is refused
     strict_keys: bool = False
 
@@ -122,6 +133,20 @@ class Entity:
             raise ValueError(f"index {name} is declared twice")
         return replace(self, indexes=(*self.indexes, Index(name, tuple(first), tuple(second), **options)))
 
+    def with_table(self, name: str, index_postfix: str | None = None) -> Entity:
+        """The table that holds the rows; indexes without a table of their own are named by
+        it and the postfix."""
+        return replace(self, table=name, index_postfix=self.index_postfix if index_postfix is None else index_postfix)
+
+    def with_spatial_index(self, geometry: str) -> Entity:
+        """A spatial index of a GeoJSON member, kept by every save."""
+        self._known([geometry])
+        return replace(self, spatial=(*self.spatial, geometry))
+
+    def with_revision_tracking(self, only: str | None = None) -> Entity:
+        """Every save keeps what its changes changed, or those for which ``only`` holds."""
+        return replace(self, tracked=True, track_filter=only)
+
     def with_collection(self, name: str, child: str, on: Mapping[str, str]) -> Entity:
         return replace(self, collections=(*self.collections, Collection(name, child, tuple(on.items()))))
 
@@ -132,6 +157,10 @@ class Entity:
 
     # --- use -----------------------------------------------------------------
 
+    @property
+    def stored_name(self) -> str:
+        return self.table or self.name
+
     def keys(self) -> list[tuple[str, tuple[KeyPart, ...]]]:
         return [(PARTITION_KEY, self.partition), (ROW_KEY, self.row)]
 
@@ -221,11 +250,12 @@ class Entity:
         return [*out, F.substr(key, F.lit(at))]
 
     def assert_partition(self, df: DataFrame) -> DataFrame:
-        """``df``, failing when a row has no partition key: a null in its only part."""
-        if len(self.partition) != 1:
+        """``df``, failing when a row has no partition key: nulls in all of its parts."""
+        if not self.partition:
             return df
         member = self.partition[0].member
-        checked = F.when(F.col(member).isNull(), F.raise_error(F.lit(f"{self.name}: PartitionKey is null"))).otherwise(F.col(member))
+        missing = reduce(and_, [F.col(p.member).isNull() for p in self.partition])
+        checked = F.when(missing, F.raise_error(F.lit(f"{self.name}: PartitionKey is null"))).otherwise(F.col(member))
         return df.withColumn(member, checked.cast(self.schema[member].dataType))
 
     def drop_defaults(self, df: DataFrame) -> DataFrame:

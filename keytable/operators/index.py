@@ -21,7 +21,7 @@ REF_PARTITION, REF_ROW = "RefPartitionKey", "RefRowKey"
 
 
 def index_table(entity: Entity, index: Index) -> str:
-    return index.table or f"{entity.name}Index"
+    return index.table or f"{entity.stored_name}{entity.index_postfix}"
 
 
 def find_index(entity: Entity, name: str) -> Index:
@@ -45,10 +45,11 @@ def _text_of(element: Column) -> Column:
     return F.coalesce(element.cast("string"), F.lit(""))
 
 
-def derive(entity: Entity, index: Index, base: DataFrame, *, order: Sequence[Column] = ()) -> DataFrame:
+def derive(entity: Entity, index: Index, base: DataFrame, *, order: Sequence[Column] = (), current: DataFrame | None = None) -> DataFrame:
     """The index rows of ``base``: keys, references, and (covering) all other columns.
-    ``order`` is the order of writes; without it the largest base key wins. Rows that a
-    column is_revision marks are not indexed."""
+    ``order`` is the order of writes; among rows of equal order one that the index
+    ``current`` refers to stays, else the largest base key wins. Rows that a column
+    is_revision marks are not indexed."""
     if "is_revision" in base.columns:
         base = base.where(~F.coalesce("is_revision", F.lit(False)))
     rows = base
@@ -58,10 +59,16 @@ def derive(entity: Entity, index: Index, base: DataFrame, *, order: Sequence[Col
         source = F.col("__element")
     first, second = _keys(entity, index, source)
     refs = [entity.key_column(PARTITION_KEY).alias(REF_PARTITION), entity.key_column(ROW_KEY).alias(REF_ROW)]
-    kept = [c for c in base.columns] if index.covering else []
+    kept = [c for c in base.columns if not c.startswith("__")] if index.covering else []
     keyed = rows.select(first.alias(PARTITION_KEY), second.alias(ROW_KEY), *refs, *[F.col(c) for c in kept], *[c.alias(f"__o{i}") for i, c in enumerate(order)])
     # the last write as one aggregate with a partial step, which a hot key needs
-    rank = F.struct(*[F.col(f"__o{i}") for i in range(len(order))], F.col(REF_PARTITION), F.col(REF_ROW))
+    stood = []
+    if current is not None:
+        ids = [PARTITION_KEY, ROW_KEY, REF_PARTITION, REF_ROW]
+        before = current.select(*[F.col(c).alias(f"__was_{c}") for c in ids], F.lit(True).alias("__stood")).distinct()
+        keyed = keyed.join(before, [F.col(c) == F.col(f"__was_{c}") for c in ids], "left")
+        stood = [F.coalesce("__stood", F.lit(False))]
+    rank = F.struct(*[F.col(f"__o{i}") for i in range(len(order))], *stood, F.col(REF_PARTITION), F.col(REF_ROW))
     columns = [REF_PARTITION, REF_ROW, *kept]
     last = keyed.groupBy(PARTITION_KEY, ROW_KEY).agg(F.max_by(F.struct(*columns), rank).alias("__last"))
     return last.select(PARTITION_KEY, ROW_KEY, *[F.col(f"__last.{c}").alias(c) for c in columns])

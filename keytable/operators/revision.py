@@ -50,8 +50,8 @@ def diff_changes(heads: DataFrame, changed: DataFrame, keys: Sequence[str], *, v
     """Revisions of a change set against the current heads. Columns that key transforms
     change can be left out with ``ignore``."""
     values = [c for c in changed.columns if c not in keys and c not in ignore]
-    before = heads.select(*keys, *[F.col(c).alias(f"old_{c}") for c in values], F.lit(True).alias("__known"))
-    rows = changed.join(before, list(keys), "left")
+    before = heads.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[F.col(c).alias(f"old_{c}") for c in values], F.lit(True).alias("__known"))
+    rows = changed.join(before, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys], "left")
     new, old = {c: F.col(c) for c in values}, {c: F.col(f"old_{c}") for c in values}
     return _diff(rows, list(keys), new, old, F.coalesce("__known", F.lit(False)), veto)
 
@@ -71,9 +71,14 @@ def save_with_history(heads: DataFrame, changed: DataFrame, keys: Sequence[str],
     return heads_after, revisions
 
 
-def restore(revisions: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+def restore(revisions: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], *, versions: DataFrame | None = None) -> DataFrame:
     """Every version whole again: the last value that was kept of each column. A null
-    that a revision names as changed is a null."""
+    that a revision names as changed is a null. ``versions`` (keys and order of all
+    versions) adds those that changed nothing and so left no revision."""
+    if versions is not None:
+        known = revisions.select(*[F.col(c).alias(f"__{c}") for c in (*keys, *order)], *values, "changed")
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, *order)]
+        revisions = versions.select(*keys, *order).join(known, on, "left").withColumn("changed", F.coalesce("changed", F.lit("")))
     window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     named = lambda c: F.array_contains(F.split("changed", ","), c)
     last = {c: F.last(F.when(named(c), F.struct(F.col(c).alias("v"))), ignorenulls=True).over(window)["v"] for c in values}

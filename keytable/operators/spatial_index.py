@@ -57,6 +57,16 @@ def join_candidates(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     return below.unionByName(above).drop("__at").dropDuplicates([*left_keys, *right_keys])
 
 
+def join_intersecting(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], geometries: tuple[str, str]) -> DataFrame:
+    """Pairs of rows of two indexes whose geometry columns intersect: candidates by their
+    tiles, then by their extents, then exactly."""
+    extents = [geojson.extent_column(F.col(g)) for g in geometries]
+    a, b = left.withColumn("__a", extents[0]), right.withColumn("__b", extents[1])
+    pairs = join_candidates(a, b, left_keys, right_keys)
+    near = pairs.where("__a.minx <= __b.maxx and __b.minx <= __a.maxx and __a.miny <= __b.maxy and __b.miny <= __a.maxy").drop("__a", "__b")
+    return near.where(geojson.pair_intersects(F.col(geometries[0]), F.col(geometries[1])))
+
+
 # --- the same tile arithmetic for single values ------------------------------
 
 

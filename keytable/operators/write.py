@@ -31,13 +31,24 @@ def last_changes(change_set: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest]).select(*change_set.columns)
 
 
+def matching(df: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``df`` semi- or anti-joined to the keys of another frame; null key parts are equal."""
+    named = keyed.select(*[F.col(k).alias(f"__key_{k}") for k in keys])
+    return df.join(named, _same(keys, "__key_"), how)
+
+
+def _same(keys: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
+
+
 def insert(base: DataFrame, new: DataFrame, keys: Sequence[str], *, on_conflict: str = "error") -> DataFrame:
-    """Base and new rows. A key that the base has fails the job (``error``), or the base
-    row stays (``ignore``)."""
+    """Base and new rows. A key that the base or another new row has fails the job
+    (``error``), or the base row and any one new row stay (``ignore``)."""
     if on_conflict == "ignore":
-        return base.unionByName(new.join(base.select(*keys), list(keys), "left_anti").select(*base.columns))
-    known = base.select(*keys, F.lit(True).alias("__there"))
-    checked = new.join(known, list(keys), "left")
+        return base.unionByName(matching(new.dropDuplicates(list(keys)), base, keys, "left_anti").select(*base.columns))
+    known = base.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.lit(True).alias("__known"))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
+    checked = new.withColumn("__nth", nth).join(known, _same(keys, "__key_"), "left").withColumn("__there", F.col("__known") | (F.col("__nth") > 1))
     text = F.concat(F.lit("key exists: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
     checked = checked.withColumn(keys[0], F.when(F.col("__there"), F.raise_error(text)).otherwise(F.col(keys[0])).cast(base.schema[keys[0]].dataType))
     return base.unionByName(checked.select(*base.columns))
@@ -45,10 +56,11 @@ def insert(base: DataFrame, new: DataFrame, keys: Sequence[str], *, on_conflict:
 
 def merge(base: DataFrame, new: DataFrame, keys: Sequence[str], *, set_null: Sequence[str] = (), insert_new: bool = True) -> DataFrame:
     """Upsert by column: null or absent columns keep the old value, but for those in
-    ``set_null``. Without ``insert_new`` only existing rows change."""
-    n = new.select(*[F.col(c).alias(f"__new_{c}") for c in new.columns], F.lit(True).alias("__is_new"))
+    ``set_null``. Without ``insert_new`` only existing rows change. Of several new rows of
+    one key any one counts; change sets have an order."""
+    n = new.dropDuplicates(list(keys)).select(*[F.col(c).alias(f"__new_{c}") for c in new.columns], F.lit(True).alias("__is_new"))
     o = base.withColumn("__is_old", F.lit(True))
-    both = o.join(n, [F.col(k) == F.col(f"__new_{k}") for k in keys], "full_outer" if insert_new else "left")
+    both = o.join(n, _same(keys, "__new_"), "full_outer" if insert_new else "left")
 
     def value(c: str) -> Column:
         if c not in new.columns:
@@ -66,13 +78,13 @@ def update(base: DataFrame, new: DataFrame, keys: Sequence[str], **options) -> D
 
 
 def replace(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert by row: a row of a known key is replaced whole."""
-    filled = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns])
-    return base.join(new.select(*keys), list(keys), "left_anti").select(*base.columns).unionByName(filled)
+    """Upsert by row: a row of a known key is replaced whole, by any one of several."""
+    filled = new.dropDuplicates(list(keys)).select(*[F.col(c) if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+    return matching(base, new, keys, "left_anti").select(*base.columns).unionByName(filled)
 
 
 def delete(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return base.join(gone.select(*keys), list(keys), "left_anti").select(*base.columns)
+    return matching(base, gone, keys, "left_anti").select(*base.columns)
 
 
 def delete_by_key(base: DataFrame, **values: object) -> DataFrame:
@@ -85,9 +97,13 @@ def delete_by_key(base: DataFrame, **values: object) -> DataFrame:
 
 def apply(base: DataFrame, change_set: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All kinds of changes in one join: the last change of each key decides."""
-    last = last_changes(change_set, keys)
+    return apply_last(base, last_changes(change_set, keys), keys)
+
+
+def apply_last(base: DataFrame, last: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Changes of which there is one per key."""
     n = last.select(*[F.col(c).alias(f"__new_{c}") for c in last.columns if c not in (OP, SEQ)], OP)
-    both = base.withColumn("__is_old", F.lit(True)).join(n, [F.col(k) == F.col(f"__new_{k}") for k in keys], "full_outer")
+    both = base.withColumn("__is_old", F.lit(True)).join(n, _same(keys, "__new_"), "full_outer")
     conflict = (F.col(OP) == ADD) & F.col("__is_old")
     text = F.concat(F.lit("key exists: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
     kept = both.where(F.col(OP).isNull() | (F.col(OP) != DELETE) & ((F.col(OP) != UPDATE) | F.col("__is_old")))

@@ -7,6 +7,8 @@ table's query there is one limit, applied after all filters whatever the order o
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keytable.functions.codec import parse_part, split_parts, successor
-from keytable.model import PARTITION_KEY, ROW_KEY, Entity
-from keytable.plans.predicate import And, Compare, Const, Predicate, Raw, conjuncts, filter_string, literal, parse_filter
+from keytable.model import PARTITION_KEY, ROW_KEY, Entity, KeyPart
+from keytable.plans.predicate import And, Compare, Const, Or, Predicate, Raw, conjuncts, filter_string, literal, parse_filter
 
 
 class NotFoundError(LookupError):
@@ -28,6 +30,29 @@ class TooManyError(LookupError):
     """One row was asked for and there are several."""
 
 
+#: More ways than this to read a key bring no conditions on its members.
+MOST_SPLITS = 16
+
+
+def splits(text: str, separator: str, parts: int) -> list[list[str]]:
+    """All ways to read a joined key as so many parts; none if they are very many."""
+    at = [i for i in range(len(text)) if text.startswith(separator, i)]
+    out = []
+    for cuts in itertools.combinations(at, parts - 1) if math.comb(len(at), parts - 1) <= 1000 else ():
+        if all(b - a >= len(separator) for a, b in zip(cuts, cuts[1:], strict=False)):
+            begins, ends = [0, *(c + len(separator) for c in cuts)], [*cuts, len(text)]
+            out.append([text[a:b] for a, b in zip(begins, ends, strict=True)])
+    return out
+
+
+def whole_text(text: str, separator: str) -> str:
+    """``text`` without an end that could be the beginning of a separator."""
+    for n in range(min(len(separator) - 1, len(text)), 0, -1):
+        if text.endswith(separator[:n]):
+            return whole_text(text[:-n], separator)
+    return text
+
+
 @dataclass(frozen=True)
 class Query:
     entity: Entity
@@ -105,18 +130,27 @@ class Query:
         if not isinstance(predicate, Compare) or predicate.op != "eq" or predicate.member not in (PARTITION_KEY, ROW_KEY) or not isinstance(predicate.value, str):
             return predicate
         parts = dict(self.entity.keys())[predicate.member]
-        texts = predicate.value.split(self.entity.separator, len(parts) - 1) if parts else []
         plain = [p for p in parts if not p.padding and p.member not in self.entity.encoders and not any(m == p.member for m, _ in self.entity.transforms)]
-        if len(texts) != len(parts) or len(plain) != len(parts):
+        # a value may hold the separator, so every way to read the key counts
+        ways = splits(predicate.value, self.entity.separator, len(parts)) if parts and len(plain) == len(parts) else []
+        known = [k for w in ways if (k := self._members(parts, w)) is not None]
+        if not known or len(known) > MOST_SPLITS or not all(known):
             return predicate
-        found: list[Predicate] = [predicate]
+        either = [And(tuple(k)) for k in known]
+        return And((predicate, *known[0]) if len(known) == 1 else (predicate, Or(tuple(either))))
+
+    def _members(self, parts: tuple[KeyPart, ...], texts: Sequence[str]) -> list[Predicate] | None:
+        """Conditions on the members of a key that reads as these texts; None if none can."""
+        found: list[Predicate] = []
         for part, text in zip(parts, texts, strict=True):
             kind = self.entity.schema[part.member].dataType
             if isinstance(kind, T.StringType) and text:
                 found.append(Compare(part.member, "eq", text))
-            elif isinstance(kind, (T.IntegerType, T.LongType)) and text.lstrip("-").isdigit():
+            elif isinstance(kind, (T.IntegerType, T.LongType)) and text:
+                if not (text.isascii() and text.lstrip("-").isdigit()):
+                    return None
                 found.append(Compare(part.member, "eq", int(text)))
-        return And(tuple(found))
+        return found
 
     def df(self) -> DataFrame:
         rows = self.source(self.table or self.entity.name)
@@ -132,26 +166,36 @@ class Query:
         return rows.select(*[self.entity.member(c).alias(c) if isinstance(c, str) else c for c in self.columns]) if self.columns else rows
 
     def _prefix_condition(self) -> Column:
-        """Any prefix: on the key itself, with the whole parts that a prefix holds also as
-        conditions on their members, which the scan can use."""
-        parts = self.entity.partition
+        """Any prefix: on the key itself, with what it says about the first two members,
+        which the scan can use."""
         key = self.entity.key_column(PARTITION_KEY)
         either = None
         for prefix in self.prefixes:
             one = key.startswith(prefix)
-            texts = prefix.split(self.entity.separator)
-            for part, text in zip(parts, texts, strict=False):
-                plain = not part.padding and part.member not in self.entity.encoders and not any(m == part.member for m, _ in self.entity.transforms) and isinstance(self.entity.schema[part.member].dataType, T.StringType)
-                if not plain or not text:
-                    break
-                last = part is parts[min(len(texts), len(parts)) - 1]
-                # a value may hold the separator itself, so a part is only a prefix for sure
-                one = one & F.col(part.member).startswith(text)
-                if last:
-                    break
+            if (more := self._prefix_members(prefix)) is not None:
+                one = one & more
             either = one if either is None else either | one
         return either if either is not None else F.lit(True)
 
+    def _prefix_members(self, prefix: str) -> Column | None:
+        parts, separator = self.entity.partition, self.entity.separator
+        plain = lambda p: not p.padding and p.member not in self.entity.encoders and not any(m == p.member for m, _ in self.entity.transforms) and isinstance(self.entity.schema[p.member].dataType, T.StringType)
+        if not parts or not plain(parts[0]):
+            return None
+        first, found, rest = prefix.partition(separator)
+        member = F.col(parts[0].member)
+        if not found:  # the end may belong to a separator
+            first = whole_text(first, separator) if len(parts) > 1 else first
+            return member.startswith(first) if first else None
+        if not first:
+            return None
+        # the first member ends at the first separator, or holds it itself
+        second = whole_text(rest.partition(separator)[0], separator) if len(parts) > 1 and plain(parts[1]) else ""
+        ends = member == first
+        if second:
+            ends = ends & F.col(parts[1].member).startswith(second)
+        return member.startswith(first) & ((member != first) | ends)
+
     def filter_string(self) -> str:
         """The filter of a keyed table that this query stands for."""
         text = filter_string(self.predicate, self.entity)

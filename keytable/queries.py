@@ -5,13 +5,15 @@ Every query is built from the package's operators; ``SQL`` states the same in Du
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keytable.functions import codec, props, spatial
+from keytable.functions import codec, geojson, props, spatial
 from keytable.functions.codec import Padding
 from keytable.model import PARTITION_KEY, ROW_KEY, Collection, Entity, schema_of
 from keytable.operators import index as ix
@@ -19,6 +21,7 @@ from keytable.operators import relation, revision, spatial_index, write
 from keytable.plans.predicate import m
 from keytable.plans.query import Query, decode_key
 from keytable.sources.context import Context
+from keytable.streaming import upsert
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFunction] = {}
@@ -89,9 +92,9 @@ def key_point_columns(spark, sf):
     return root(spark, sf, CUSTOMER).where(m("c_custkey") == 42).select("c_custkey", "c_acctbal").df()
 
 
-@query("SELECT c_custkey, to_json(map {'c_name': c_name, 'c_mktsegment': c_mktsegment})::VARCHAR AS bag FROM customer WHERE c_custkey < 50")
+@query("SELECT c_custkey, to_json(map {'c_name': c_name, 'c_mktsegment': c_mktsegment})::VARCHAR AS bag FROM customer")
 def property_bag(spark, sf):
-    rows = root(spark, sf, CUSTOMER).where(m("c_custkey") < 50).df()
+    rows = root(spark, sf, CUSTOMER).df()
     return rows.select("c_custkey", F.to_json(props.property_bag(rows, ["c_name", "c_mktsegment"])).alias("bag"))
 
 
@@ -261,9 +264,9 @@ def project_key_decode(spark, sf):
     return CUSTOMER.decode(stored).select("c_mktsegment", "c_nationkey", "c_custkey")
 
 
-@query("SELECT p_partkey, p_name AS name, p_brand || '/' || p_type AS kind FROM part WHERE p_partkey < 100")
+@query("SELECT p_partkey, p_name AS name, p_brand || '/' || p_type AS kind FROM part")
 def project_computed(spark, sf):
-    return root(spark, sf, PART).where(m("p_partkey") < 100).select("p_partkey", F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_type").alias("kind")).df()
+    return root(spark, sf, PART).select("p_partkey", F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_type").alias("kind")).df()
 
 
 # --- keys ------------------------------------------------------------------------
@@ -548,9 +551,8 @@ def revision_changes(spark, sf):
 def revision_restore(spark, sf):
     rows = root(spark, sf, EVENTS).df()
     history = revision.diff_history(rows, ["user_id"], ["ts", "event_id"], ["event_type", "value"])
-    whole = revision.restore(history, ["user_id"], ["ts", "event_id"], ["event_type", "value"])
-    same = rows.join(whole.select("user_id", "event_id"), ["user_id", "event_id"], "left_anti").select("user_id", "event_id", "event_type", "value")
-    return whole.select("user_id", "event_id", "event_type", "value").unionByName(same)
+    whole = revision.restore(history, ["user_id"], ["ts", "event_id"], ["event_type", "value"], versions=rows.select("user_id", "ts", "event_id"))
+    return whole.select("user_id", "event_id", "event_type", "value")
 
 
 # --- properties ------------------------------------------------------------------
@@ -691,23 +693,155 @@ def spatial_search(spark, sf):
     return found.where(f"minx <= {_QUERY_BOX[2]} and maxx >= {_QUERY_BOX[0]} and miny <= {_QUERY_BOX[3]} and maxy >= {_QUERY_BOX[1]}").select("c_custkey")
 
 
-@query(f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_BOXES} a JOIN {_BOXES} b ON a.c_custkey % 2 = 0 AND b.c_custkey % 2 = 1 AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
+@query(f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_BOXES} a JOIN {_BOXES} b ON a.c_custkey < b.c_custkey AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
 def spatial_join(spark, sf):
     rows = _box_index(spark, sf)
-    side = lambda name, rest: rows.where(F.col("c_custkey") % 2 == rest).select("tile", F.col("c_custkey").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    pairs = spatial_index.join_candidates(side("a", 0), side("b", 1), ["a"], ["b"])
-    return pairs.where("a_minx <= b_maxx and b_minx <= a_maxx and a_miny <= b_maxy and b_miny <= a_maxy").select("a", "b")
+    side = lambda name: rows.select("tile", F.col("c_custkey").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    pairs = spatial_index.join_candidates(side("a"), side("b"), ["a"], ["b"])
+    return pairs.where("a < b and a_minx <= b_maxx and b_minx <= a_maxx and a_miny <= b_maxy and b_miny <= a_maxy").select("a", "b")
 
 
-@query()
-def polygon_intersects(spark, sf):
-    """Box polygons that intersect a triangle, by the index and the exact test."""
+def _shapes(spark, sf) -> DataFrame:
+    """The boxes as GeoJSON polygons."""
     boxes = _boxes(spark, sf)
     corner = lambda x, y: F.concat(F.lit("["), F.col(x).cast("string"), F.lit(","), F.col(y).cast("string"), F.lit("]"))
     ring = F.concat_ws(",", corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny"))
-    shapes = boxes.select("c_custkey", F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("shape"))
-    from keytable.functions import geojson
+    return boxes.select("c_custkey", F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("shape"))
+
 
+# a convex shape misses a box if the box is on the outer side of one of its edges
+@query(f"""SELECT c_custkey FROM {_BOXES} WHERE minx <= 20 AND maxx >= 5 AND miny <= 58 AND maxy >= 45
+ AND -8 * (miny - 45) - 13 * (minx - 20) >= 0 AND -7 * (miny - 58) + 13 * (maxx - 12) >= 0""")
+def polygon_intersects(spark, sf):
+    """Box polygons that intersect a triangle, by the index and the exact test."""
+    shapes = _shapes(spark, sf)
     rows = spatial_index.derive(shapes, geojson.extent_column(F.col("shape")))
     triangle = '{"type":"Polygon","coordinates":[[[5,45],[20,45],[12,58],[5,45]]]}'
     return spatial_index.search(rows, ["c_custkey"], triangle, "shape").select("c_custkey")
+
+
+@query(f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_BOXES} a JOIN {_BOXES} b ON a.c_custkey < b.c_custkey AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
+def geometry_join(spark, sf):
+    """Pairs of polygons that intersect: by tile, by extent, and exactly."""
+    rows = spatial_index.derive(_shapes(spark, sf), geojson.extent_column(F.col("shape")))
+    side = lambda name: rows.select("tile", F.col("c_custkey").alias(name), F.col("shape").alias(f"{name}_shape"))
+    return spatial_index.join_intersecting(side("a"), side("b"), ["a"], ["b"], ("a_shape", "b_shape")).where("a < b").select("a", "b")
+
+
+@query(f"SELECT c_custkey, minx, miny, maxx, maxy FROM {_BOXES}")
+def geometry_stored(spark, sf):
+    """Geometries to bytes and back, and their extents."""
+    stored = _shapes(spark, sf).select("c_custkey", geojson.to_binary(F.col("shape")).alias("stored"))
+    back = stored.select("c_custkey", geojson.extent_column(geojson.from_binary(F.col("stored"))).alias("e"))
+    return back.select("c_custkey", "e.minx", "e.miny", "e.maxx", "e.maxy")
+
+
+# --- what saves write --------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or 'file://' + tempfile.gettempdir()}/keytable-{uuid.uuid4().hex}"
+
+
+def _saved(spark, sf) -> Context:
+    """Orders in a folder of their own, after two saves: of every fifth row the price of the
+    rows rises and every seventh row goes; then the customers of every 50th row become
+    one. Both are changes that a save applies."""
+    entity = (
+        Entity("orders", ORDERS.schema).with_keys(["o_orderpriority"], ["o_orderkey"]).with_table("sales").with_index("by_customer", ["o_custkey"], table="salesByCustomer")
+        .with_revision_tracking("coalesce(o_orderkey % 10 = 0, false)")
+    )
+    ctx = Context(spark, _scratch(spark), [entity])
+    ctx.create_tables()
+    rows = root(spark, sf, ORDERS).df()
+    ctx.add("orders", rows).save()
+    ctx.add("orders", rows.where("o_orderkey % 5 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), mode="merge")
+    ctx.delete("orders", rows.where("o_orderkey % 7 = 0"))
+    ctx.save()
+    ctx.update("orders", rows.where("o_orderkey % 50 = 0").select("o_orderpriority", "o_orderkey", F.lit(1).cast("long").alias("o_custkey"))).save()
+    return ctx
+
+
+_AFTER = "(SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 7 <> 0)"
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_totalprice FROM {_AFTER}")
+def context_save(spark, sf):
+    return _saved(spark, sf).query("orders").select("o_orderkey", "o_custkey", "o_totalprice").df()
+
+
+_KEY_ORDER = "o_orderpriority DESC, o_orderkey::VARCHAR DESC"
+
+
+# after each save: first what it wrote, then whom the index had, then the largest key
+@query(f"""WITH one AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderpriority, o_orderkey::VARCHAR)) AS had FROM orders GROUP BY o_custkey),
+two AS (SELECT o_custkey, o_orderkey AS had FROM (SELECT o.*, row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_orderkey % 5 = 0 DESC, had IS NOT NULL DESC, {_KEY_ORDER}) AS nth
+ FROM orders o LEFT JOIN one ON one.o_custkey = o.o_custkey AND had = o_orderkey WHERE o_orderkey % 7 <> 0) WHERE nth = 1)
+SELECT o_custkey, o_orderkey FROM (SELECT a.*, row_number() OVER (PARTITION BY a.o_custkey ORDER BY o_orderkey % 50 = 0 DESC, had IS NOT NULL DESC, {_KEY_ORDER}) AS nth
+ FROM {_AFTER} a LEFT JOIN two ON two.o_custkey = a.o_custkey AND had = o_orderkey) WHERE nth = 1""")
+def context_index(spark, sf):
+    """Whom the index refers to: the last written row of each customer."""
+    ctx = _saved(spark, sf)
+    hits = ctx.table("salesByCustomer").select(F.regexp_extract("PartitionKey", "__([0-9]*)$", 1).cast("long").alias("o_custkey"), F.col("RefRowKey").cast("long").alias("o_orderkey"))
+    return hits
+
+
+@query("""SELECT o_orderkey, 1::BIGINT AS save, concat_ws(',', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate') AS changed, false AS deleted FROM orders WHERE o_orderkey % 10 = 0
+ UNION ALL SELECT o_orderkey, 2::BIGINT, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'o_totalprice' END, o_orderkey % 7 = 0 FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 10 = 0
+ UNION ALL SELECT o_orderkey, 3::BIGINT, 'o_custkey', false FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey % 7 <> 0 AND o_custkey <> 1""")
+def context_revisions(spark, sf):
+    """What the saves changed of tracked rows."""
+    rows = _saved(spark, sf).table("salesRevisions")
+    saves = sorted(r["saved"] for r in rows.select("saved").distinct().collect())  # three
+    number = F.array_position(F.array(*[F.lit(s) for s in saves]), F.col("saved"))
+    return rows.select("o_orderkey", number.cast("long").alias("save"), "changed", "deleted")
+
+
+@query("SELECT o_custkey, max(o_totalprice) AS top, count(*) AS n FROM orders WHERE o_custkey = 7 GROUP BY o_custkey")
+def cascade_update(spark, sf):
+    """A customer's update takes the rows of a collection along."""
+    parent = CUSTOMER.with_collection("orders", "orders", {"o_custkey": "c_custkey"})
+    ctx = Context(spark, _scratch(spark), [parent, Entity("orders", ORDERS.schema).with_keys(["o_custkey"], ["o_orderkey"])])
+    ctx.create_tables()
+    customers, orders = root(spark, sf, CUSTOMER).df(), root(spark, sf, ORDERS).df()
+    ctx.add("customer", customers).save()
+    ctx.update("customer", customers.where("c_custkey = 7"), {"orders": orders.where("o_custkey = 7")}).save()
+    return ctx.collection("customer", "orders", {"c_custkey": 7}).groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_acctbal > 0) > 0 AS found, (SELECT count(*) FROM customer WHERE c_custkey < 0) > 0 AS missing")
+def exists_rows(spark, sf):
+    q = root(spark, sf, CUSTOMER)
+    return spark.createDataFrame([(q.exists(m("c_acctbal") > 0.0), q.exists(m("c_custkey") < 0))], "found boolean, missing boolean")
+
+
+@query("SELECT c_custkey, c_name || '/' || c_mktsegment || '/' || c_nationkey::VARCHAR AS title FROM customer")
+def composite_property(spark, sf):
+    """A property composed of the entity and of its bag of further columns."""
+    rows = root(spark, sf, CUSTOMER).df().select("c_custkey", "c_name", F.col("c_mktsegment").alias("title__segment"), F.col("c_nationkey").alias("title__nation"))
+    return props.compose_entity(rows, "title", lambda e, bag: F.concat_ws("/", e["c_name"], bag["segment"], bag["nation"])).select("c_custkey", "title")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+def etag_check(spark, sf):
+    """Rows whose tags are current or any; a stale tag would fail."""
+    rows = root(spark, sf, CUSTOMER).df()
+    sent = rows.where("c_custkey % 3 <> 0").withColumn("ETag", F.when(F.col("c_custkey") % 3 == 1, write.etag(rows)).otherwise(F.lit("*")))
+    return write.check_etags(rows, sent, ["c_custkey"]).select("c_custkey")
+
+
+@query("SELECT user_id, max(ts) AS ts, count(*) FILTER (false) AS late FROM events GROUP BY user_id")
+def streamed_upsert(spark, sf):
+    """A stream of events, the newest of each user first and older ones after, leaves the
+    newest event of each user."""
+    folder = _scratch(spark)
+    rows = root(spark, sf, EVENTS).df()
+    for part, those in enumerate((F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1)):
+        rows.where(those).coalesce(1).write.parquet(f"{folder}/in/{part}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        upsert.run_available(upsert.upsert(stream, f"{folder}/out", ["user_id"], order="ts"), f"{folder}/state")
+    return upsert.latest(spark, f"{folder}/out").select("user_id", "ts", F.lit(0).cast("long").alias("late"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from keytable.functions import geojson
 from keytable.model import PARTITION_KEY, ROW_KEY, Entity
 from keytable.operators import index as index_ops
-from keytable.operators import relation, spatial_index, write
+from keytable.operators import relation, revision, spatial_index, write
 from keytable.plans.query import Query
 
 
@@ -36,25 +37,43 @@ class Context:
         self.frames[name] = df
         return self
 
+    def stored(self, name: str) -> str:
+        """The table of an entity; other names as they are."""
+        return self.entities[name].stored_name if name in self.entities else name
+
     def path(self, name: str) -> str:
         if self.folder is None:
             raise ValueError(f"no folder for table {name}")
-        return f"{self.folder}/{name}.parquet"
+        return f"{self.folder}/{self.stored(name)}.parquet"
 
     def table(self, name: str) -> DataFrame:
         if name in self.frames:
             return self.frames[name]
-        if self.folder is None or self.spark.catalog.tableExists(name):
-            return self.spark.table(name)
+        if self.folder is None or self.spark.catalog.tableExists(self.stored(name)):
+            return self.spark.table(self.stored(name))
+        self._recover(name)
         return self.spark.read.parquet(self.path(name))
 
     def exists(self, name: str) -> bool:
-        if name in self.frames or self.spark.catalog.tableExists(name):
+        if name in self.frames or self.spark.catalog.tableExists(self.stored(name)):
             return True
         if self.folder is None:
             return False
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        self._recover(name)
+        fs, at = self._files(self.path(name))
+        return fs.exists(at)
+
+    def _files(self, path: str):
+        """The Hadoop file system and path of a folder."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _recover(self, name: str) -> None:
+        """Bring back a table that a swap had put aside when it was cut off."""
+        fs, old = self._files(f"{self.path(name)}.old")
+        _, at = self._files(self.path(name))
+        if not fs.exists(at) and fs.exists(old):
+            fs.rename(old, at)
 
     def query(self, entity: str | Entity) -> Query:
         """The query root of an entity."""
@@ -65,7 +84,7 @@ class Context:
     def _schemas(self, entity: Entity) -> dict[str, T.StructType]:
         keys = [T.StructField(n, T.StringType()) for n in (PARTITION_KEY, ROW_KEY)]
         refs = [T.StructField(n, T.StringType()) for n in (index_ops.REF_PARTITION, index_ops.REF_ROW)]
-        out = {entity.name: entity.schema}
+        out = {entity.stored_name: entity.schema}
         for index in entity.indexes:
             out[index_ops.index_table(entity, index)] = T.StructType([*keys, *refs, *(entity.schema.fields if index.covering else [])])
         return {n: s for n, s in out.items() if n not in entity.ignored_tables}
@@ -126,35 +145,78 @@ class Context:
     def apply_pending(self, entity: str) -> DataFrame:
         """The table as it will be after the queued changes."""
         base = self.table(entity)
-        queued = self.pending.get(entity, [])
-        if not queued:
+        if not self.pending.get(entity):
             return base
         model = self.entities[entity]
+        return write.apply_last(base, self._last_changes(model), self.key_members(model))
+
+    def _last_changes(self, model: Entity) -> DataFrame:
+        """The queued changes, one per key."""
+        queued = self.pending[model.name]
         every = queued[0]
         for more in queued[1:]:
             every = every.unionByName(more, allowMissingColumns=True)
-        every = model.drop_defaults(model.assert_partition(every))
-        return write.apply(base, every, self.key_members(model))
+        return write.last_changes(model.drop_defaults(model.assert_partition(every)), self.key_members(model))
 
     def save(self) -> dict[str, list[str]]:
-        """Write all queued changes and the indexes derived from them; queues are emptied
-        even if a write fails. Returns the tables written per entity."""
+        """Write all queued changes, the revisions of tracked entities, and the indexes. An
+        entity's queue is emptied even if its write fails; those of entities that come
+        after a failure stay. Returns the tables written per entity."""
         done: dict[str, list[str]] = {}
-        try:
-            for entity in list(self.pending):
-                model = self.entities[entity]
-                after = self.apply_pending(entity).sortWithinPartitions(*self.key_members(model))
-                self._swap(entity, after)
-                done[entity] = [entity, *self.write_indexes(model)]
-        finally:
-            self.pending.clear()
+        for entity in list(self.pending):
+            try:
+                done[entity] = self._save(self.entities[entity])
+            finally:
+                self.pending.pop(entity, None)
         return done
 
-    def write_indexes(self, entity: Entity) -> list[str]:
-        base = self.table(entity.name)
+    def _save(self, model: Entity) -> list[str]:
+        keys = self.key_members(model)
+        # the changes may have been read from the table that is about to be replaced
+        aside = f"{self.path(model.name)}.changes"
+        self._last_changes(model).write.mode("overwrite").parquet(aside)
+        last = self.spark.read.parquet(aside)
+        base = self.table(model.name)
+        written = [model.name]
+        if model.tracked:
+            self._revisions(model, base, last).write.mode("append").parquet(self.path(self.revision_table(model)))
+            written.append(self.revision_table(model))
+        self._swap(model.name, write.apply_last(base, last, keys).sortWithinPartitions(*keys))
+        written += self.write_indexes(model, last)
+        written += [self.write_spatial_index(model.name, g) for g in model.spatial]
+        fs, at = self._files(aside)
+        fs.delete(at, True)
+        return written
+
+    def revision_table(self, model: Entity) -> str:
+        return f"{model.stored_name}Revisions"
+
+    def _revisions(self, model: Entity, base: DataFrame, last: DataFrame) -> DataFrame:
+        """What the changes change: of each key the columns that differ, ``changed`` names
+        them, ``deleted`` marks rows that go, ``saved`` orders the saves."""
+        keys = self.key_members(model)
+        now = write.apply_last(write.matching(base, last, keys, "left_semi"), last, keys)
+        veto = F.expr(model.track_filter) if model.track_filter else None
+        changed = revision.diff_changes(base, now, keys, veto=veto).withColumn("deleted", F.lit(False))
+        gone = write.matching(base, last.where(F.col(write.OP) == write.DELETE), keys, "left_semi")
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in changed.schema if f.name not in (*keys, "changed", "deleted")]
+        rows = changed.unionByName(gone.select(*keys, *nothing, F.lit("").alias("changed"), F.lit(True).alias("deleted")))
+        return rows.withColumn("saved", F.lit(time.time_ns() // 1000))
+
+    def write_indexes(self, entity: Entity, changes: DataFrame | None = None) -> list[str]:
+        """Derive the indexes of an entity. Rows of ``changes`` were written last, in their
+        order; of the others those that an index refers to came after the rest."""
+        base, keys = self.table(entity.name), self.key_members(entity)
+        order = []
+        if changes is not None and entity.indexes:
+            named = changes.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col(write.SEQ).alias("__written"))
+            base = base.join(named, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys], "left").drop(*[f"__key_{k}" for k in keys])
+            order = [F.coalesce("__written", F.lit(0).cast("long"))]
         tables: dict[str, list[DataFrame]] = {}
         for index in entity.indexes:
-            tables.setdefault(index_ops.index_table(entity, index), []).append(index_ops.derive(entity, index, base))
+            name = index_ops.index_table(entity, index)
+            current = self.table(name) if self.exists(name) else None
+            tables.setdefault(name, []).append(index_ops.derive(entity, index, base, order=order, current=current))
         for name, frames in tables.items():
             rows = frames[0]
             for more in frames[1:]:
@@ -168,26 +230,32 @@ class Context:
         return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def write_spatial_index(self, entity: str, geometry: str) -> str:
-        """The covering quad-tree index of a GeoJSON column, as table <entity>SpatialIndex."""
-        name = f"{entity}SpatialIndex"
+        """The covering quad-tree index of a GeoJSON column, as table <table>SpatialIndex."""
+        name = f"{self.stored(entity)}SpatialIndex"
         rows = spatial_index.derive(self.table(entity), geojson.extent_column(F.col(geometry)))
         self._swap(name, self._laid_out(rows, [spatial_index.TILE_COLUMN]))
         return name
 
     def spatial_search(self, entity: str, query: str, geometry: str) -> DataFrame:
         """Rows whose geometry intersects the query geometry, by the stored index."""
-        return spatial_index.search(self.table(f"{entity}SpatialIndex"), self.key_members(self.entities[entity]), query, geometry)
+        return spatial_index.search(self.table(f"{self.stored(entity)}SpatialIndex"), self.key_members(self.entities[entity]), query, geometry)
 
     def _swap(self, name: str, df: DataFrame) -> None:
-        """Write beside the old table, then put it in its place."""
+        """Write beside the old table, put that aside, and the new one in its place. A run that
+        is cut off between leaves the old one aside, from where ``_recover`` takes it."""
         fresh = f"{self.path(name)}.next"
         df.write.mode("overwrite").parquet(fresh)
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        old, new = jvm.Path(self.path(name)), jvm.Path(fresh)
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(old):
-            fs.delete(old, True)
-        fs.rename(new, old)
+        fs, at = self._files(self.path(name))
+        _, new = self._files(fresh)
+        _, aside = self._files(f"{self.path(name)}.old")
+        if fs.exists(at):
+            fs.delete(aside, True)
+            if not fs.rename(at, aside):
+                raise OSError(f"table {name} can't be put aside")
+        if not fs.rename(new, at):
+            fs.rename(aside, at)
+            raise OSError(f"table {name} can't be replaced")
+        fs.delete(aside, True)
         self.frames.pop(name, None)
         self.spark.catalog.refreshByPath(self.path(name))
 

@@ -34,7 +34,8 @@ def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataF
 
 def upsert(stream: DataFrame, folder: str, keys: Sequence[str], *, order: str, mode: str = write.MERGE, history: str | None = None) -> DataStreamWriter:
     """Apply a stream of rows to the table in ``folder``; the last row per key by ``order``
-    counts. ``history`` is a folder for revision rows."""
+    counts, also where an older one comes in a later batch. ``history`` is a folder for
+    revision rows."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -43,6 +44,10 @@ def upsert(stream: DataFrame, folder: str, keys: Sequence[str], *, order: str, m
         plain = rows.drop(write.OP, write.SEQ)
         if base is None:
             base = plain.limit(0)
+        else:  # rows older than what the table has come too late
+            had = base.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col(order).alias("__had"))
+            rows = rows.join(had, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys], "left").where(F.col("__had").isNull() | (F.col(order) >= F.col("__had"))).select(*rows.columns)
+            plain = rows.drop(write.OP, write.SEQ)
         if history is not None:
             revision.diff_changes(base, plain, keys, ignore=[order]).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(_version(history, number))
         write.apply(base, rows, keys).write.mode("overwrite").parquet(_version(folder, number))
