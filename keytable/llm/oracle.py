@@ -118,16 +118,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN base USING (r) LEFT JOIN own USING (r)"""
 
 
-def secrets(base: tuple, token: str, alphabets: list[tuple[str, str]], rest: str, kinds: tuple, rate: float, bins: int, per_octave: int) -> str:
+def secrets(base: tuple, token: str, alphabets: list[tuple[str, str]], rest: str, kinds: tuple, rate: float, missed: float, decoys: int, least_token: int, bins: int, per_octave: int) -> str:
     """Base spans by splitting at the patterns; the battery and the procedure on the rest."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
-    def matches(kind: str, pattern: str, group: int, least: int) -> str:
+    def matches(kind: str, pattern: str, group: int, least: int, source: str = "d") -> str:
         p = quoted(pattern)
-        return f"""SELECT r, '{kind}' AS kind, (e - length(x))::BIGINT AS a, e::BIGINT AS b, v FROM (
- SELECT r, x, v, sum(length(y) + length(x)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM (
+        return f"""SELECT r, i, '{kind}' AS kind, (e - length(x))::BIGINT AS a, e::BIGINT AS b, v FROM (
+ SELECT r, i, x, v, sum(length(y) + length(x)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM (
   SELECT r, i, ys[i] AS y, xs[i] AS x, vs[i] AS v FROM (SELECT r, ys, xs, vs, unnest(range(1, len(xs) + 1)) AS i FROM (
-   SELECT r, string_split_regex(t, {p}) AS ys, regexp_extract_all(t, {p}) AS xs, regexp_extract_all(t, {p}, {group}) AS vs FROM d WHERE regexp_matches(t, {p}))))) WHERE length(v) >= {least}"""
+   SELECT r, string_split_regex(t, {p}) AS ys, regexp_extract_all(t, {p}) AS xs, regexp_extract_all(t, {p}, {group}) AS vs FROM {source} WHERE regexp_matches(t, {p}))))) WHERE length(v) >= {least}"""
 
     alphabet = "CASE " + " ".join(f"WHEN regexp_matches(plain, {quoted(p)}) THEN {quoted(a)}" for p, a in alphabets) + f" ELSE {quoted(rest)} END"
     tail = lambda z: (
@@ -139,20 +139,24 @@ def secrets(base: tuple, token: str, alphabets: list[tuple[str, str]], rest: str
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(matches(*one) for one in base)}),
-found AS ({matches("random", token, 0, 20)}),
-tokens AS (SELECT * FROM found f WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = f.r AND base.a < f.b AND base.b > f.a)),
-t1 AS (SELECT *, regexp_replace(v, '=+$', '') AS plain FROM tokens),
+cov AS (SELECT r, list_distinct(flatten(list(range(a + 1, b + 1)))) AS cov FROM base GROUP BY r),
+rest AS (SELECT r, t FROM d WHERE r NOT IN (SELECT r FROM cov) UNION ALL SELECT r, array_to_string([CASE WHEN list_contains(cov, i) THEN ' ' ELSE chars[i] END FOR i IN range(1, len(chars) + 1)], '') FROM (SELECT r, cov, string_split(t, '') AS chars FROM d JOIN cov USING (r))),
+found AS ({matches("random", token, 0, least_token, "rest")}),
+ordinary AS (SELECT r, regexp_replace(regexp_replace(t, {quoted(token)}, ' ', 'g'), '[^A-Za-z0-9]+', '', 'g') AS plain FROM rest WHERE r IN (SELECT r FROM found)),
+decoys AS (SELECT substr(plain, 1 + ((('0x' || substr(md5(v || ':' || (i - 1) || ':' || k), 1, 8))::BIGINT) % (length(plain) - length(v) + 1)), length(v)) AS v FROM found JOIN ordinary USING (r), (SELECT unnest(range(0, {decoys})) AS k) WHERE length(plain) >= length(v)),
+t1 AS (SELECT r, kind, a, b, regexp_replace(v, '=+$', '') AS plain FROM found UNION ALL SELECT NULL, 'decoy', NULL, NULL, v FROM decoys),
 t2 AS (SELECT *, {alphabet} AS alphabet FROM t1),
-t3 AS (SELECT *, length(plain)::DOUBLE AS n, length(alphabet)::DOUBLE AS k, [(instr(alphabet, c) - 1)::DOUBLE FOR c IN string_split(plain, '')] AS codes FROM t2),
+t3 AS (SELECT *, length(plain)::DOUBLE AS n, length(alphabet)::DOUBLE AS k, [(instr(alphabet, c) - 1)::DOUBLE FOR c IN string_split(plain, '')] AS codes FROM t2 WHERE length(plain) >= {least_token}),
 t4 AS (SELECT *, list_sum([x::DOUBLE * x FOR x IN map_values(list_histogram(codes))]) AS squares, [CASE WHEN c >= k / 2 THEN 1 ELSE 0 END FOR c IN codes] AS high, list_sum(codes) / n AS mean FROM t3),
 t5 AS (SELECT *, k / n * squares - n AS chi2, list_sum(high)::DOUBLE AS n1, 1.0 + len([i FOR i IN range(2, len(high) + 1) IF high[i] <> high[i - 1]]) AS runs, list_sum([(c - mean) * (c - mean) FOR c IN codes]) AS var, list_sum([(codes[i] - mean) * (codes[i - 1] - mean) FOR i IN range(2, len(codes) + 1)]) AS cov FROM t4),
 t6 AS (SELECT *, 2 * n1 * (n - n1) AS pairs, abs((pow(greatest(chi2, 0.0) / (k - 1), 1.0 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))) AS z1, abs(CASE WHEN var > 0 THEN cov / var * sqrt(n) ELSE sqrt(n) END) AS z3 FROM t5),
 t7 AS (SELECT *, abs(CASE WHEN pairs * (pairs - n) / (n * n * (n - 1)) > 0 THEN (runs - 1 - pairs / n) / sqrt(pairs * (pairs - n) / (n * n * (n - 1))) ELSE sqrt(n) END) AS z2 FROM t6),
 t8 AS (SELECT *, -(ln({tail("least(z1, 37.0)")}) + ln({tail("least(z2, 37.0)")}) + ln({tail("least(z3, 37.0)")})) AS h FROM t7),
 t9 AS (SELECT r, kind, a, b, floor(2 * log2(n))::INTEGER AS class, least({bins}, floor(-log2(least(1.0, greatest(1e-300, exp(-h) * (1 + h + h * h / 2)))) * {per_octave}))::INTEGER AS bin FROM t8),
-counts AS (SELECT class, bin, count(*) AS c FROM t9 GROUP BY class, bin),
-limits AS (SELECT class, min(CASE WHEN pow(2.0, -bin / {per_octave}::DOUBLE) <= {rate} * below / total THEN bin END) AS lim FROM (SELECT class, bin, sum(c) OVER (PARTITION BY class) AS total, sum(c) OVER (PARTITION BY class ORDER BY bin DESC) AS below FROM counts) GROUP BY class),
-noise AS (SELECT r, kind, a, b FROM t9 JOIN limits USING (class) WHERE lim IS NULL OR bin < lim),
+counts AS (SELECT class, bin, count(*) FILTER (kind <> 'decoy') AS c, count(*) FILTER (kind = 'decoy') AS d FROM t9 GROUP BY class, bin),
+sums AS (SELECT *, sum(c) OVER w AS total, sum(d) OVER w AS decoy_total, sum(c) OVER (PARTITION BY class ORDER BY bin DESC) AS lower, sum(c) OVER (PARTITION BY class ORDER BY bin) AS upper, sum(d) OVER (PARTITION BY class ORDER BY bin) AS decoys_upper FROM counts WINDOW w AS (PARTITION BY class)),
+limits AS (SELECT class, min(CASE WHEN c > 0 AND pow(2.0, -bin / {per_octave}::DOUBLE) <= {missed} * lower / total THEN bin END) AS lim, max(CASE WHEN (CASE WHEN decoy_total > 0 THEN (decoys_upper + 1) * total / decoy_total::DOUBLE ELSE 0 END) <= {rate} * upper THEN bin END) AS upto FROM sums GROUP BY class),
+noise AS (SELECT r, kind, a, b FROM t9 JOIN limits USING (class) WHERE kind <> 'decoy' AND (lim IS NULL OR bin < lim) AND bin <= upto),
 spans AS (SELECT r, kind, a, b FROM base UNION ALL SELECT * FROM noise),
 per AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {listed} FILTER (kind <> 'random') AS listed_base, {listed} AS spans FROM spans GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(listed_base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"""

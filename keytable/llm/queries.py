@@ -99,7 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": oracle.OP2,
-        "op4_secrets": oracle.secrets(secrets.BASE, secrets.TOKEN, secrets.ALPHABETS, secrets.OTHER, secrets.KINDS, secrets.RATE, secrets.BINS, secrets.PER_OCTAVE),
+        "op4_secrets": oracle.secrets(secrets.BASE, secrets.TOKEN, secrets.ALPHABETS, secrets.OTHER, secrets.KINDS, secrets.RATE, secrets.MISSED, secrets.DECOYS, secrets.LEAST, secrets.BINS, secrets.PER_OCTAVE),
         "op5_decontaminate": oracle.OP5,
         "op7_ngram_join": oracle.OP7,
         "op8_mixing": oracle.mixing(mixing.BLOCK_WORDS, mixing.SHARD_SLOTS, "mix", mixing.ROUNDS, mixing.MOST),

@@ -260,6 +260,40 @@ def test_random_tokens_are_told_from_words(spark):
     assert len(found & set(range(60))) >= 50 and not found & set(range(60, len(rows)))
 
 
+def test_false_reports_are_controlled(spark):
+    """Keys of letters only, short mixed keys, and what a base span leaves of a key are
+    found among long ordinary words, of which few are reported."""
+    rng = np.random.default_rng(6)
+    parts = [a + b for a in ("th", "er", "on", "st", "an", "re", "in", "ti", "es", "ou") for b in ("e", "a", "o", "en", "al", "ing", "ed")]
+    word = lambda n: "".join(rng.choice(parts, n))
+    prose = lambda: " ".join(word(int(rng.integers(1, 4))) for _ in range(60))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    kinds = [(lower, 40), (upper + lower, 40), (upper + lower + "0123456789", 18), (upper + "234567", 32)]
+    rows, keys = [], set()
+    for i in range(400):
+        if i % 4 == 0:
+            letters, n = kinds[i // 4 % 4]
+            rows.append((i, f"{prose()} {''.join(rng.choice(list(letters), n))} {prose()}"))
+            keys.add(i)
+        else:
+            rows.append((i, f"{prose()} {word(9)} {prose()} {word(12)}"))
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").collect()
+    hit = {r["doc_id"] for r in found if r["kind"] == "random"}
+    for k in range(4):
+        mine = {i for i in keys if i // 4 % 4 == k}
+        assert len(hit & mine) >= (0.5 if k == 2 else 0.75) * len(mine), k
+    assert len(hit - keys) <= 0.1 * len(hit)
+
+
+def test_what_a_base_span_leaves_of_a_token_is_tested(spark):
+    rng = np.random.default_rng(6)
+    part = lambda: "".join(rng.choice(list("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz"), 30))
+    df = spark.createDataFrame([(1, f"x {part()}0123456789abcdef{part()} y")], "doc_id long, text string")
+    spans = secrets.find(df, missed=0.0).first()["spans"]  # nothing is dropped
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("random", 2, 32), ("hex", 32, 48), ("random", 48, 78)]
+    assert secrets.redact(df, missed=0.0).first()["text"] == "x [SECRET] y"
+
+
 def test_redaction(spark):
     rows = [(1, "x token = abcdefabcdefabcdef01 y", 3), (2, "clean", 5)]
     out = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
