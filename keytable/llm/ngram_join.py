@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytable.llm.components import merge_labels
-from keytable.llm.storage import materialize, small, small_batches, text_column
+from keytable.llm.storage import join_hot, materialize, small, small_batches, text_column
 from keytable.llm.words import BLANK, encode, mix, word_hashes
 
 SLACK = 0.35  # blocks beyond the D + 1 that the pigeonhole needs
@@ -373,21 +373,21 @@ def grouped(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     table = materialize(sets_table(docs, size), "classes")
     filled = table.where(F.col("sig").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
-    classes = materialize(filled.groupBy("sig").agg(first, F.min("n").alias("n"), F.min("sketch").alias("sketch")).select("sig", "first.doc_id", "first.hash", "n", "sketch"), "classes")
+    classes = materialize(filled.groupBy("sig").agg(first, F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("rows")).select("sig", "first.doc_id", "first.hash", "n", "sketch", "rows"), "classes")
     groups = materialize(_thinned(materialize(shared_blocks(docs, size, percent), "shared")), "groups")
 
     nodes = groups.select(F.col("sig").alias("node")).union(groups.select(F.col("leader").alias("node"))).distinct()
     alone = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     clusters = merge_labels(alone, groups.select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct())
-    members = materialize(clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")).join(classes, "sig"), "members")
+    members = materialize(clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")).join(classes.drop("rows"), "sig"), "members")
     sets = _sets_of(docs, members.select("doc_id", "hash"), size)
     keyed = materialize(groups.select("key", "sig").union(groups.select("key", F.col("leader").alias("sig"))).distinct(), "keyed")
     home = keyed.groupBy("sig").agg(F.min("key").alias("home"))
     members = materialize(members.join(sets, "sig").join(home, "sig").select("cluster", "home", "sig", "n", "sketch", "packed"), "members")
     labels = _components(members, keyed, alone, percent)
 
-    by_class = classes.select("sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("label", "sig").alias("label"))
-    rows = filled.join(by_class, "sig").select("doc_id", "hash", "n", "label")
+    by_class = materialize(classes.select("sig", "rows").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rows", F.coalesce("label", "sig").alias("label")), "labelled")
+    rows = join_hot(filled.select("sig", "doc_id", "hash", "n"), by_class, "sig", "rows").select("doc_id", "hash", "n", "label")
     return rows.unionByName(table.where(F.col("sig").isNull()).select("doc_id", "hash", "n", F.lit(None).cast("long").alias("label")))
 
 
@@ -396,8 +396,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     similarity of ``percent`` or more are linked; component_id is the smallest doc_id
     reachable by links. Rows without an id have none."""
     rows = materialize(grouped(docs, size=size, percent=percent), "grouped")
-    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = rows.where("label is not null").join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    smallest = materialize(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "smallest")
+    linked = join_hot(rows.where("label is not null").drop("hash"), smallest, "label", "rows").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return linked.unionByName(rows.where("label is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -406,8 +406,8 @@ def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFra
     its rows that of the smallest hash. Rows with empty sets stay."""
     rows = materialize(grouped(docs, size=size, percent=percent), "grouped").where("label is not null")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    first = rows.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
-    several = rows.join(first, "label")
+    first = materialize(rows.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "first")
+    several = join_hot(rows.drop("n"), first, "label", "rows")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
     gone = materialize(several.where(~is_first).select("doc_id", "hash").distinct(), "gone")
     twice = materialize(several.where(is_first).groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "hash"), "twice")

@@ -73,6 +73,21 @@ def small(df: DataFrame, *, row_bytes: int) -> bool:
     return df.count() * row_bytes <= BROADCAST_BYTES
 
 
+#: A key that stands for more than this share of all rows is joined apart.
+HOT_SHARE = 1 / 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per key and in column ``weight`` how
+    many rows have it. Keys of more than ``HOT_SHARE`` of the rows (so fewer than
+    1 / HOT_SHARE keys) are broadcast, the others shuffled: no task gets a hot key."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) > F.lit(total * HOT_SHARE)).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= F.lit(total * HOT_SHARE)).drop(weight), key)
+    joined = rows.join(F.broadcast(hot), key)
+    return joined.unionByName(rest.select(*joined.columns))
+
+
 def text_column(df: DataFrame, name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
