@@ -33,9 +33,10 @@ from keytable.llm.storage import small_batches, text_column
 
 DENSE, LANES = 8, 256  # a standard error of sqrt(2 / LANES) of the unlike share, 0.09 at most
 UNIT = 16  # Cauchy numbers are rounded to this part of one
+GROUP_CHARS = 1 << 20  # of texts that are fingerprinted together
 STEPS = 30  # halvings of the error of a scale
 _CAUCHY = np.rint(UNIT * np.tan(np.pi * ((np.arange(1 << 16) + 0.5) / (1 << 16) - 0.5))).astype(np.int32)
-PIECE, LONGEST = 16, 64  # bytes of a piece on average and at most
+PIECE, LONGEST = 24, 64  # bytes of a piece on average and at most
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -85,15 +86,22 @@ def vectors(groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     units, counts = pieces(flat)
     per_group = np.add.reduceat(counts, (np.cumsum(lengths) - lengths)[full])
     owner = np.repeat(np.arange(len(full)), per_group)
-    sums = np.zeros((len(full), LANES), np.int64)
-    step = 1 << 12
+    sums = np.zeros((len(full), LANES), np.uint32)  # wraps, as the lanes do
+    # a text and its edited form have most pieces in common, so each is hashed once
+    known = {u: i for i, u in enumerate(dict.fromkeys(units))}
+    numbers = np.empty((len(known), LANES), np.uint32)
+    each, step = list(known), 1 << 12
+    for a in range(0, len(each), step):
+        raw = b"".join([hashlib.shake_128(u).digest(2 * LANES) for u in each[a : a + step]])
+        numbers[a : a + step] = _CAUCHY.view(np.uint32)[np.frombuffer(raw, "<u2")].reshape(-1, LANES)
+    which = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
     for a in range(0, len(units), step):
-        raw = b"".join([hashlib.shake_128(u).digest(2 * LANES) for u in units[a : a + step]])
-        numbers = _CAUCHY[np.frombuffer(raw, "<u2")].reshape(-1, LANES)
         own = owner[a : a + step]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        sums[own[starts]] += np.add.reduceat(numbers, starts, axis=0, dtype=np.int64)
-    lanes[full, :LANES] = sums & 0xFFFFFFFF
+        rows = numbers[which[a : a + step]]
+        for o, b, e in zip(own[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True):
+            sums[o] += np.add.reduce(rows[b:e], axis=0)
+    lanes[full, :LANES] = sums
     lanes[full, LANES] = per_group
     return dense, lanes
 
@@ -203,8 +211,9 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
     def answer(ids: list, texts: list[str], after: list[str]) -> pa.RecordBatch:
         edited = [edit(t, x) for t, x in zip(texts, after, strict=True)]
-        own, lanes = fingerprints([*texts, after[-1]])
-        changed, other = fingerprints(edited)
+        n = len(texts)
+        both, all_lanes = fingerprints([*texts, after[-1], *edited])
+        own, lanes, changed, other = both[: n + 1], all_lanes[: n + 1], both[n + 1 :], all_lanes[n + 1 :]
         nexts = np.concatenate((lanes[1:-1], lanes[-1:]))
         columns = [
             pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
@@ -219,7 +228,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             for lead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("lead", "doc_id", "text")), strict=True):
-                if texts and (lead or size > 2 << 20):
+                if texts and (lead or size > GROUP_CHARS):
                     yield answer(ids, texts, [*texts[1:], text])
                     ids, texts, size = [], [], 0
                 if not lead:
