@@ -153,14 +153,18 @@ def mixed_blocks(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots
     doc_ids are the documents (those with an id) that they come from, in their order."""
     sized = materialize(sized_documents(docs), "sized")
     sources = materialize(sources_table(sized, block_words), "sources")
-    # equal rows are told apart by their running number
+    # equal rows have their places together, and one of them takes all
     key = ["doc_id", "source", "hash"]
-    places = lay_out(sized, sources).where("size > 0").select(*key, "s", "offset", F.row_number().over(W.partitionBy(*key).orderBy("offset")).alias("copy"))
+    places = lay_out(sized, sources).where("size > 0").groupBy(*key).agg(F.collect_list(F.struct("s", "offset")).alias("places"))
+    places = materialize(places.select(*[F.col(c).alias(f"__{c}") for c in key], "places"), "places")
     text = text_column(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    texts = texts.withColumn("copy", F.row_number().over(W.partitionBy(*key).orderBy("hash")))
-    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*key, "copy")]
-    rows = texts.alias("t").join(places.alias("p"), on).select("p.s", "p.offset", "t.doc_id", F.regexp_extract_all("t.text", F.lit(WORD), F.lit(0)).alias("words"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    placed = texts.join(F.broadcast(places) if small(places, row_bytes=128) else places, on)
+    once = placed.where(F.size("places") == 1)
+    if places.where(F.size("places") > 1).limit(1).count():
+        once = once.unionByName(placed.where(F.size("places") > 1).dropDuplicates(key))
+    rows = once.select(F.explode("places").alias("p"), "doc_id", "text").select("p.s", "p.offset", "doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     rows = rows.select("s", "offset", "doc_id", F.explode(F.expr(f"transform(sequence(offset div {block_words}, (offset + size(words) - 1) div {block_words}), b -> struct(b as block, array_join(slice(words, cast(greatest(b * {block_words} - offset, 0) + 1 as int), cast(least((b + 1) * {block_words} - offset, size(words)) - greatest(b * {block_words} - offset, 0) as int)), ' ') as piece, least((b + 1) * {block_words} - offset, size(words)) - greatest(b * {block_words} - offset, 0) as n))")).alias("b")).select("s", "offset", "doc_id", "b.*")
     # a block holds at most ``block_words`` pieces
     blocks = rows.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece"))).alias("p"), F.sum("n").cast("long").alias("n_words"))
