@@ -71,10 +71,11 @@ def _without(islands: str, text: str, filler: str) -> str:
 
 def _decoys(hits: DataFrame) -> DataFrame:
     """(value, decoy): per token and number one piece of the ordinary text of its row."""
-    plain = F.regexp_replace(F.regexp_replace("text", TOKEN, " "), "[^A-Za-z0-9]+", "")
+    # as bytes, of which a piece is cut out without going through those before
+    plain = F.encode(F.regexp_replace(F.regexp_replace("text", TOKEN, " "), "[^A-Za-z0-9]+", ""), "utf-8")
     rows = hits.where(F.col("text").rlike(TOKEN)).select(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"), plain.alias("plain"))
-    at = "cast(pmod(conv(substr(md5(concat(v, ':', i, ':', k)), 1, 8), 16, 10)::bigint, length(plain) - length(v) + 1) as int)"
-    pieces = F.expr(f"flatten(transform(tokens, (v, i) -> if(length(plain) < length(v), array(), transform(sequence(0, {DECOYS - 1}), k -> substring(plain, {at} + 1, length(v))))))")
+    at = "cast(pmod(conv(substr(md5(concat(v, ':', i, ':', k)), 1, 8), 16, 10)::bigint, octet_length(plain) - length(v) + 1) as int)"
+    pieces = F.expr(f"flatten(transform(tokens, (v, i) -> if(octet_length(plain) < length(v), array(), transform(sequence(0, {DECOYS - 1}), k -> cast(substring(plain, {at} + 1, length(v)) as string)))))")
     return rows.select(F.explode(pieces).alias("value"))
 
 
