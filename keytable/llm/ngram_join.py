@@ -429,15 +429,16 @@ def _parted(rows: DataFrame, groups: list[str], parts: str) -> DataFrame:
     return split.withColumn("part", F.xxhash64("__p", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("__more")))).drop("__p", "__more")
 
 
-def _parts() -> F.Column:
-    """How many parts the rows of a group need."""
-    return F.greatest(F.lit(1), F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum(F.length("packed") + SKETCH_BITS // 8) / PART_BYTES))
+def _parts(those: F.Column | None = None) -> F.Column:
+    """How many parts the rows of a group (or those of them) need."""
+    each = F.lit(True) if those is None else those
+    return F.greatest(F.lit(1), F.ceil(F.count_if(each) / PART_ROWS), F.ceil(F.sum(F.when(each, F.length("packed") + SKETCH_BITS // 8)) / PART_BYTES))
 
 
 def _components(members: DataFrame, keyed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all classes in clusters: components of the links between them."""
-    sizes = members.groupBy("cluster").agg(_parts().alias("parts"))
-    sized = materialize(_parted(members.join(sizes, "cluster"), ["cluster"], "parts"), "sized")
+    sizes = materialize(members.groupBy("cluster").agg(_parts().alias("parts"), F.count("*").alias("rows")), "sizes")
+    sized = materialize(_parted(join_hot(members, sizes, "cluster", "rows"), ["cluster"], "parts"), "sized")
 
     def current(rows: DataFrame) -> DataFrame:
         return rows.join(labels.withColumnRenamed("node", "sig"), "sig")
@@ -450,12 +451,13 @@ def _components(members: DataFrame, keyed: DataFrame, labels: DataFrame, percent
 
     # large clusters: what is outside their largest component, against all of it and itself
     rows = materialize(current(sized.where("parts > 1").drop("part")), "large")
-    largest = rows.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-    rows = rows.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest"))
+    largest = rows.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.sum("c").alias("rows"))
+    rows = materialize(join_hot(rows, materialize(largest, "largest"), "cluster", "rows").withColumn("outside", F.col("label") != F.col("largest")), "large")
     if not rows.where("outside").limit(1).count():
         return labels
-    pools = rows.groupBy("cluster", "outside").agg(_parts().alias("pool"))
-    rows = _parted(rows.join(pools, ["cluster", "outside"]), ["cluster", "outside"], "pool").withColumn("part", F.xxhash64("cluster", "outside", "part"))
+    pools = rows.groupBy("cluster").agg(_parts(F.col("outside")).alias("out"), _parts(~F.col("outside")).alias("in"), F.count("*").alias("rows"))
+    rows = join_hot(rows, materialize(pools, "pools"), "cluster", "rows").withColumn("pool", F.when(F.col("outside"), F.col("out")).otherwise(F.col("in")))
+    rows = _parted(rows, ["cluster", "outside"], "pool").withColumn("part", F.xxhash64("cluster", "outside", "part"))
     rows = materialize(rows.select("outside", "part", "sig", "n", "sketch", "packed", "label"), "parts")
     # pairs of parts that have a block in common which stands in several components
     held = materialize(keyed.join(rows.select("sig", "part", "outside", "label"), "sig").groupBy("key", "part", "outside").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "held")

@@ -180,7 +180,7 @@ def fit(texts: list[bytes], labels: list[int], *, epochs: int = 24, batch: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_bytes: int = 16 << 20, label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_bytes: int = 8 << 20, label: str = "quality") -> Model:
     """Fit on whole texts of labelled documents that are not held out, bounded as told
     above. Labels that are null are no labels; a document with contradicting labels
     counts as its smallest one."""

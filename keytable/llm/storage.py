@@ -79,8 +79,10 @@ HOT_SHARE = 1 / 10_000
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """``rows`` joined to ``table``, which has one row per key and in column ``weight`` how
-    many rows have it. Keys of more than ``HOT_SHARE`` of the rows (so fewer than
+    many rows have it. A small table is broadcast. Of a larger one, keys of more than ``HOT_SHARE`` of the rows (so fewer than
     1 / HOT_SHARE keys) are broadcast, the others shuffled: no task gets a hot key."""
+    if small(table, row_bytes=512):
+        return rows.join(F.broadcast(table.drop(weight)), key)
     total = table.agg(F.sum(weight)).first()[0] or 0
     hot = table.where(F.col(weight) > F.lit(total * HOT_SHARE)).drop(weight)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= F.lit(total * HOT_SHARE)).drop(weight), key)
