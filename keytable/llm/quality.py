@@ -128,18 +128,19 @@ def fit(texts: list[bytes], labels: list[int], *, epochs: int = 24, batch: int =
     """Adam on the log loss of chunks, documents and classes weighted evenly. Deterministic."""
     rng = np.random.default_rng(seed)
     size = CELL * CELLS
-    xs, ys, parts = [], [], []
-    for t, y in zip(texts, labels, strict=True):
-        n = max(1, -(-len(t) // size))
-        xs += [t[k * size : (k + 1) * size].ljust(size, b"\0") for k in range(n)]
-        ys += [y] * n
-        parts += [1 / n] * n
+    chunks = [max(1, -(-len(t) // size)) for t in texts]
+    ys = [y for y, n in zip(labels, chunks, strict=True) for _ in range(n)]
+    parts = [1 / n for n in chunks for _ in range(n)]
     model = Model(rng.normal(0, 0.1, (WIDTH, 256, N_FILTERS)).astype(np.float32), rng.normal(0, 0.3, N_FILTERS + 1).astype(np.float32), 0.0)
-    if not xs or len(set(ys)) < 2:  # nothing to learn from: one constant score
+    if len(set(ys)) < 2:  # nothing to learn from: one constant score
         model.head[:] = 0
         model.bias = 0.0 if not ys else (4.0 if ys[0] else -4.0)
         return model
-    x = np.frombuffer(b"".join(xs), np.uint8).reshape(-1, size)
+    x = np.zeros((len(ys), size), np.uint8)
+    at = 0
+    for t, n in zip(texts, chunks, strict=True):
+        x[at : at + n].reshape(-1)[: len(t)] = np.frombuffer(t, np.uint8)
+        at += n
     y = np.array(ys, np.float32)
     share = np.array(parts, np.float32)
     for c in (0, 1):  # both classes weigh half of all chunks
@@ -180,7 +181,7 @@ def fit(texts: list[bytes], labels: list[int], *, epochs: int = 24, batch: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_bytes: int = 8 << 20, label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_bytes: int = 16 << 20, label: str = "quality") -> Model:
     """Fit on whole texts of labelled documents that are not held out, bounded as told
     above. Labels that are null are no labels; a document with contradicting labels
     counts as its smallest one."""
@@ -196,9 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_byte
         if r["n"] <= left:
             left -= r["n"]
             ids.append(r["doc_id"])
-    rows = texts.where(F.col("doc_id").isin(ids)).collect() if ids else []
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([encode(r["__text"]) for r in rows], [r["__label"] for r in rows])
+    rows = sorted((r["doc_id"], encode(r["__text"]), r["__label"]) for r in texts.where(F.col("doc_id").isin(ids)).collect()) if ids else []
+    return fit([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
 def score(docs: DataFrame, model: Model, *, name: str = "score") -> DataFrame:
