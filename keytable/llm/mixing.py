@@ -20,11 +20,13 @@ rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import materialize, small, text_column
+from keytable.llm.storage import materialize, observed, small, text_column
 
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 MOST = 3  # no more than so many times a source's or a document's size
@@ -119,22 +121,22 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_column(docs)).alias("hash"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def lay_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every document with its source's number and its offset in the source's stream."""
-    few = small(sources, row_bytes=1024)
+def lay_out(sized: DataFrame, n: int, sources: DataFrame, n_sources: int) -> DataFrame:
+    """Each of ``n`` documents with its source's number and its offset in the source's stream."""
+    few = small(sources, row_bytes=1024, rows=n_sources)
     numbered = sources.select(F.col("source").alias("__source"), "s", "source_size", "target")
     rows = sized.join(F.broadcast(numbered) if few else numbered, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     # as many buckets as rows in one: neither level of the running totals is long
-    buckets = sized.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")))).alias("n")).first()["n"]
-    rows = rows.withColumn("bucket", hash32(F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  % F.lit(int(buckets)))
+    buckets = max(1, math.ceil(math.sqrt(n)))
+    rows = rows.withColumn("bucket", hash32(F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  % F.lit(buckets))
     return running_total(rows, "s", "bucket", ["doc_id", "size", "hash"], "size", "offset")
 
 
 def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
-    sized = materialize(sized_documents(docs), "sized")
-    sources = materialize(sources_table(sized, block_words), "sources")
-    placed = lay_out(sized, sources)
+    sized, seen = observed(sized_documents(docs), "sized", rows=F.count("*"))
+    sources, seen_sources = observed(sources_table(sized, block_words), "sources", rows=F.count("*"))
+    placed = lay_out(sized, seen["rows"], sources, seen_sources["rows"])
     used = draw_slots(sources, shard_slots=shard_slots, seed=seed).groupBy("s", "block").agg(F.count("*").alias("times"))
     first, last = F.expr(f"offset div {block_words}"), F.expr(f"(offset + size - 1) div {block_words}")
     parts = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
@@ -151,18 +153,18 @@ def mixed_blocks(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots
     """The mix itself, a row per slot: (shard, source, slot, block, doc_ids, n_words, text).
     slot counts a source's slots; the text is the words of its block, parted by blanks, and
     doc_ids are the documents (those with an id) that they come from, in their order."""
-    sized = materialize(sized_documents(docs), "sized")
-    sources = materialize(sources_table(sized, block_words), "sources")
+    sized, seen = observed(sized_documents(docs), "sized", rows=F.count("*"))
+    sources, seen_sources = observed(sources_table(sized, block_words), "sources", rows=F.count("*"))
     # equal rows have their places together, and one of them takes all
     key = ["doc_id", "source", "hash"]
-    places = lay_out(sized, sources).where("size > 0").groupBy(*key).agg(F.collect_list(F.struct("s", "offset")).alias("places"))
-    places = materialize(places.select(*[F.col(c).alias(f"__{c}") for c in key], "places"), "places")
+    places = lay_out(sized, seen["rows"], sources, seen_sources["rows"]).where("size > 0").groupBy(*key).agg(F.collect_list(F.struct("s", "offset")).alias("places"))
+    places, seen = observed(places.select(*[F.col(c).alias(f"__{c}") for c in key], "places"), "places", rows=F.count("*"), several=F.count_if(F.size("places") > 1))
     text = text_column(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("hash"), text.alias("text"))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
-    placed = texts.join(F.broadcast(places) if small(places, row_bytes=128) else places, on)
+    placed = texts.join(F.broadcast(places) if small(places, row_bytes=128, rows=seen["rows"]) else places, on)
     once = placed.where(F.size("places") == 1)
-    if places.where(F.size("places") > 1).limit(1).count():
+    if seen["several"]:
         once = once.unionByName(placed.where(F.size("places") > 1).dropDuplicates(key))
     rows = once.select(F.explode("places").alias("p"), "doc_id", "text").select("p.s", "p.offset", "doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     rows = rows.select("s", "offset", "doc_id", F.explode(F.expr(f"transform(sequence(offset div {block_words}, (offset + size(words) - 1) div {block_words}), b -> struct(b as block, array_join(slice(words, cast(greatest(b * {block_words} - offset, 0) + 1 as int), cast(least((b + 1) * {block_words} - offset, size(words)) - greatest(b * {block_words} - offset, 0) as int)), ' ') as piece, least((b + 1) * {block_words} - offset, size(words)) - greatest(b * {block_words} - offset, 0) as n))")).alias("b")).select("s", "offset", "doc_id", "b.*")
@@ -171,4 +173,4 @@ def mixed_blocks(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots
     blocks = blocks.select("s", "block", F.array_distinct(F.array_compact("p.doc_id")).alias("doc_ids"), "n_words", F.array_join("p.piece", " ").alias("text"))
     mixed = draw_slots(sources, shard_slots=shard_slots, seed=seed).join(blocks, ["s", "block"])
     named = sources.select("s", "source")
-    return mixed.join(F.broadcast(named) if small(named, row_bytes=1024) else named, "s").select("shard", "source", F.col("k").alias("slot"), "block", "doc_ids", "n_words", "text")
+    return mixed.join(F.broadcast(named) if small(named, row_bytes=1024, rows=seen_sources["rows"]) else named, "s").select("shard", "source", F.col("k").alias("slot"), "block", "doc_ids", "n_words", "text")

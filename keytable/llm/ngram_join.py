@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keytable.llm.components import merge_labels
-from keytable.llm.storage import join_hot, materialize, small, small_batches, text_column
+from keytable.llm.storage import join_hot, materialize, observed, small, small_batches, text_column
 from keytable.llm.words import BLANK, encode, mix, word_hashes
 
 SLACK = 0.35  # blocks beyond the D + 1 that the pigeonhole needs
@@ -345,8 +345,8 @@ def _compared(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return units.groupBy(*keys).applyInPandas(one, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(sig, packed): the sets of the rows ``wanted`` (doc_id, hash), as their sorted hashes.
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, size: int) -> DataFrame:
+    """(sig, packed): the sets of the ``n`` rows ``wanted`` (doc_id, hash), as their sorted hashes.
     The signature is taken from the row's own text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,16 +354,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [s for s in shingle_sets(texts, size) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["sig", "packed"])
 
-    chosen = _matching(hashed(docs), wanted, "left_semi")
+    chosen = _matching(hashed(docs), wanted, n, "left_semi")
     return materialize(chosen.mapInArrow(run, "sig long, packed binary"), "sets").dropDuplicates(["sig"])
 
 
-def _matching(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined to rows (doc_id, hash), ids null-safe; the named side is broadcast
+def _matching(rows: DataFrame, named: DataFrame, n: int, how: str) -> DataFrame:
+    """``rows`` joined to ``n`` rows (doc_id, hash), ids null-safe; the named side is broadcast
     if its counted size allows."""
     named = named.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))
-    return rows.join(F.broadcast(named) if small(named, row_bytes=64) else named, on, how)
+    return rows.join(F.broadcast(named) if small(named, row_bytes=64, rows=n) else named, on, how)
 
 
 def grouped(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -379,15 +379,15 @@ def grouped(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     nodes = groups.select(F.col("sig").alias("node")).union(groups.select(F.col("leader").alias("node"))).distinct()
     alone = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     clusters = merge_labels(alone, groups.select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct())
-    members = materialize(clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")).join(classes.drop("rows"), "sig"), "members")
-    sets = _sets_of(docs, members.select("doc_id", "hash"), size)
+    members, seen = observed(clusters.select(F.col("node").alias("sig"), F.col("label").alias("cluster")).join(classes.drop("rows"), "sig"), "members", rows=F.count("*"))
+    sets = _sets_of(docs, members.select("doc_id", "hash"), seen["rows"], size)
     keyed = materialize(groups.select("key", "sig").union(groups.select("key", F.col("leader").alias("sig"))).distinct(), "keyed")
     home = keyed.groupBy("sig").agg(F.min("key").alias("home"))
     members = materialize(members.join(sets, "sig").join(home, "sig").select("cluster", "home", "sig", "n", "sketch", "packed"), "members")
     labels = _components(members, keyed, alone, percent)
 
-    by_class = materialize(classes.select("sig", "rows").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rows", F.coalesce("label", "sig").alias("label")), "labelled")
-    rows = join_hot(filled.select("sig", "doc_id", "hash", "n"), by_class, "sig", "rows").select("doc_id", "hash", "n", "label")
+    by_class = classes.select("sig", "rows").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rows", F.coalesce("label", "sig").alias("label"))
+    rows = join_hot(filled.select("sig", "doc_id", "hash", "n"), by_class, "sig", "rows", "labelled").select("doc_id", "hash", "n", "label")
     return rows.unionByName(table.where(F.col("sig").isNull()).select("doc_id", "hash", "n", F.lit(None).cast("long").alias("label")))
 
 
@@ -396,8 +396,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     similarity of ``percent`` or more are linked; component_id is the smallest doc_id
     reachable by links. Rows without an id have none."""
     rows = materialize(grouped(docs, size=size, percent=percent), "grouped")
-    smallest = materialize(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "smallest")
-    linked = join_hot(rows.where("label is not null").drop("hash"), smallest, "label", "rows").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    linked = join_hot(rows.where("label is not null").drop("hash"), smallest, "label", "rows", "smallest").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return linked.unionByName(rows.where("label is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -406,18 +406,20 @@ def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFra
     its rows that of the smallest hash. Rows with empty sets stay."""
     rows = materialize(grouped(docs, size=size, percent=percent), "grouped").where("label is not null")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    first = materialize(rows.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "first")
-    several = join_hot(rows.drop("n"), first, "label", "rows")
+    first = rows.groupBy("label").agg(F.min(key).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    several = join_hot(rows.drop("n"), first, "label", "rows", "first")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
-    gone = materialize(several.where(~is_first).select("doc_id", "hash").distinct(), "gone")
-    twice = materialize(several.where(is_first).groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "hash"), "twice")
+    # rows of one id and hash have one label, so all of them are the first or none is
+    copies = several.groupBy("doc_id", "hash").agg(F.min(is_first).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    copies, seen = observed(copies, "copies", gone=F.count_if(~F.col("stays")), twice=F.count_if("stays"))
+    gone, twice = copies.where("not stays"), copies.where("stays")
     clear = docs.withColumnRenamed("hash", "__theirs") if "hash" in docs.columns else docs
     columns = [F.col("__theirs").alias("hash") if c == "hash" else F.col(c) for c in docs.columns]
-    kept = _matching(clear.withColumn("hash", F.xxhash64(text_column(clear))), gone, "left_anti")
-    if not twice.limit(1).count():
+    kept = _matching(clear.withColumn("hash", F.xxhash64(text_column(clear))), gone, seen["gone"], "left_anti")
+    if not seen["twice"]:
         return kept.select(*columns)
-    once = _matching(kept, twice, "left_semi").dropDuplicates(["doc_id", "hash"])
-    return _matching(kept, twice, "left_anti").select(*columns).unionByName(once.select(*columns))
+    once = _matching(kept, twice, seen["twice"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    return _matching(kept, twice, seen["twice"], "left_anti").select(*columns).unionByName(once.select(*columns))
 
 
 def _parted(rows: DataFrame, groups: list[str], parts: str) -> DataFrame:
@@ -437,8 +439,8 @@ def _parts(those: F.Column | None = None) -> F.Column:
 
 def _components(members: DataFrame, keyed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all classes in clusters: components of the links between them."""
-    sizes = materialize(members.groupBy("cluster").agg(_parts().alias("parts"), F.count("*").alias("rows")), "sizes")
-    sized = materialize(_parted(join_hot(members, sizes, "cluster", "rows"), ["cluster"], "parts"), "sized")
+    sizes = members.groupBy("cluster").agg(_parts().alias("parts"), F.count("*").alias("rows"))
+    sized, seen = observed(_parted(join_hot(members, sizes, "cluster", "rows", "sizes"), ["cluster"], "parts"), "sized", large=F.count_if(F.col("parts") > 1))
 
     def current(rows: DataFrame) -> DataFrame:
         return rows.join(labels.withColumnRenamed("node", "sig"), "sig")
@@ -446,17 +448,17 @@ def _components(members: DataFrame, keyed: DataFrame, labels: DataFrame, percent
     for turn in range(2):
         rows = sized if turn == 0 else sized.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("parts")))
         labels = merge_labels(labels, _compared(current(rows).withColumn("side", F.lit(0)), ["cluster", "part"], percent))
-        if turn == 0 and not sized.where("parts > 1").limit(1).count():
+        if turn == 0 and not seen["large"]:
             return labels
 
     # large clusters: what is outside their largest component, against all of it and itself
     rows = materialize(current(sized.where("parts > 1").drop("part")), "large")
     largest = rows.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.sum("c").alias("rows"))
-    rows = materialize(join_hot(rows, materialize(largest, "largest"), "cluster", "rows").withColumn("outside", F.col("label") != F.col("largest")), "large")
-    if not rows.where("outside").limit(1).count():
+    rows, seen = observed(join_hot(rows, largest, "cluster", "rows", "largest").withColumn("outside", F.col("label") != F.col("largest")), "large", outside=F.count_if("outside"))
+    if not seen["outside"]:
         return labels
     pools = rows.groupBy("cluster").agg(_parts(F.col("outside")).alias("out"), _parts(~F.col("outside")).alias("in"), F.count("*").alias("rows"))
-    rows = join_hot(rows, materialize(pools, "pools"), "cluster", "rows").withColumn("pool", F.when(F.col("outside"), F.col("out")).otherwise(F.col("in")))
+    rows = join_hot(rows, pools, "cluster", "rows", "pools").withColumn("pool", F.when(F.col("outside"), F.col("out")).otherwise(F.col("in")))
     rows = _parted(rows, ["cluster", "outside"], "pool").withColumn("part", F.xxhash64("cluster", "outside", "part"))
     rows = materialize(rows.select("outside", "part", "sig", "n", "sketch", "packed", "label"), "parts")
     # pairs of parts that have a block in common which stands in several components

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytable.llm.storage import small_batches, text_column
+from keytable.llm.storage import materialize, small_batches, text_column
 from keytable.llm.words import encode
 
 WIDTH, CELL, CELLS, HOP = 4, 128, 8, 7  # chunks of 8 cells, one cell shared with the next
@@ -192,12 +192,16 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_byte
     )
     # one text per id, so there are no more rows than in the sample
     texts = docs.select("doc_id", text_column(docs).alias("__text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__label").agg(F.min("__text").alias("__text"))
+    texts = materialize(texts, "sample")
     left, ids = sample_bytes, []
-    for r in texts.select("doc_id", F.octet_length("__text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
-        if r["n"] <= left:
-            left -= r["n"]
-            ids.append(r["doc_id"])
-    rows = sorted((r["doc_id"], encode(r["__text"]), r["__label"]) for r in texts.where(F.col("doc_id").isin(ids)).collect()) if ids else []
+    sizes = sorted(texts.select(F.xxhash64("doc_id"), "doc_id", F.octet_length("__text")).collect())
+    for _, doc_id, n in sizes:
+        if n <= left:
+            left -= n
+            ids.append(doc_id)
+    # where all fit the plan needs no list of them
+    fitting = texts if len(ids) == len(sizes) else texts.where(F.col("doc_id").isin(ids))
+    rows = sorted((r["doc_id"], encode(r["__text"]), r["__label"]) for r in fitting.collect()) if ids else []
     return fit([t for _, t, _ in rows], [y for _, _, y in rows])
 
 

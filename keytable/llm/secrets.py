@@ -177,9 +177,11 @@ def find(docs: DataFrame, *, rate: float = RATE, missed: float = MISSED) -> Data
     base = materialize(base, "base")
     blank = F.expr(_without("islands", "text", "repeat(' ', cast(x.e - x.s as int))"))
     rest = materialize(hits.select("row", "doc_id", "text").join(_islands(base), "row", "left").select("row", "doc_id", F.when(F.col("islands").isNull(), F.col("text")).otherwise(blank).alias("text")), "rest")
-    tokens = test_battery(materialize(_matches(rest, "random", TOKEN, 0, LEAST), "tokens"))
-    decoys = test_battery(materialize(_decoys(rest), "decoys"))
-    random = reported(tokens, decoys, rate, missed).select("row", "kind", "start", "end", "value")
+    # both are tested together and once: the battery is the largest plan here, and the driver holds it each time it is used
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("kind", "string"), ("start", "long"), ("end", "long"))]
+    asked = _matches(rest, "random", TOKEN, 0, LEAST).unionByName(_decoys(rest).select(*nothing, "value"))
+    tested = materialize(test_battery(materialize(asked, "tokens")).select("row", "kind", "start", "end", "value", "n", "p"), "tested")
+    random = reported(tested.where(F.col("kind").isNotNull()), tested.where(F.col("kind").isNull()), rate, missed).select("row", "kind", "start", "end", "value")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     spans = base.unionByName(random).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "kind", "end"))).alias("spans"))
     empty = F.from_json(F.lit("[]"), "array<struct<start:long,order:int,kind:string,end:long>>")

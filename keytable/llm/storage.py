@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,28 +64,40 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, tag: str, **values: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize`` and the given aggregates of all rows (null: 0), taken by the job that
+    writes them: a job of their own would cost the driver another plan, its broadcasts
+    (4 MB of heap each) and threads."""
+    seen = Observation()
+    columns = [v.alias(k) for k, v in values.items()]
+    written = materialize(df.observe(seen, *columns), tag)
+    found = seen.get or written.agg(*columns).first().asDict()
+    return written, {k: found[k] or 0 for k in values}
+
+
 #: A table of at most so many bytes, as counted, is broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, *, row_bytes: int) -> bool:
-    """Whether a table of rows of at most ``row_bytes`` bytes may be broadcast."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
+def small(df: DataFrame, *, row_bytes: int, rows: int | None = None) -> bool:
+    """Whether a table of rows of at most ``row_bytes`` bytes may be broadcast; ``rows`` is
+    how many it has, if that is known."""
+    return (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES
 
 
 #: A key that stands for more than this share of all rows is joined apart.
 HOT_SHARE = 1 / 10_000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, tag: str) -> DataFrame:
     """``rows`` joined to ``table``, which has one row per key and in column ``weight`` how
-    many rows have it. A small table is broadcast. Of a larger one, keys of more than ``HOT_SHARE`` of the rows (so fewer than
+    many rows have it, and is written as ``tag``. A small table is broadcast. Of a larger one, keys of more than ``HOT_SHARE`` of the rows (so fewer than
     1 / HOT_SHARE keys) are broadcast, the others shuffled: no task gets a hot key."""
-    if small(table, row_bytes=512):
+    table, seen = observed(table, tag, rows=F.count("*"), total=F.sum(weight))
+    if small(table, row_bytes=512, rows=seen["rows"]):
         return rows.join(F.broadcast(table.drop(weight)), key)
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = table.where(F.col(weight) > F.lit(total * HOT_SHARE)).drop(weight)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= F.lit(total * HOT_SHARE)).drop(weight), key)
+    hot = table.where(F.col(weight) > F.lit(seen["total"] * HOT_SHARE)).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= F.lit(seen["total"] * HOT_SHARE)).drop(weight), key)
     joined = rows.join(F.broadcast(hot), key)
     return joined.unionByName(rest.select(*joined.columns))
 

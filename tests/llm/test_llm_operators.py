@@ -568,6 +568,33 @@ def test_labels_of_long_chains(spark):
     assert got == {n: 0 if n <= 40 else 100 if n <= 102 else 500 for n in nodes}
 
 
+def jobs_of(spark, name, run):
+    """How many Spark jobs ``run`` starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(name))
+
+
+def test_rounds_of_labels_start_few_jobs(spark):
+    """Every job costs the driver memory: a plan, broadcasts, threads."""
+    labels = spark.range(41).select(F.col("id").alias("node"), F.col("id").alias("label"))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    none = chain.where("a < 0")
+    assert jobs_of(spark, "no links", lambda: components.merge_labels(labels, none).collect()) <= 4
+    assert jobs_of(spark, "a chain", lambda: components.merge_labels(labels, chain).collect()) <= 30
+
+
+def test_a_write_counts_its_rows(spark):
+    rows, nothing = spark.range(100).repartition(7), spark.range(5).where("id < 0").groupBy("id").count()
+    written, seen = storage.observed(rows, "rows", rows=F.count("*"), large=F.count_if(F.col("id") > 50))
+    assert written.count() == 100 and seen == {"rows": 100, "large": 49}
+    assert storage.observed(nothing.join(rows, "id"), "rows", rows=F.count("*"), total=F.sum("id"))[1] == {"rows": 0, "total": 0}
+
+
 # --- mixing ----------------------------------------------------------------------
 
 
