@@ -67,6 +67,58 @@ def join_intersecting(left: DataFrame, right: DataFrame, left_keys: Sequence[str
     return near.where(geojson.pair_intersects(F.col(geometries[0]), F.col(geometries[1])))
 
 
+def join_overlapping(left: DataFrame, right: DataFrame, left_extent: Column, right_extent: Column) -> DataFrame:
+    """Pairs of rows of two tables (columns named differently) whose extents overlap. Equal
+    rows make a pair each; extents that are null make none.
+
+    Tiles of two levels need not hold one another where their extents overlap (pixels are
+    rounded at each level), so the join has grids of its own: 2^level cells a side, an extent
+    at the deepest level whose cells are as large as it. The extent of the deeper level is
+    looked for at the other's level, and a pair is made only in the cell of the lowest
+    corner that both have."""
+    a, b = _gridded(left, left_extent, "__a"), _gridded(right, right_extent, "__b")
+    # by merging: a side has more and wider rows than the table whose size Spark knows, too many to broadcast
+    above = lambda name, own: F.filter("__levels", lambda z: z <= F.col(f"{name}_level") if own else z < F.col(f"{name}_level"))
+    at_right = _cells(_with_levels(a, "__a", b, "__b"), "__a", above("__a", True)).join(_cells(b, "__b", F.array("__b_level")).hint("merge"), "__cell")
+    at_left = _cells(a, "__a", F.array("__a_level")).join(_cells(_with_levels(b, "__b", a, "__a"), "__b", above("__b", False)).hint("merge"), "__cell")
+    lowest = F.col("__a_low").bitwiseOR(F.col("__b_low")) == 3
+    overlap = F.expr("__a.minx <= __b.maxx and __b.minx <= __a.maxx and __a.miny <= __b.maxy and __b.miny <= __a.maxy")
+    columns = [*left.columns, *right.columns]
+    return at_right.where(lowest & overlap).select(columns).unionByName(at_left.where(lowest & overlap).select(columns))
+
+
+def _cell(coordinate: Column, level: Column) -> Column:
+    """The number of a coordinate's cell, which never falls as the coordinate rises."""
+    return F.floor((spatial.clip(coordinate, -180.0, 180.0) + 180.0) * F.call_function("shiftleft", F.lit(1), level) / 360.0)
+
+
+def _gridded(rows: DataFrame, extent: Column, name: str) -> DataFrame:
+    """With the extent and its level, null where there is none. A filter instead would work
+    the extent out again for each of its terms."""
+    at = lambda side: spatial.clip(F.col(f"{name}.{side}"), -180.0, 180.0)
+    size = F.greatest(F.abs(at("maxx") - at("minx")), F.abs(at("maxy") - at("miny")), F.lit(360.0 / (1 << MAX_LEVEL)))
+    whole = F.expr(" and ".join(f"{name}.{side} is not null" for side in ("minx", "miny", "maxx", "maxy")))
+    return rows.withColumn(name, extent).withColumn(f"{name}_level", F.when(whole, F.floor(F.log2(F.lit(360.0) / size)).cast("int")))
+
+
+def _with_levels(rows: DataFrame, name: str, other: DataFrame, other_name: str) -> DataFrame:
+    """With the levels of the other side, an array of 24 at most: one row, sent to all."""
+    levels = other.groupBy((F.col(f"{other_name}_level") >= 0).alias("__all")).agg(F.collect_set(f"{other_name}_level").alias("__levels"))
+    return rows.withColumn("__all", F.col(f"{name}_level") >= 0).join(F.broadcast(levels), "__all").drop("__all")
+
+
+def _cells(rows: DataFrame, name: str, levels: Column) -> DataFrame:
+    """A row for each cell that the extent touches at each level; ``low`` has bit 1 in the
+    lowest cells by x and bit 2 in the lowest by y."""
+    out, z = rows.withColumn("__z", F.explode(levels)).where("__z is not null").drop("__levels"), F.col("__z")
+    for axis in "xy":
+        ends = F.col(f"{name}.min{axis}"), F.col(f"{name}.max{axis}")
+        out = out.withColumn(f"__{axis}0", _cell(F.least(*ends), z)).withColumn(f"__{axis}", F.explode(F.sequence(f"__{axis}0", _cell(F.greatest(*ends), z))))
+    low = (F.col("__x") == F.col("__x0")).cast("int") + 2 * (F.col("__y") == F.col("__y0")).cast("int")
+    cell = (z.cast("long") * (1 << 24) + F.col("__x")) * (1 << 24) + F.col("__y")
+    return out.withColumn("__cell", cell).withColumn(f"{name}_low", low).drop("__z", "__x0", "__x", "__y0", "__y", f"{name}_level")
+
+
 # --- the same tile arithmetic for single values ------------------------------
 
 

@@ -695,10 +695,9 @@ def spatial_search(spark, sf):
 
 @query(f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_BOXES} a JOIN {_BOXES} b ON a.c_custkey < b.c_custkey AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
 def spatial_join(spark, sf):
-    rows = _box_index(spark, sf)
-    side = lambda name: rows.select("tile", F.col("c_custkey").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    pairs = spatial_index.join_candidates(side("a"), side("b"), ["a"], ["b"])
-    return pairs.where("a < b and a_minx <= b_maxx and b_minx <= a_maxx and a_miny <= b_maxy and b_miny <= a_maxy").select("a", "b")
+    rows = _boxes(spark, sf)
+    side = lambda name: rows.select(F.col("c_custkey").alias(name), F.struct("minx", "miny", "maxx", "maxy").alias(f"{name}_box"))
+    return spatial_index.join_overlapping(side("a"), side("b"), F.col("a_box"), F.col("b_box")).where("a < b").select("a", "b")
 
 
 def _shapes(spark, sf) -> DataFrame:

@@ -1,6 +1,7 @@
 """Codec, indexes, relations, writes, revisions, properties, tiles, streaming."""
 
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -395,3 +396,40 @@ def test_late_rows_of_a_stream(spark, tmp_path):
         stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
         upsert.run_available(upsert.upsert(stream, f"{tmp_path}/out", ["k"], order="seq"), f"{tmp_path}/state")
     assert sorted(map(tuple, upsert.latest(spark, f"{tmp_path}/out").collect())) == [(1, 9, "new"), (2, 3, "b"), (3, 0, "c")]
+
+
+# --- joins of extents --------------------------------------------------------------
+
+
+def pairs_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_spatial_join_across_tile_borders(spark, tmp_path):
+    """Extents whose tiles do not hold one another, since pixels are rounded at each level;
+    equal rows, null keys and negative ones."""
+    import duckdb
+
+    from keytable import queries as catalogue
+
+    keys = [8560, 44460, 8720, 80520, 8880, 34165, 70065, 13704, 25951, 44460, None, None, 5, -5, *range(-60000, 60000, 331)]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").selectExpr("c_custkey", "'' as c_name", "0 as c_nationkey", "0D as c_acctbal", "'' as c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    expected = sorted(con.execute(catalogue.SQL["spatial_join"]).fetchall())
+    assert {(8560, 44460), (8720, 80520), (13704, 25951)} <= set(expected) and len(expected) > len(set(expected))
+    assert pairs_of(catalogue.spatial_join(spark, str(tmp_path))) == expected
+
+
+def test_overlapping_extents_equal_brute_force(spark):
+    """Of all sizes, from points to the world and beyond, on cells' borders, and null."""
+    rng = random.Random(5)
+    boxes = [(-180.0, -90.0, 180.0, 90.0), (-400.0, -200.0, 400.0, 200.0), (170.0, 80.0, 190.0, 95.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0), (-180.0, -90.0, -180.0, -90.0), (180.0, 90.0, 180.0, 90.0), (-180.0, 0.0, 180.0, 0.0)]
+    for _ in range(250):
+        x, y, size = rng.randrange(-1440, 1440) / 8, rng.randrange(-720, 720) / 8, 2.0 ** rng.randrange(-16, 8)
+        boxes.append((x, y, x + size * rng.choice((0, 0.5, 1)), y + size * rng.choice((0, 0.3, 1))))
+    rows = [(i, *b) for i, b in enumerate(boxes)] + [(900, None, 0.0, 1.0, 1.0), (901, 0.0, 0.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "i int, minx double, miny double, maxx double, maxy double")
+    side = lambda n: df.select(F.col("i").alias(n), F.struct("minx", "miny", "maxx", "maxy").alias(f"{n}_box"))
+    got = pairs_of(spatial_index.join_overlapping(side("a"), side("b"), F.col("a_box"), F.col("b_box")).select("a", "b"))
+    assert got == sorted((i, j) for i, a in enumerate(boxes) for j, b in enumerate(boxes) if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3])
