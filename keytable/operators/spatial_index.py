@@ -44,29 +44,6 @@ def search(index: DataFrame, keys: Sequence[str], query: str, geometry: str) ->
     return found.where(geojson.intersects_column(F.col(geometry), query)).drop(TILE_COLUMN)
 
 
-def join_candidates(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> DataFrame:
-    """Pairs of rows of two indexes (columns apart from ``tile`` named differently) whose
-    tiles hold one another: two equality joins, on the prefixes of one side each."""
-    plain = lambda df: df.withColumn("__key", F.rtrim(F.col(TILE_COLUMN), F.lit("_")))
-    a, b = plain(left).drop(TILE_COLUMN), plain(right).drop(TILE_COLUMN)
-    # bound by a lambda: a computed key is made once per row, not once per prefix
-    above_own = F.transform(F.array("__key"), spatial.ancestors)[0]
-    all_own = F.transform(F.array("__key"), lambda k: F.concat(spatial.ancestors(k), F.array(k)))[0]
-    below = a.withColumn("__at", F.explode(all_own)).drop("__key").join(b.withColumnRenamed("__key", "__at"), "__at")
-    above = b.withColumn("__at", F.explode(above_own)).drop("__key").join(a.withColumnRenamed("__key", "__at"), "__at")
-    return below.unionByName(above).drop("__at").dropDuplicates([*left_keys, *right_keys])
-
-
-def join_intersecting(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], geometries: tuple[str, str]) -> DataFrame:
-    """Pairs of rows of two indexes whose geometry columns intersect: candidates by their
-    tiles, then by their extents, then exactly."""
-    extents = [geojson.extent_column(F.col(g)) for g in geometries]
-    a, b = left.withColumn("__a", extents[0]), right.withColumn("__b", extents[1])
-    pairs = join_candidates(a, b, left_keys, right_keys)
-    near = pairs.where("__a.minx <= __b.maxx and __b.minx <= __a.maxx and __a.miny <= __b.maxy and __b.miny <= __a.maxy").drop("__a", "__b")
-    return near.where(geojson.pair_intersects(F.col(geometries[0]), F.col(geometries[1])))
-
-
 def join_overlapping(left: DataFrame, right: DataFrame, left_extent: Column, right_extent: Column) -> DataFrame:
     """Pairs of rows of two tables (columns named differently) whose extents overlap. Equal
     rows make a pair each; extents that are null make none.
@@ -87,6 +64,18 @@ def join_overlapping(left: DataFrame, right: DataFrame, left_extent: Column, rig
     return at_right.where(lowest & overlap).select(columns).unionByName(at_left.where(lowest & overlap).select(columns))
 
 
+def join_intersecting(left: DataFrame, right: DataFrame, geometries: tuple[str, str]) -> DataFrame:
+    """Pairs of rows of two tables (columns named differently) whose geometry columns
+    intersect: by their extents, then exactly. A box is its extent, so for two boxes no
+    text is read, and texts of boxes are not carried along."""
+    names = ("__left", "__right")
+    sides = [rows.withColumn(n, geojson.extent_column(F.col(g))).withColumn(f"{n}_text", F.when(~geojson.is_box(F.col(g)), F.col(g))) for rows, g, n in zip((left, right), geometries, names, strict=True)]
+    pairs = join_overlapping(*sides, *map(F.col, names))
+    boxes = F.col("__left_text").isNull() & F.col("__right_text").isNull()
+    exact = geojson.pair_intersects(*[F.when(~boxes, F.coalesce(F.col(f"{n}_text"), geojson.box_text(F.col(n)))) for n in names])
+    return pairs.where(boxes | exact).select(*left.columns, *right.columns)
+
+
 def _cell(coordinate: Column, level: Column) -> Column:
     """The number of a coordinate's cell, which never falls as the coordinate rises."""
     return F.floor((spatial.clip(coordinate, -180.0, 180.0) + 180.0) * F.call_function("shiftleft", F.lit(1), level) / 360.0)

@@ -721,10 +721,10 @@ def polygon_intersects(spark, sf):
 
 @query(f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM {_BOXES} a JOIN {_BOXES} b ON a.c_custkey < b.c_custkey AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
 def geometry_join(spark, sf):
-    """Pairs of polygons that intersect: by tile, by extent, and exactly."""
-    rows = spatial_index.derive(_shapes(spark, sf), geojson.extent_column(F.col("shape")))
-    side = lambda name: rows.select("tile", F.col("c_custkey").alias(name), F.col("shape").alias(f"{name}_shape"))
-    return spatial_index.join_intersecting(side("a"), side("b"), ["a"], ["b"], ("a_shape", "b_shape")).where("a < b").select("a", "b")
+    """Pairs of polygons that intersect: by extent, and exactly."""
+    rows = _shapes(spark, sf)
+    side = lambda name: rows.select(F.col("c_custkey").alias(name), F.col("shape").alias(f"{name}_shape"))
+    return spatial_index.join_intersecting(side("a"), side("b"), ("a_shape", "b_shape")).where("a < b").select("a", "b")
 
 
 @query(f"SELECT c_custkey, minx, miny, maxx, maxy FROM {_BOXES}")

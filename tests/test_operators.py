@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -433,3 +434,38 @@ def test_overlapping_extents_equal_brute_force(spark):
     side = lambda n: df.select(F.col("i").alias(n), F.struct("minx", "miny", "maxx", "maxy").alias(f"{n}_box"))
     got = pairs_of(spatial_index.join_overlapping(side("a"), side("b"), F.col("a_box"), F.col("b_box")).select("a", "b"))
     assert got == sorted((i, j) for i, a in enumerate(boxes) for j, b in enumerate(boxes) if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3])
+
+
+def test_intersecting_geometries_equal_brute_force(spark):
+    """Boxes, boxes written otherwise, near-boxes, other shapes and what is no geometry."""
+    rng = random.Random(6)
+    shape = lambda kind, c: json.dumps({"type": kind, "coordinates": c}, separators=(",", ":"))
+    texts = [None, "", '{"type":"Polygon","coordinates":[]}', '{"type":"Other","coordinates":[[1,1],[2,2]]}', '{"type":"Polygon","coordinates":[[[01,1],[4,1],[4,4],[01,4],[01,1]]]}']
+    for _ in range(120):
+        x, y, w, h = rng.randrange(-40, 40) / 4, rng.randrange(-40, 40) / 4, rng.choice((0, 0.25, 2, 5)), rng.choice((0, 0.5, 3))
+        corners = [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
+        turned = corners[(k := rng.randrange(4)) :] + corners[:k]
+        way = rng.choice(("box", "back", "spaced", "bow", "corner", "hole", "line", "point", "both"))
+        closed = turned + turned[:1]
+        texts.append({
+            "box": shape("Polygon", [closed]), "back": shape("Polygon", [closed[::-1]]), "spaced": json.dumps({"coordinates": [closed], "type": "polygon"}),
+            "bow": shape("Polygon", [[corners[i] for i in (0, 1, 3, 2, 0)]]), "corner": shape("Polygon", [[*corners[:2], corners[3], corners[3], corners[0]]]), "hole": shape("Polygon", [closed, ring(x + w / 4, y + h / 4, x + w / 2, y + h / 2)]),
+            "line": shape("LineString", corners[::2]), "point": shape("Point", corners[0]), "both": json.dumps({"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": corners[0]}, {"type": "Point", "coordinates": corners[2]}]}),
+        }[way])
+    texts += texts[-3:]
+    read = [geojson.read(t) for t in texts]
+    expected = sorted((i, j) for i, a in enumerate(read) for j, b in enumerate(read) if a and b and geojson.intersects(a, b))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, shape string")
+    assert 20 < df.where(geojson.is_box(F.col("shape"))).count() < 60
+    side = lambda n: df.select(F.col("i").alias(n), F.col("shape").alias(f"{n}_shape"))
+    assert pairs_of(spatial_index.join_intersecting(side("a"), side("b"), ("a_shape", "b_shape")).select("a", "b")) == expected
+
+
+@pytest.mark.parametrize("name", ["geometry_join", "spatial_join"])
+def test_pairs_of_extents_are_not_shuffled(spark, small, name):
+    """Rows are dealt by cell once; pairs, which are many more, are made where they stay."""
+    from keytable import queries as catalogue
+
+    plan = getattr(catalogue, name)(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#", plan)
+    assert "a_shape" not in "".join(x for x in plan.split("\n") if "Join" in x or "Sort" in x or "ArrowEvalPython" in x)
